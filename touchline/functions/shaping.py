@@ -23,5 +23,5 @@ def label_value(df: DataFrame) -> DataFrame:
     val = F.col(cols[1] if len(cols) > 1 else cols[0])
     return df.select(
         F.coalesce(lab.cast("string"), F.lit("")).alias("label"),
-        F.coalesce(F.try_cast(val.cast("string"), "double"), F.lit(0.0)).alias("value"),
+        F.coalesce((val.cast("string")).try_cast("double"), F.lit(0.0)).alias("value"),
     )

@@ -36,7 +36,13 @@ def _strip_marks(s: str) -> str:
 
 @lru_cache(maxsize=1)
 def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    src, dst, multi = [], [], []
+    """(translate source, translate target, multi-letter expansions of lower-case letters).
+
+    Single-letter folds go through ``translate`` before lower-casing (so e.g. a dotted capital
+    I folds to a plain i). Letters that expand to several letters are handled after
+    lower-casing, where only their lower-case forms remain.
+    """
+    src, dst, multi = [], [], {}
     for lo, hi in _FOLD_BLOCKS:
         for cp in range(lo, hi + 1):
             ch = chr(cp)
@@ -49,24 +55,25 @@ def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
                 src.append(ch)
                 dst.append(folded)
             elif len(folded) > 1:
-                multi.append((ch, folded))
+                low = ch.lower()
+                multi[low if len(low) == 1 else ch] = _strip_marks(low).lower()
             # folded == "" (a bare combining mark) is handled by the regex below
-    return "".join(src), "".join(dst), tuple(multi)
+    return "".join(src), "".join(dst), tuple(sorted(multi.items()))
 
 
 def fold(col: Column | str) -> Column:
     """Column fold: decompose accented letters, lower-case, strip combining marks."""
     c = F.col(col) if isinstance(col, str) else col
     src, dst, multi = _fold_tables()
+    c = F.lower(F.translate(c, src, dst))
     if multi:
-        # the replace chain only runs on the rare strings holding an expanding character
+        # the replace chain only runs on the rare strings holding an expanding letter
         chained = c
         for ch, rep in multi:
             chained = F.replace(chained, F.lit(ch), F.lit(rep))
         chars = "".join(ch for ch, _ in multi)
         c = F.when(c.rlike("[" + chars + "]"), chained).otherwise(c)
-    c = F.translate(c, src, dst)
-    return F.regexp_replace(F.lower(c), r"\p{M}", "")
+    return F.regexp_replace(c, r"\p{M}", "")
 
 
 def folded_contains(col: Column | str, term: str) -> Column:

@@ -22,11 +22,15 @@ from touchline.operators.snapshot import metric_of_tag
 
 
 def global_row_number(df: DataFrame, order: Sequence[Column], group: str | None = None,
-                      name: str = "rank", num_partitions: int | None = None) -> DataFrame:
+                      name: str = "rank", num_partitions: int | None = None,
+                      many_groups: bool = False) -> DataFrame:
     """1-based row number by ``order`` (within ``group`` if given) without a single-task sort.
 
     ``order`` must be a total order (end with a unique tie-breaker) so numbering is the same
-    on every recomputation after a lost executor.
+    on every recomputation after a lost executor. The offset table has at most one row per
+    (partition, group) and, as groups are contiguous in the range order, no more than
+    partitions + groups rows: broadcast when groups are few, a plain join with
+    ``many_groups`` (then a hot group still spans many tasks, each numbering its share).
     """
     sort_cols = ([F.col(group).asc()] if group else []) + list(order)
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -39,7 +43,7 @@ def global_row_number(df: DataFrame, order: Sequence[Column], group: str | None
     counts = ranged.groupBy("_pid", g).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
     before = Window.partitionBy(g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    out = (ranged.join(F.broadcast(offsets), ["_pid", g])
+    out = (ranged.join(offsets if many_groups else F.broadcast(offsets), ["_pid", g])
            .withColumn(name, (F.col("_pos") - F.col("_first") + F.col("_before") + 1).cast("bigint"))
            .drop("_pid", "_pos", "_n", "_first", "_before"))
     return out.drop(g) if group is None else out
