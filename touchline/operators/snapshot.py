@@ -4,32 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _max_struct_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """Row with the greatest ``struct(order)`` per key, kept whole.
+def _first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Row with the greatest ``order`` (all descending, nulls last) per key, kept whole.
 
-    ``max_by`` is an aggregate, so each map task reduces its share of a key to one row
-    before the shuffle: a key holding a third of the table costs one row per task on the
-    wire, not a third of the table in one reducer (a window would sort the hot key whole).
-    Struct ordering puts nulls lowest, which is ``DESC NULLS LAST`` per field.
+    ``row_number() = 1`` plans as a partial ``WindowGroupLimit`` before the shuffle and a final
+    one after it: each map task keeps one row per key, so a key holding a third of the table
+    costs one row per task on the wire, not a third of the table in one reducer. Unlike a
+    ``max_by(struct(...))`` aggregate it also lets Catalyst drop payload columns a consumer
+    does not read.
     """
-    payload = [c for c in df.columns if c not in keys]
-    ordkey = F.struct(*[o.alias(f"_o{i}") for i, o in enumerate(order)])
-    best = F.max_by(F.struct(*payload), ordkey).alias("_best")
-    return df.groupBy(*keys).agg(best).select(*keys, *[F.col(f"_best.{c}").alias(c) for c in payload])
+    w = Window.partitionBy(*keys).orderBy(*[o.desc_nulls_last() for o in order])
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column]) -> DataFrame:
     """One row per key: the greatest by ``order_by`` (all descending, nulls last).
 
-    Equal to ``row_number() over (partition by keys order by o1 desc, o2 desc, ...) = 1`` when
-    the order columns break every tie.
+    Equal to ``row_number() over (partition by keys order by o1 desc, o2 desc, ...) = 1``; the
+    order columns should break every tie.
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order_by]
-    return _max_struct_per_key(df, keys, order)
+    return _first_per_key(df, keys, order)
 
 
 def metric_of_tag(tag_col: str, metric_by_tag: Mapping[str, str]) -> Column:
@@ -48,4 +47,4 @@ def best_per_key(df: DataFrame, keys: Sequence[str], metric_by_tag: Mapping[str,
     then the ``tie`` columns descending."""
     order = [metric_of_tag(tag_col, metric_by_tag)] + [F.col(t) for t in tie]
     k = list(keys) + ([tag_col] if tag_col not in keys else [])
-    return _max_struct_per_key(df, k, order)
+    return _first_per_key(df, k, order)

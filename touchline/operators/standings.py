@@ -29,8 +29,10 @@ def two_sided_standings(df: DataFrame,
     """
     s = _sides(df, side_a, side_b, group, ("team_id", "team_name", "gf", "ga"))
     win, draw = points
-    agg = s.groupBy("team_id", *group).agg(
-        F.max("team_name").alias("team_name"),
+    # numeric buffers only, so this is a hash aggregate with a map-side partial step; the
+    # string max(team_name) runs on its output (one row per team, league and name)
+    counts = ["matches_played", "wins", "draws", "losses", "goals_for", "goals_against"]
+    per_name = s.groupBy("team_id", *group, "team_name").agg(
         F.count(F.lit(1)).alias("matches_played"),
         F.count_if(F.col("gf") > F.col("ga")).alias("wins"),
         F.count_if(F.col("gf") == F.col("ga")).alias("draws"),
@@ -38,6 +40,9 @@ def two_sided_standings(df: DataFrame,
         F.sum("gf").alias("goals_for"),
         F.sum("ga").alias("goals_against"),
     )
+    agg = per_name.groupBy("team_id", *group).agg(
+        F.max("team_name").alias("team_name"),
+        *[(F.sum(c) if c.startswith("goals") else F.sum(c)).alias(c) for c in counts])
     return agg.select(
         "team_id", "team_name", *group, "matches_played", "wins", "draws", "losses",
         "goals_for", "goals_against",
