@@ -9,6 +9,7 @@ inlined as CTEs.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,16 +43,28 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 class _Gold:
-    """Gold frames of the test bed, built lazily from Silver."""
+    """Gold frames of the test bed, each built (lazily) from Silver only when a query uses it."""
 
     def __init__(self, spark, sf_dir):
-        self.tb = tb = Testbed(spark, sf_dir)
-        self.fixtures = tb.silver_fixtures
-        self.players = M.gold_player_stats(tb.silver_players, tb.silver_fixtures)
-        self.teams = M.gold_team_summary(tb.silver_fixtures)
-        self.results = M.gold_match_results(tb.silver_fixtures)
+        self.tb = Testbed(spark, sf_dir)
 
-    @property
+    @cached_property
+    def fixtures(self):
+        return self.tb.silver_fixtures
+
+    @cached_property
+    def players(self):
+        return M.gold_player_stats(self.tb.silver_players, self.tb.silver_fixtures)
+
+    @cached_property
+    def teams(self):
+        return M.gold_team_summary(self.tb.silver_fixtures)
+
+    @cached_property
+    def results(self):
+        return M.gold_match_results(self.tb.silver_fixtures)
+
+    @cached_property
     def ranked(self):
         return M.gold_top_performers(self.tb.bronze_performers, tie=("ingested_at", "event_id"))
 

@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from touchline.operators.discovery import discover_entities
 from touchline.operators.resolve import resolve_alias
 from touchline.plans.medallion import run_all
-from touchline.sinks.tables import keyed_replace_frame, replace_partitions, write_version
+from touchline.sinks.tables import (keyed_replace_frame, read_table, replace_partitions,
+                                    write_squad_batch, write_version)
 from touchline.sources.feeds import (MATCH_ENVELOPE, PERFORMER, SQUAD_ENVELOPE, flatten_matches,
-                                     flatten_squads, matches_from_envelope, merge_metric_feeds,
-                                     read_json)
+                                     matches_from_envelope, merge_metric_feeds, read_json)
 
 log = logging.getLogger(__name__)
 
@@ -40,9 +40,7 @@ def ingest(spark: SparkSession, landing: Mapping[str, str], bronze_path: str, le
         if fixtures is not None:
             teams = discover_entities(fixtures, cap=max_teams).select(F.col("id").alias("team_id"))
             squads = squads.join(teams, "team_id", "left_semi")
-        compact, players = flatten_squads(squads)
-        replace_partitions(compact, f"{bronze_path}/bronze_team_squads", ["team_id"])
-        replace_partitions(players, f"{bronze_path}/bronze_players", ["team_id"])
+        write_squad_batch(squads, f"{bronze_path}/bronze_team_squads", f"{bronze_path}/bronze_players")
         status["squads"] = "ok"
     except Exception as exc:  # noqa: BLE001
         status["squads"] = f"error: {exc}"
@@ -53,7 +51,6 @@ def ingest(spark: SparkSession, landing: Mapping[str, str], bronze_path: str, le
         if feeds:
             merged = merge_metric_feeds(feeds)
             path = f"{bronze_path}/bronze_top_performers"
-            from touchline.sinks.tables import read_table
             cur = read_table(spark, path)
             write_version(merged if cur is None else keyed_replace_frame(cur, merged, ["team_name"]), path)
             status["performers"] = "ok"

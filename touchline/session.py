@@ -16,6 +16,8 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # parquet Bronze tables are replaced per partition, never wholesale
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # ids are strings ("007" must stay "007"): never re-type partition values on read
+    "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     "spark.ui.enabled": "false",
 }
 

@@ -157,19 +157,20 @@ def replace_partitions(rows: DataFrame, path: str, partition_cols: Sequence[str]
     return True
 
 
-def write_squad_batch(compact: DataFrame, players: DataFrame, squads_path: str,
-                      players_path: str) -> bool:
-    """One flattened squad batch written to both squad and player tables, each replaced
-    per team. The batch is persisted once so the feed is not re-read for the second write."""
-    both = compact.persist()
+def write_squad_batch(squads: DataFrame, squads_path: str, players_path: str) -> bool:
+    """One squad feed batch written to both the squad and the player table, each replaced
+    per team. The exploded members are persisted once, so the feed is parsed once for both."""
+    from touchline.sources.feeds import members_to_rows, squad_members
+    members = squad_members(squads).persist()
     try:
-        if both.isEmpty():
+        if members.isEmpty():
             return False
+        compact, players = members_to_rows(members)
         replace_partitions(compact, squads_path, ["team_id"])
         replace_partitions(players, players_path, ["team_id"])
         return True
     finally:
-        both.unpersist()
+        members.unpersist()
 
 
 def append_rows(rows: DataFrame, path: str) -> None:

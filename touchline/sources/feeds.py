@@ -120,7 +120,12 @@ def flatten_squads(squads: DataFrame, ts: _dt.datetime | None = None, source: st
 
     Players take the team name as nationality (squads are national teams in the feed).
     """
-    m = squad_members(squads)
+    return members_to_rows(squad_members(squads), ts, source)
+
+
+def members_to_rows(m: DataFrame, ts: _dt.datetime | None = None, source: str = SOURCE
+                    ) -> tuple[DataFrame, DataFrame]:
+    """Squad members (from :func:`squad_members`) to compact squad rows and player rows."""
     member_cols = [f.name for f in MEMBER.fields]
     t = ts or _now()
     compact = stamp(m.select(

@@ -51,14 +51,25 @@ def _str(c):
 
 
 class Testbed:
-    """Lazy DataFrames over ``{sf_dir}/{table}.parquet``; nothing is read until an action."""
+    """Lazy DataFrames over ``{sf_dir}/{table}.parquet``; nothing is read until an action.
+
+    The test tables are read-only, so their scan handles are kept per session (like catalog
+    tables: listed once, schema known), not re-listed by every query.
+    """
+
+    _scans: dict = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        path = f"{self.sf_dir}/{name}.parquet"
+        key = (id(self.spark), path)
+        df = Testbed._scans.get(key)
+        if df is None:
+            df = Testbed._scans[key] = self.spark.read.parquet(path)
+        return df
 
     @cached_property
     def bronze_fixtures(self) -> DataFrame:
