@@ -66,13 +66,10 @@ def fold(col: Column | str) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     src, dst, multi = _fold_tables()
     c = F.lower(F.translate(c, src, dst))
-    if multi:
-        # the replace chain only runs on the rare strings holding an expanding letter
-        chained = c
-        for ch, rep in multi:
-            chained = F.replace(chained, F.lit(ch), F.lit(rep))
-        chars = "".join(ch for ch, _ in multi)
-        c = F.when(c.rlike("[" + chars + "]"), chained).otherwise(c)
+    # each replace is a byte search that returns its input unchanged (no copy) when the
+    # letter is absent; the expression stays a single chain, so nothing is evaluated twice
+    for ch, rep in multi:
+        c = F.replace(c, F.lit(ch), F.lit(rep))
     return F.regexp_replace(c, r"\p{M}", "")
 
 

@@ -40,18 +40,24 @@ def merge_batch(batch: DataFrame, path: str, keys: Sequence[str], order: Sequenc
         return False
     if buckets:
         batch, partition_col = with_bucket(batch, keys, buckets), BUCKET
-    incoming = latest_per_key(batch, keys, order)
+    incoming = latest_per_key(batch, keys, order).persist()
+    # the touched partition values: at most ``buckets`` of them when bucketed, so listing them
+    # on the driver is bounded; the filter on the partition column prunes the scan to them
+    touched = [r[0] for r in incoming.select(partition_col).distinct().collect()]
     try:
-        stored = spark.read.schema(schema or incoming.schema).parquet(path)
-        touched = incoming.select(partition_col).distinct()
-        stored = stored.join(touched, partition_col, "left_semi").select(*incoming.columns)
+        stored = (spark.read.schema(schema or incoming.schema).parquet(path)
+                  .filter(F.col(partition_col).isin(touched)).select(*incoming.columns))
         merged = latest_per_key(stored.unionByName(incoming), keys, order)
     except Exception as exc:  # first batch: no table yet
         if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
             raise
         merged = incoming
-    # materialise before overwriting the partitions it was read from
+    # materialise in the shared checkpoint folder before overwriting the partitions it was
+    # read from (this also cuts the lineage back to the stream source)
+    from touchline.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
     ckpt = merged.checkpoint(eager=True)
+    incoming.unpersist()
     (ckpt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(partition_col).parquet(path))
     return True
