@@ -141,3 +141,14 @@ def test_leagues_needing_load(spark):
     aliases = spark.createDataFrame([("la liga", "140", 1), ("premier league", "47", 2)], "alias string, id string, priority int")
     loaded = spark.createDataFrame([("47",)], "league_id string")
     assert [r.league_id for r in leagues_needing_load(req, aliases, loaded).collect()] == ["140"]
+
+
+def test_catalogue_on_written_gold_prunes_partitions(spark, scratch):
+    M.run_all(_bronze(spark), scratch)
+    players = spark.read.parquet(f"{scratch}/gold_player_stats")
+    q = C.team_roster(players, "L1", "a")
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(league_id" in plan and "(league_id" in plan
+    assert [r.player_id for r in q.collect()] == ["p1"]
+    fb = C.query_players(players, "L9", team_name="a")      # scope misses: fallback to all leagues
+    assert [r.player_id for r in fb.collect()] == ["p1"]
