@@ -184,3 +184,13 @@ def test_upsert_stream_available_now_twice(spark, scratch):
     upsert_stream(stream, table, ["fixture_id"], ["ingested_at"], ckpt, buckets=4).awaitTermination()
     rows = spark.read.parquet(table).collect()
     assert sorted((r.fixture_id, r.status) for r in rows) == [("f1", "FT"), ("f3", "NS")]
+
+
+def test_or_default_only_when_empty(spark):
+    from touchline.sinks.tables import has_key
+    defaults = spark.createDataFrame([("77", "World Cup")], "id string, name string")
+    got = spark.createDataFrame([("47", "Premier League")], "id string, name string")
+    assert [r.id for r in FD.or_default(got, defaults).collect()] == ["47"]
+    empty = spark.createDataFrame([], "id string, name string")
+    assert [r.id for r in FD.or_default(empty, defaults).collect()] == ["77"]
+    assert has_key(got, "id", "47") and not has_key(got, "id", "48") and not has_key(None, "id", "1")

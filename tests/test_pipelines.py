@@ -152,3 +152,19 @@ def test_catalogue_on_written_gold_prunes_partitions(spark, scratch):
     assert [r.player_id for r in q.collect()] == ["p1"]
     fb = C.query_players(players, "L9", team_name="a")      # scope misses: fallback to all leagues
     assert [r.player_id for r in fb.collect()] == ["p1"]
+
+
+def test_switch_league_skips_loaded_and_reports_partial(spark):
+    from touchline.plans.pipelines import switch_league
+    aliases = spark.createDataFrame([("la liga", "140", 1), ("premier league", "47", 2)], "alias string, id string, priority int")
+    loaded = spark.createDataFrame([("47",)], "league_id string")
+    calls = []
+
+    def load(lid):
+        calls.append(lid)
+        return {"fixtures": "ok", "squads": "error: timeout"}
+    req = lambda n: spark.createDataFrame([(n,)], "name string")
+    assert switch_league("EPL", req("premier league"), aliases, loaded, load, lambda l: {})["ingested"] is False
+    out = switch_league("la liga", req("la liga"), aliases, loaded, load, lambda l: {"gold": "ok"})
+    assert out["status"] == "partial" and out["failed"] == ["squads"] and calls == ["140"]
+    assert switch_league("x", req("nowhere"), aliases, loaded, load, lambda l: {})["status"] == "error"

@@ -87,3 +87,25 @@ def leagues_needing_load(requested_names: DataFrame, aliases: DataFrame, loaded:
     return (r.filter(F.col("resolved_id").isNotNull())
             .select(F.col("resolved_id").alias("league_id")).distinct()
             .join(loaded.select("league_id").distinct(), "league_id", "left_anti"))
+
+
+def switch_league(name: str, requested: DataFrame, aliases: DataFrame, loaded: DataFrame,
+                  load: "callable", rebuild: "callable") -> dict:
+    """L4: resolve a league name, skip the ingest when it is already loaded, else ingest and
+    rebuild. ``requested`` is a one-row frame holding the name in column ``name``; ``load`` and
+    ``rebuild`` take the league id and return a status dict (L2 / L1).
+
+    Returns ``{"status": "switched" | "partial" | "error", "league_id": ..., ...}``.
+    """
+    r = resolve_alias(requested, "name", aliases).select("resolved_id").collect()
+    league = r[0]["resolved_id"] if r else None
+    if league is None:
+        return {"status": "error", "error": f"unknown league: {name}"}
+    needed = leagues_needing_load(requested, aliases, loaded).filter(F.col("league_id") == league)
+    if needed.isEmpty():
+        return {"status": "switched", "league_id": league, "ingested": False}
+    steps = dict(load(league))
+    steps.update({f"rebuild_{k}": v for k, v in (rebuild(league) or {}).items()})
+    failed = [k for k, v in steps.items() if v != "ok"]
+    return {"status": "partial" if failed else "switched", "league_id": league,
+            "ingested": True, "failed": failed}

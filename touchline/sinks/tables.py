@@ -12,7 +12,6 @@ Plain Parquet has no DELETE or MERGE, so a keyed replace takes one of two forms:
 from __future__ import annotations
 
 import logging
-import os
 import re
 from collections.abc import Sequence
 
@@ -212,5 +211,9 @@ def table_has_rows(df: DataFrame | None) -> bool:
     return df is not None and not df.isEmpty()
 
 
-def local_path(path: str) -> str:
-    return os.path.abspath(path)
+def has_key(df: DataFrame | None, col: str, value) -> bool:
+    """Does the table hold a row for this key (a cached squad, a cached player)?
+    The key is compared with the column's own type; ``limit 1`` stops at the first hit."""
+    if df is None:
+        return False
+    return not df.filter(F.col(col) == F.lit(value).cast(dict(df.dtypes)[col])).limit(1).isEmpty()

@@ -206,6 +206,13 @@ def league_entries(env: DataFrame, array_paths: Sequence[str],
                       & F.col("name").isNotNull() & (F.col("name") != ""))
 
 
+def or_default(df: DataFrame, defaults: DataFrame) -> DataFrame:
+    """A10: ``df``, or the constant ``defaults`` rows when ``df`` has none (one plan; the
+    emptiness probe is a ``limit 1`` scalar subquery)."""
+    some = df.select(F.lit(True).alias("_any")).limit(1).scalar()
+    return df.unionByName(defaults.filter(some.isNull()), allowMissingColumns=True)
+
+
 def normalize_match(m: DataFrame, is_live: bool) -> DataFrame:
     """Matches from heterogeneous feeds, several alternative paths per field.
 
