@@ -207,3 +207,18 @@ def test_formation(spark):
     out = {r.team_name: (r.formation, r.total_players, r.n_unknown) for r in team_formation(players).collect()}
     assert out["T"] == ("1-2-1-1", 5, 0)
     assert out["U"] == ("—", 2, 1)
+
+
+def test_substring_min_equals_brute_force(spark):
+    from touchline.operators.resolve import substring_min
+    names = ["mbappe", "kylian mbappe", "vinicius jr", "rodrygo", "ab", "a", "xyz", "abc"]
+    terms = ["mbap", "pe", "a", "vinicius", "zz", "jr", "kylian mbappe", "rod", "abc", "b"]
+    d = spark.createDataFrame([(f"{i:02d}", n) for i, n in enumerate(names)], "pid string, text string")
+    t = spark.createDataFrame([(x,) for x in terms], "term string")
+    got = {r.term: r.pid for r in substring_min(t, "term", d, "pid", "text").collect()}
+    exp = {}
+    for x in terms:
+        hits = [f"{i:02d}" for i, n in enumerate(names) if x in n]
+        if hits:
+            exp[x] = min(hits)
+    assert got == exp

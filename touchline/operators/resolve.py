@@ -5,8 +5,10 @@ a broadcast nested-loop join is right. Against a directory that grows with the d
 (player names) it is not, so :func:`substring_join` turns it into an equi-join: every term
 of length >= 3 is keyed by its rarest 3-gram, every directory text is exploded into its
 distinct 3-grams, the two meet on the gram, and ``contains`` filters the candidates. It is
-exact: a text containing the term contains each of the term's grams. Terms of one or two
-characters (a set bounded by the alphabet, not by the data) take the broadcast path.
+exact: a text containing the term contains each of the term's grams. A term of one or two
+characters is contained in a text exactly when it equals one of the text's 1- or 2-grams, so
+short terms join on those grams directly. No side is broadcast and no pair is enumerated
+outside a shared gram.
 """
 
 from __future__ import annotations
@@ -19,11 +21,11 @@ from pyspark.sql import functions as F
 GRAM = 3
 
 
-def _grams(c: Column, distinct: bool = True) -> Column:
+def _grams(c: Column, distinct: bool = True, size: int = GRAM) -> Column:
     n = F.length(c)
-    arr = F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda i: F.substr(c, i, F.lit(GRAM)))
+    arr = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substr(c, i, F.lit(size)))
     arr = F.array_distinct(arr) if distinct else arr
-    return F.when(n >= GRAM, arr).otherwise(F.array().cast("array<string>"))
+    return F.when(n >= size, arr).otherwise(F.array().cast("array<string>"))
 
 
 def substring_join(terms: DataFrame, term_col: str, directory: DataFrame, text_col: str) -> DataFrame:
@@ -45,11 +47,33 @@ def substring_join(terms: DataFrame, term_col: str, directory: DataFrame, text_c
                   .filter(F.contains(F.col(text_col), F.col(term_col)))
                   .select(term_col, *dcols))
     short_t = t.filter(F.length(term_col) < GRAM)
-    short_pairs = (directory.join(F.broadcast(short_t), F.contains(F.col(text_col), F.col(term_col)))
-                   .select(term_col, *dcols))
+    short_grams = F.array_distinct(F.concat(*[_grams(F.col(text_col), False, k) for k in range(1, GRAM)]))
+    d_short = directory.select(*dcols, F.explode(short_grams).alias(term_col))
+    short_pairs = short_t.join(d_short, term_col).select(term_col, *dcols)
     return long_pairs.unionByName(short_pairs)
 
 
+def substring_min(terms: DataFrame, term_col: str, directory: DataFrame, id_col: str,
+                  text_col: str) -> DataFrame:
+    """(term, smallest ``id_col`` among directory rows whose text contains the term).
+
+    Terms of up to three characters are contained exactly when they equal one of the text's
+    grams of that length, so the directory is reduced to one row per gram (its smallest id)
+    before the join: a common short term meets one row, not every row containing it. Longer
+    terms take the rarest-3-gram candidates of :func:`substring_join` and keep the minimum.
+    """
+    t = terms.select(F.col(term_col)).filter(F.length(term_col) > 0).distinct()
+    grams = F.array_distinct(F.concat(*[_grams(F.col(text_col), False, k) for k in range(1, GRAM + 1)]))
+    per_gram = (directory.select(F.col(id_col).alias("_id"), F.explode(grams).alias(term_col))
+                .groupBy(term_col).agg(F.min("_id").alias(id_col)))
+    short = t.filter(F.length(term_col) <= GRAM).join(per_gram, term_col)
+    long_t = t.filter(F.length(term_col) > GRAM)
+    d = directory.select(F.col(id_col), F.col(text_col))
+    long_ = (substring_join(long_t, term_col, d, text_col)
+             .groupBy(term_col).agg(F.min(id_col).alias(id_col)))
+    return short.unionByName(long_)
+
+
 def resolve_alias(df: DataFrame, text_col: str, aliases: DataFrame, alias_col: str = "alias",
                   id_col: str = "id", priority_col: str = "priority", out_col: str = "resolved_id",
                   longest_first: bool = True) -> DataFrame:
