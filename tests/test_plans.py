@@ -39,3 +39,45 @@ def test_filter_reaches_scan(spark):
 
 def test_standings_reads_lineitem_once(spark):
     assert _plan(E.queries()["standings"](spark, SF_SMALL)).count("FileScan parquet") == 1
+
+
+def _skewed_fixtures(spark):
+    """One fixture holds a third of all snapshots."""
+    from pyspark.sql import functions as F
+    n = 3000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("fixture_id"),
+        (F.col("id") % 7).cast("string").alias("home_team_id"), F.lit("H").alias("home_team_name"),
+        (F.col("id") % 5).cast("string").alias("away_team_id"), F.lit("A").alias("away_team_name"),
+        (F.col("id") % 4).alias("home_score"), (F.col("id") % 3).alias("away_score"),
+        F.lit("FT").alias("status"), F.lit("L").alias("league_id"),
+        F.col("id").cast("timestamp").alias("ingested_at"))
+    return df
+
+
+def test_latest_per_key_reduces_hot_key_before_shuffle(spark):
+    from touchline.operators.snapshot import latest_per_key
+    out = latest_per_key(_skewed_fixtures(spark), ["fixture_id"], ["ingested_at"])
+    plan = _plan(out)
+    below_exchange = plan.split("Exchange hashpartitioning(fixture_id")[1]
+    assert "WindowGroupLimit" in below_exchange and "Partial" in below_exchange
+    rows = {r.fixture_id: r.ingested_at for r in out.collect()}
+    assert len(rows) == 2001 and rows["hot"].timestamp() == 2997
+
+
+def test_standings_partial_hash_aggregate(spark):
+    from touchline.operators.standings import two_sided_standings
+    plan = _plan(two_sided_standings(_skewed_fixtures(spark)))
+    assert any("HashAggregate" in line and "partial_count" in line for line in plan.splitlines())
+
+
+def test_global_rank_has_no_single_partition_sort(spark):
+    plan = _plan(E.queries()["leaderboard_rank"](spark, SF_SMALL))
+    assert "rangepartitioning" in plan
+    assert "Exchange SinglePartition" not in plan
+
+
+def test_resolution_joins_are_equi_joins(spark):
+    for key in ("player_demand", "name_candidates"):
+        plan = _plan(E.queries()[key](spark, SF_SMALL))
+        assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan, key
