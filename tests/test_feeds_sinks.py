@@ -194,3 +194,13 @@ def test_or_default_only_when_empty(spark):
     empty = spark.createDataFrame([], "id string, name string")
     assert [r.id for r in FD.or_default(empty, defaults).collect()] == ["77"]
     assert has_key(got, "id", "47") and not has_key(got, "id", "48") and not has_key(None, "id", "1")
+
+
+def test_half_written_version_is_ignored(spark, scratch):
+    import os
+    path = f"{scratch}/t"
+    replace_where(spark, path, _rows(spark, [("1", 1)]))
+    os.makedirs(f"{path}/_v000002")                      # a writer died before committing
+    assert [tuple(r) for r in read_table(spark, path).collect()] == [("1", 1)]
+    replace_where(spark, path, _rows(spark, [("2", 2)]))
+    assert sorted(tuple(r) for r in read_table(spark, path).collect()) == [("1", 1), ("2", 2)]

@@ -222,3 +222,15 @@ def test_substring_min_equals_brute_force(spark):
         if hits:
             exp[x] = min(hits)
     assert got == exp
+
+
+def test_global_row_number_consistent_across_many_partitions(spark):
+    # large enough that range bounds come from sampling: positions and partition counts must
+    # still describe the same partitioning (regression: two independently sampled exchanges)
+    df = spark.range(200000).withColumn("v", (F.col("id") * 2654435761) % 1000003)
+    df = df.withColumn("g", (F.col("id") % 3).cast("string"))
+    order = [F.col("v").desc(), F.col("id").asc()]
+    got = global_row_number(df, order, group="g", name="rk", num_partitions=16)
+    exp = df.withColumn("rk2", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
+    assert got.join(exp, "id").filter(F.col("rk") != F.col("rk2")).count() == 0
+    assert got.agg(F.min("rk")).collect()[0][0] == 1

@@ -6,9 +6,9 @@ forms scale instead:
 * ``top_k``: ``row_number() <= k`` per tag plans as a partial ``WindowGroupLimit`` before the
   shuffle, so each map task sends at most k rows per tag.
 * full rank: range-partition on (tag, metric desc, tie), number rows inside each sorted
-  partition, then add the row count of the earlier partitions of the same tag. The offset
-  table has one row per (partition, tag) — its size is bounded by the partition count, not
-  by the data — so broadcasting it is safe.
+  partition, materialise that once (checkpoint), then add the row count of the earlier
+  partitions of the same tag. The offset table has one row per (partition, tag) — its size is
+  bounded by the partition count, not by the data — so broadcasting it is safe.
 """
 
 from __future__ import annotations
@@ -32,12 +32,20 @@ def global_row_number(df: DataFrame, order: Sequence[Column], group: str | None
     partitions + groups rows: broadcast when groups are few, a plain join with
     ``many_groups`` (then a hot group still spans many tasks, each numbering its share).
     """
+    from touchline.session import ensure_checkpoint_dir
+
     sort_cols = ([F.col(group).asc()] if group else []) + list(order)
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     g = group or "_g"
+    # The positions and the per-partition counts must come from one and the same range
+    # partitioning. Two plans over the same frame would each sample their own range bounds,
+    # so the numbered rows are materialised once (a reliable checkpoint in the shared
+    # checkpoint folder, which also survives lost executors) and both sides read that copy.
+    ensure_checkpoint_dir(df.sparkSession)
     ranged = (df.repartitionByRange(n, *sort_cols).sortWithinPartitions(*sort_cols)
               .withColumn("_pid", F.spark_partition_id())
-              .withColumn("_pos", F.monotonically_increasing_id()))
+              .withColumn("_pos", F.monotonically_increasing_id())
+              .checkpoint(eager=True))
     if group is None:
         ranged = ranged.withColumn(g, F.lit(0))
     counts = ranged.groupBy("_pid", g).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))

@@ -30,14 +30,16 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
-def _versions(spark: SparkSession, path: str) -> list[int]:
+def _versions(spark: SparkSession, path: str, committed: bool = True) -> list[int]:
+    """Version numbers under ``path``; with ``committed`` only those whose commit marker
+    (``_SUCCESS``, written last by the job commit) exists."""
     fs, p, jvm = _fs(spark, path)
     if not fs.exists(p):
         return []
     out = []
     for st in fs.listStatus(p):
         m = _VERSION.match(st.getPath().getName())
-        if m and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+        if m and (not committed or fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))):
             out.append(int(m.group(1)))
     return sorted(out)
 
@@ -61,7 +63,7 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
 def write_version(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
     """Write ``df`` as the next version of the table at ``path``; returns its directory."""
     spark = df.sparkSession
-    v = _versions(spark, path)
+    v = _versions(spark, path, committed=False)  # a version left half-written is skipped
     nxt = f"{path}/_v{(v[-1] + 1 if v else 1):06d}"
     w = df.write.mode("errorifexists")
     if partition_by:
