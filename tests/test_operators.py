@@ -1,6 +1,7 @@
 """Operators on hand-written rows: nulls, ties, empty input, skew shapes."""
 
 import datetime as dt
+import unicodedata
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -157,6 +158,21 @@ def test_fold_matches_python_fold(spark):
     assert got == [fold_text(w) for w in words]
 
 
+def test_fold_every_block_letter_and_decomposed_text(spark):
+    """Fast path (no rare letter, no mark) and slow path give the Python fold for every
+    letter of the folded blocks, alone and inside longer text, and for decomposed input."""
+    from touchline.functions.text import _FOLD_BLOCKS
+    letters = [chr(cp) for lo, hi in _FOLD_BLOCKS for cp in range(lo, hi + 1)
+               if unicodedata.category(chr(cp)) not in ("Cn", "Cs")]
+    words = letters + ["Ab " + ch + " Zé" for ch in letters]
+    words += [unicodedata.normalize("NFD", "Mbappé Ødegaard"), "plain ascii TEXT", "", None,
+              "ĳ" * 3 + "x" + "ﬃ", "e\u0301\u0301"]
+    df = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string")
+    got = {r.i: r.f for r in df.select("i", fold("w").alias("f")).collect()}
+    want = {i: (None if w is None else fold_text(w)) for i, w in enumerate(words)}
+    assert got == want
+
+
 def test_folded_contains_is_literal(spark):
     df = spark.createDataFrame([("100%_x",), ("100ab",)], "w string")
     assert df.filter(folded_contains("w", "0%_")).count() == 1

@@ -4,8 +4,8 @@
 NFKD decomposition followed by dropping combining marks and lower-casing. Spark has no
 ``normalize()``, so the single-character part of the decomposition is a ``translate``
 table built at import from :mod:`unicodedata` over the Latin, Greek and Cyrillic blocks;
-the few characters that decompose to several letters become a short ``replace`` chain.
-Whatever marks remain (text that arrives already decomposed) are stripped by regex.
+the few characters that decompose to several letters become a short ``replace`` chain, and
+marks left in text that arrives already decomposed are stripped by regex.
 """
 
 from __future__ import annotations
@@ -22,55 +22,77 @@ _FOLD_BLOCKS = [(0x00C0, 0x024F), (0x0370, 0x03FF), (0x0400, 0x04FF), (0x1E00, 0
 
 
 def fold_text(s: str | None) -> str:
-    """Python fold of a parameter string: NFKD, drop combining marks, lower-case."""
+    """Python fold of a parameter string: NFKD, drop marks, lower-case."""
     if not s:
         return ""
-    decomposed = unicodedata.normalize("NFKD", s)
-    return "".join(ch for ch in decomposed if not unicodedata.combining(ch)).lower()
+    return _strip_marks(s).lower()
 
 
 def _strip_marks(s: str) -> str:
+    """NFKD, then drop every mark (general category M*, what ``\\p{M}`` matches on the JVM)."""
     d = unicodedata.normalize("NFKD", s)
-    return "".join(ch for ch in d if not unicodedata.combining(ch))
+    return "".join(ch for ch in d if not unicodedata.category(ch).startswith("M"))
 
 
 @lru_cache(maxsize=1)
-def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """(translate source, translate target, multi-letter expansions of lower-case letters).
+def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...], str]:
+    """(translate source, translate target, multi-letter expansions of lower-case letters,
+    regex class of what needs more than ``translate``: letters that expand, and marks).
 
     Single-letter folds go through ``translate`` before lower-casing (so e.g. a dotted capital
     I folds to a plain i). Letters that expand to several letters are handled after
     lower-casing, where only their lower-case forms remain.
     """
-    src, dst, multi = [], [], {}
+    src, dst, multi, expanding = [], [], {}, set()
     for lo, hi in _FOLD_BLOCKS:
         for cp in range(lo, hi + 1):
             ch = chr(cp)
             if unicodedata.category(ch) == "Cn":
                 continue
             folded = _strip_marks(ch)
-            if folded == ch:
-                continue
+            if folded == ch or folded == "":
+                continue  # unchanged, or a bare mark (stripped by the regex)
             if len(folded) == 1:
                 src.append(ch)
                 dst.append(folded)
-            elif len(folded) > 1:
+            else:
                 low = ch.lower()
-                multi[low if len(low) == 1 else ch] = _strip_marks(low).lower()
-            # folded == "" (a bare combining mark) is handled by the regex below
-    return "".join(src), "".join(dst), tuple(sorted(multi.items()))
+                key = low if len(low) == 1 else ch
+                multi[key] = _strip_marks(low).lower()
+                expanding.update((ch, key))
+    return "".join(src), "".join(dst), tuple(sorted(multi.items())), "[" + _ranges(expanding) + r"\p{M}]"
+
+
+def _ranges(chars) -> str:
+    """Regex class body of code point ranges (a few ranges scan far faster than many
+    single letters)."""
+    cps, out, i = sorted(ord(c) for c in chars), [], 0
+    while i < len(cps):
+        j = i
+        while j + 1 < len(cps) and cps[j + 1] == cps[j] + 1:
+            j += 1
+        out.append(f"\\x{{{cps[i]:04X}}}" + (f"-\\x{{{cps[j]:04X}}}" if j > i else ""))
+        i = j + 1
+    return "".join(out)
 
 
 def fold(col: Column | str) -> Column:
-    """Column fold: decompose accented letters, lower-case, strip combining marks."""
+    """Column fold: decompose accented letters, lower-case, strip combining marks.
+
+    Pure ASCII text (a character count equal to the byte count) only needs ``lower``.
+    Other text takes one ``translate`` pass and ``lower``. Letters that expand to several
+    (a ``replace`` per letter) and combining marks (a regex) are rare, so that tail runs
+    only for text holding one of them: long text is not rescanned once per rare letter.
+    """
     c = F.col(col) if isinstance(col, str) else col
-    src, dst, multi = _fold_tables()
-    c = F.lower(F.translate(c, src, dst))
-    # each replace is a byte search that returns its input unchanged (no copy) when the
-    # letter is absent; the expression stays a single chain, so nothing is evaluated twice
+    src, dst, multi, rare = _fold_tables()
+    slow = F.lower(F.translate(c, src, dst))
     for ch, rep in multi:
-        c = F.replace(c, F.lit(ch), F.lit(rep))
-    return F.regexp_replace(c, r"\p{M}", "")
+        slow = F.replace(slow, F.lit(ch), F.lit(rep))
+    slow = F.regexp_replace(slow, r"\p{M}", "")
+    ascii_only = F.length(c) == F.octet_length(c)
+    return (F.when(ascii_only, F.lower(c)).when(c.rlike(rare), slow)
+            .otherwise(F.lower(F.translate(c, src, dst))))
 
 
 def folded_contains(col: Column | str, term: str) -> Column:
