@@ -82,3 +82,23 @@ def test_resolution_joins_are_equi_joins(spark):
     for key in ("player_demand", "name_candidates"):
         plan = _plan(E.queries()[key](spark, SF_SMALL))
         assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan, key
+
+
+def test_question_regexes_stay_above_the_text_aggregation(spark):
+    """The name extraction and fold run per distinct question: no predicate on them is
+    pushed into the scan of the log (where it would run once per log row)."""
+    import re
+    for key in ("player_demand", "name_candidates"):
+        plan = _plan(E.queries()[key](spark, SF_SMALL))
+        for filters in re.findall(r"DataFilters: \[(.*?)\], Format", plan):
+            assert "regexp" not in filters and "translate" not in filters, (key, filters[:200])
+
+
+def test_with_derived_keeps_filter_above_aggregate(spark):
+    from pyspark.sql import functions as F
+    from touchline.operators.derive import with_derived
+    agg = spark.range(50).groupBy((F.col("id") % 5).alias("k")).count()
+    out = with_derived(agg, e=F.regexp_replace(F.col("k").cast("string"), "1", "xx")).filter(F.length("e") > 1)
+    plan = _plan(out)
+    assert plan.index("Filter") < plan.index("Generate") < plan.index("HashAggregate")
+    assert sorted(r.k for r in out.collect()) == [1]
