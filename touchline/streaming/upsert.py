@@ -36,14 +36,16 @@ def merge_batch(batch: DataFrame, path: str, keys: Sequence[str], order: Sequenc
     ``partition_col`` is that bucket; only the buckets the batch touches are rewritten.
     """
     spark = batch.sparkSession
-    if batch.isEmpty():
-        return False
     if buckets:
         batch, partition_col = with_bucket(batch, keys, buckets), BUCKET
     incoming = latest_per_key(batch, keys, order).persist()
     # the touched partition values: at most ``buckets`` of them when bucketed, so listing them
-    # on the driver is bounded; the filter on the partition column prunes the scan to them
+    # on the driver is bounded; the filter on the partition column prunes the scan to them.
+    # No value means an empty batch: nothing is written (no separate pass to test for rows).
     touched = [r[0] for r in incoming.select(partition_col).distinct().collect()]
+    if not touched:
+        incoming.unpersist()
+        return False
     try:
         stored = (spark.read.schema(schema or incoming.schema).parquet(path)
                   .filter(F.col(partition_col).isin(touched)).select(*incoming.columns))
