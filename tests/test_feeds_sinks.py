@@ -171,6 +171,21 @@ def test_merge_batch_latest_wins_and_idempotent(spark, scratch):
     assert got == {"f1": ("NS", "L"), "f2": ("FT", "M")}
 
 
+def test_merge_batch_writes_one_file_per_bucket(spark, scratch):
+    """Every bucket a batch touches is rewritten by one task: one file per bucket, however
+    many tasks the batch's shuffle had, and a key holding most rows is reduced first."""
+    import glob
+    path = f"{scratch}/bucketed"
+    rows = [(f"f{i % 40}" if i % 3 else "hot", "NS", TS + dt.timedelta(seconds=i), "L") for i in range(600)]
+    batch = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    merge_batch(batch, path, ["fixture_id"], ["ingested_at"], buckets=6)
+    merge_batch(batch, path, ["fixture_id"], ["ingested_at"], buckets=6)
+    dirs = glob.glob(f"{path}/_bucket=*")
+    assert all(len(glob.glob(f"{d}/*.parquet")) == 1 for d in dirs)
+    got = {r.fixture_id: r.ingested_at for r in spark.read.parquet(path).collect()}
+    assert len(got) == 41 and got["hot"] == TS + dt.timedelta(seconds=597)
+
+
 def test_upsert_stream_available_now_twice(spark, scratch):
     landing, table, ckpt = f"{scratch}/landing", f"{scratch}/table", f"{scratch}/ckpt"
     spark.createDataFrame([("f1", "NS", TS, "L")], SCHEMA).write.mode("append").parquet(landing)

@@ -46,14 +46,19 @@ def merge_batch(batch: DataFrame, path: str, keys: Sequence[str], order: Sequenc
     if not touched:
         incoming.unpersist()
         return False
+    # The merge is shuffled by partition value, so each partition is written by one task (one
+    # file per partition and batch, not one per task and partition). By now a key has at most
+    # two rows (the batch's latest and the stored one), so a hot key cannot skew this shuffle;
+    # the raw batch was reduced before its own shuffle by key.
     try:
         stored = (spark.read.schema(schema or incoming.schema).parquet(path)
                   .filter(F.col(partition_col).isin(touched)).select(*incoming.columns))
-        merged = latest_per_key(stored.unionByName(incoming), keys, order)
+        both = stored.unionByName(incoming).repartition(partition_col)
+        merged = latest_per_key(both, [partition_col, *keys], order)
     except Exception as exc:  # first batch: no table yet
         if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
             raise
-        merged = incoming
+        merged = incoming.repartition(partition_col)
     # materialise in the shared checkpoint folder before overwriting the partitions it was
     # read from (this also cuts the lineage back to the stream source)
     from touchline.session import ensure_checkpoint_dir
