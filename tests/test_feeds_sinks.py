@@ -186,6 +186,20 @@ def test_merge_batch_writes_one_file_per_bucket(spark, scratch):
     assert len(got) == 41 and got["hot"] == TS + dt.timedelta(seconds=597)
 
 
+def test_partitioned_write_is_rebalanced(spark, scratch):
+    """A batch spread over many tasks writes about one file per partition value (AQE
+    rebalance), not one per task and value."""
+    import glob
+    from pyspark.sql import functions as F
+    from touchline.sinks.tables import replace_partitions
+    rows = spark.range(4000).select((F.col("id") % 5).cast("string").alias("team_id"),
+                                    F.col("id").alias("v")).repartition(12)
+    assert replace_partitions(rows, f"{scratch}/squads", ["team_id"])
+    dirs = glob.glob(f"{scratch}/squads/team_id=*")
+    assert len(dirs) == 5 and all(len(glob.glob(f"{d}/*.parquet")) == 1 for d in dirs)
+    assert spark.read.parquet(f"{scratch}/squads").count() == 4000
+
+
 def test_upsert_stream_available_now_twice(spark, scratch):
     landing, table, ckpt = f"{scratch}/landing", f"{scratch}/table", f"{scratch}/ckpt"
     spark.createDataFrame([("f1", "NS", TS, "L")], SCHEMA).write.mode("append").parquet(landing)

@@ -13,6 +13,7 @@ from touchline.functions.positions import position_code
 from touchline.operators.rank import rank_by_metric
 from touchline.operators.snapshot import best_per_key, latest_per_key
 from touchline.operators.standings import side_pairs, two_sided_standings
+from touchline.sinks.tables import clustered
 
 log = logging.getLogger(__name__)
 
@@ -124,9 +125,10 @@ def run_all(bronze: Mapping[str, DataFrame], base_path: str,
         status[name] = "ok"
     stored = {n: spark.read.parquet(f"{base_path}/{n}") for n in silver}
     for name, df in build_gold(stored).items():
-        w = df.write.mode("overwrite")
-        if name in PARTITION_BY:
-            w = w.partitionBy(*PARTITION_BY[name])
+        parts = PARTITION_BY.get(name, [])
+        w = clustered(df, parts).write.mode("overwrite")
+        if parts:
+            w = w.partitionBy(*parts)
         w.parquet(f"{base_path}/{name}")
         status[name] = "ok"
     if "bronze_top_performers" in bronze:

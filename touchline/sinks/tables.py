@@ -24,6 +24,17 @@ log = logging.getLogger(__name__)
 _VERSION = re.compile(r"^_v(\d{6})$")
 
 
+def clustered(df: DataFrame, partition_cols: Sequence[str]) -> DataFrame:
+    """Rows grouped by partition value before a partitioned write (AQE ``rebalance``).
+
+    Written straight from an upstream shuffle, every task writes a file into every partition
+    it holds rows for (tasks x partitions small files). Rebalanced, a partition value goes to
+    one task; small ones are packed together and a value holding a large share of the rows
+    is split over several tasks, so no single writer gets a hot partition.
+    """
+    return df.hint("rebalance", *partition_cols) if partition_cols else df
+
+
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -65,7 +76,7 @@ def write_version(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     spark = df.sparkSession
     v = _versions(spark, path, committed=False)  # a version left half-written is skipped
     nxt = f"{path}/_v{(v[-1] + 1 if v else 1):06d}"
-    w = df.write.mode("errorifexists")
+    w = clustered(df, partition_by).write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(nxt)
@@ -153,7 +164,7 @@ def replace_partitions(rows: DataFrame, path: str, partition_cols: Sequence[str]
     overwrite, set on the writer). An empty batch leaves the table untouched (B1e)."""
     if rows.isEmpty():
         return False
-    (rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (clustered(rows, partition_cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*partition_cols).parquet(path))
     return True
 
@@ -181,7 +192,7 @@ def append_rows(rows: DataFrame, path: str) -> None:
 
 def overwrite_table(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> None:
     """``CREATE OR REPLACE TABLE ... AS`` as a catalog table."""
-    w = df.write.mode("overwrite")
+    w = clustered(df, partition_by).write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.saveAsTable(name)
