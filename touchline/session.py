@@ -19,6 +19,9 @@ _DEFAULTS = {
     # ids are strings ("007" must stay "007"): never re-type partition values on read
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     "spark.ui.enabled": "false",
+    # checkpoint() files (rank numbering, each streaming merge) are removed from the shared
+    # folder once nothing references them, so a long-running stream does not accumulate them
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
