@@ -117,7 +117,7 @@ def test_global_row_number_matches_window_under_skew(spark):
     df = spark.range(5000).withColumn("g", F.when(F.col("id") % 10 < 8, F.lit("hot")).otherwise((F.col("id") % 10).cast("string")))
     df = df.withColumn("v", (F.col("id") * 7919) % 1000)
     order = [F.col("v").desc(), F.col("id").asc()]
-    got = global_row_number(df, order, group="g", name="rk", many_groups=True)
+    got = global_row_number(df, order, group="g", name="rk")
     exp = df.withColumn("rk2", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
     assert got.join(exp, "id").filter(F.col("rk") != F.col("rk2")).count() == 0
 
@@ -197,6 +197,23 @@ def test_resolve_alias_longest_first(spark):
     assert ordered["uefa world cup qualification"] == "77"
 
 
+def test_resolve_alias_large_table_path_equals_broadcast(spark):
+    """Beyond the row limit the aliases take the 3-gram equi-join; results are identical,
+    short (1-2 letter) aliases included."""
+    log = spark.createDataFrame([("uefa world cup qualification",), ("switch to la liga",), ("nothing",),
+                                 ("x marks",), ("",), (None,)], "text string")
+    aliases = spark.createDataFrame([("world cup", "77", 1), ("wc qualification", "10195", 2),
+                                     ("qualification", "10195", 3), ("la liga", "140", 4), ("la", "9", 5),
+                                     ("x", "8", 6), ("", "0", 0), ("World Cup", "78", 1)],
+                                    "alias string, id string, priority int")
+    for longest in (True, False):
+        small = {r.text: r.resolved_id for r in resolve_alias(log, "text", aliases, longest_first=longest).collect()}
+        large = {r.text: r.resolved_id for r in
+                 resolve_alias(log, "text", aliases, longest_first=longest, broadcast_max_rows=0).collect()}
+        assert small == large
+        assert small["x marks"] == "8" and small["nothing"] is None and small[""] is None
+
+
 def test_substring_join_equals_brute_force(spark):
     names = ["mbappe", "kylian mbappe", "vinicius jr", "rodrygo", "ab", "a", "xyz"]
     terms = ["mbap", "pe", "a", "vinicius", "zz", "jr", "kylian mbappe", "rod"]
