@@ -1,3 +1,4 @@
+from touchline.operators.derive import with_derived
 from touchline.operators.discovery import discover_entities
 from touchline.operators.rank import (STATS, clamp, global_row_number, rank_by_metric, top_by_rank,
                                       valid_stat)
@@ -11,5 +12,5 @@ __all__ = [
     "discover_entities", "STATS", "clamp", "global_row_number", "rank_by_metric", "top_by_rank",
     "valid_stat", "resolve_alias", "substring_join", "widening_candidates", "preferred_first",
     "with_fallback", "best_per_key", "latest_per_key", "metric_of_tag", "side_pairs",
-    "two_sided_standings", "first_per_group_in_pool",
+    "two_sided_standings", "first_per_group_in_pool", "with_derived",
 ]
