@@ -200,6 +200,20 @@ def test_partitioned_write_is_rebalanced(spark, scratch):
     assert spark.read.parquet(f"{scratch}/squads").count() == 4000
 
 
+def test_versioned_partitioned_write_is_rebalanced(spark, scratch):
+    """A new table version written by partition holds one file per partition value."""
+    import glob
+    from pyspark.sql import functions as F
+    from touchline.sinks.tables import read_table, write_version
+    rows = spark.range(3000).select(F.element_at(F.array(*[F.lit(x) for x in "ANR"]),
+                                                 (F.col("id") % 3 + 1).cast("int")).alias("league_id"),
+                                    F.col("id").alias("v")).repartition(9)
+    out = write_version(rows, f"{scratch}/gold", ["league_id"])
+    dirs = glob.glob(f"{out}/league_id=*")
+    assert len(dirs) == 3 and all(len(glob.glob(f"{d}/*.parquet")) == 1 for d in dirs)
+    assert read_table(spark, f"{scratch}/gold").count() == 3000
+
+
 def test_upsert_stream_available_now_twice(spark, scratch):
     landing, table, ckpt = f"{scratch}/landing", f"{scratch}/table", f"{scratch}/ckpt"
     spark.createDataFrame([("f1", "NS", TS, "L")], SCHEMA).write.mode("append").parquet(landing)
