@@ -65,7 +65,9 @@ class Testbed:
 
     def table(self, name: str) -> DataFrame:
         path = f"{self.sf_dir}/{name}.parquet"
-        key = (id(self.spark), path)
+        # the application id changes with every new SparkContext, so a handle of a stopped
+        # session is never handed to a new one that happens to get the same object id
+        key = (id(self.spark), self.spark.sparkContext.applicationId, path)
         df = Testbed._scans.get(key)
         if df is None:
             df = Testbed._scans[key] = self.spark.read.parquet(path)
