@@ -479,8 +479,19 @@ _QUERIES = {
 }
 
 
+def _corpus(name: str) -> dict:
+    """``QUERIES`` or ``ORACLE_SQL`` of the corpus operators; none where that subpackage is not installed."""
+    try:
+        from touchline.llm import queries as corpus
+    except ModuleNotFoundError as e:
+        if (e.name or "").split(".")[0] not in ("touchline", "corpus_pipeline"):
+            raise
+        return {}
+    return dict(getattr(corpus, name))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_QUERIES)
+    return {**_QUERIES, **_corpus("QUERIES")}
 
 
 # =========================================================================== oracle SQL
@@ -929,4 +940,5 @@ group by name, b.player_id""", "v_questions", "v_bronze_performers"),
         "incremental_upsert": W("select fixture_id, home_team_id, away_team_id, status, home_score, away_score, league_id "
                                 "from v_silver_fixtures", "v_silver_fixtures"),
     }
+    out.update(_corpus("ORACLE_SQL"))
     return out

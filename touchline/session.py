@@ -48,17 +48,17 @@ def get_spark(master: str | None = None, app: str = "touchline",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    A cluster is expected to set it (a shared filesystem path). Only when it is unset, as in
-    local tests, a scratch folder is created and registered.
+    The folder is registered once per application. Only when the setting is absent and the
+    master is local (tests), a scratch folder is created; a cluster must name a shared one.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    have, d = sc.getCheckpointDir(), spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="touchline-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        have = None
+    if have is None:
+        sc.setCheckpointDir(d)
     return d
