@@ -1,8 +1,10 @@
 """Registered queries of this subpackage; ``ORACLE_SQL`` holds those that DuckDB can express."""
 
+from touchline.llm.packing import op5_packing
 from touchline.llm.token_counts import op9_token_counts
 
 QUERIES = {
+    "op5_packing": op5_packing,
     "op9_token_counts": op9_token_counts,
 }
 
