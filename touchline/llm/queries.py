@@ -1,9 +1,11 @@
 """Registered queries of this subpackage; ``ORACLE_SQL`` holds those that DuckDB can express."""
 
 from touchline.llm.packing import op5_packing
+from touchline.llm.simhash_dedup import op10_simhash_dedup
 from touchline.llm.token_counts import op9_token_counts
 
 QUERIES = {
+    "op10_simhash_dedup": op10_simhash_dedup,
     "op5_packing": op5_packing,
     "op9_token_counts": op9_token_counts,
 }
