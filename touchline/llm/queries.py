@@ -2,9 +2,11 @@
 
 from touchline.llm.packing import op5_packing
 from touchline.llm.simhash_dedup import op10_simhash_dedup
+from touchline.llm.suffix_dedup import op4_suffix_dedup
 from touchline.llm.token_counts import op9_token_counts
 
 QUERIES = {
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op10_simhash_dedup": op10_simhash_dedup,
     "op5_packing": op5_packing,
     "op9_token_counts": op9_token_counts,
