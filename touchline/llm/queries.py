@@ -1,11 +1,13 @@
 """Registered queries of this subpackage; ``ORACLE_SQL`` holds those that DuckDB can express."""
 
+from touchline.llm.html_extract import op8_html_extract
 from touchline.llm.packing import op5_packing
 from touchline.llm.simhash_dedup import op10_simhash_dedup
 from touchline.llm.suffix_dedup import op4_suffix_dedup
 from touchline.llm.token_counts import op9_token_counts
 
 QUERIES = {
+    "op8_html_extract": op8_html_extract,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op10_simhash_dedup": op10_simhash_dedup,
     "op5_packing": op5_packing,
