@@ -2,11 +2,13 @@
 
 from touchline.llm.html_extract import op8_html_extract
 from touchline.llm.packing import op5_packing
+from touchline.llm.quality_rules import op7_quality_rules
 from touchline.llm.simhash_dedup import op10_simhash_dedup
 from touchline.llm.suffix_dedup import op4_suffix_dedup
 from touchline.llm.token_counts import op9_token_counts
 
 QUERIES = {
+    "op7_quality_rules": op7_quality_rules,
     "op8_html_extract": op8_html_extract,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op10_simhash_dedup": op10_simhash_dedup,
