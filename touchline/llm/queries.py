@@ -2,18 +2,22 @@
 
 from touchline.llm.html_extract import op8_html_extract
 from touchline.llm.packing import op5_packing
+from touchline.llm.quality_classifier import op3_quality_classifier
 from touchline.llm.quality_rules import op7_quality_rules
 from touchline.llm.simhash_dedup import op10_simhash_dedup
 from touchline.llm.suffix_dedup import op4_suffix_dedup
 from touchline.llm.token_counts import op9_token_counts
+from touchline.llm.toxicity import op6_toxicity
 
 QUERIES = {
-    "op7_quality_rules": op7_quality_rules,
-    "op8_html_extract": op8_html_extract,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_suffix_dedup": op4_suffix_dedup,
-    "op10_simhash_dedup": op10_simhash_dedup,
     "op5_packing": op5_packing,
+    "op6_toxicity": op6_toxicity,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_html_extract": op8_html_extract,
     "op9_token_counts": op9_token_counts,
+    "op10_simhash_dedup": op10_simhash_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
