@@ -1,6 +1,7 @@
 """Registered queries of this subpackage; ``ORACLE_SQL`` holds those that DuckDB can express."""
 
 from touchline.llm.html_extract import op8_html_extract
+from touchline.llm.lm_scoring import op1_lm_scoring
 from touchline.llm.packing import op5_packing
 from touchline.llm.quality_classifier import op3_quality_classifier
 from touchline.llm.quality_rules import op7_quality_rules
@@ -10,6 +11,7 @@ from touchline.llm.token_counts import op9_token_counts
 from touchline.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "op1_lm_scoring": op1_lm_scoring,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_packing": op5_packing,
