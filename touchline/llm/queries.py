@@ -1,5 +1,6 @@
 """Registered queries of this subpackage; ``ORACLE_SQL`` holds those that DuckDB can express."""
 
+from touchline.llm.decontamination import op2_decontamination
 from touchline.llm.html_extract import op8_html_extract
 from touchline.llm.lm_scoring import op1_lm_scoring
 from touchline.llm.packing import op5_packing
@@ -12,6 +13,7 @@ from touchline.llm.toxicity import op6_toxicity
 
 QUERIES = {
     "op1_lm_scoring": op1_lm_scoring,
+    "op2_decontamination": op2_decontamination,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_packing": op5_packing,
