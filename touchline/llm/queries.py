@@ -1,5 +1,6 @@
 """Registered queries of this subpackage; ``ORACLE_SQL`` holds those that DuckDB can express."""
 
+import corpus_pipeline
 from touchline.llm.decontamination import op2_decontamination
 from touchline.llm.html_extract import op8_html_extract
 from touchline.llm.lm_scoring import op1_lm_scoring
@@ -12,6 +13,7 @@ from touchline.llm.token_counts import op9_token_counts
 from touchline.llm.toxicity import op6_toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_lm_scoring": op1_lm_scoring,
     "op2_decontamination": op2_decontamination,
     "op3_quality_classifier": op3_quality_classifier,
@@ -24,4 +26,4 @@ QUERIES = {
     "op10_simhash_dedup": op10_simhash_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
