@@ -8,6 +8,7 @@ inlined as CTEs.
 
 from __future__ import annotations
 
+import datetime as _dt
 from collections.abc import Callable
 from functools import cached_property
 
@@ -20,8 +21,9 @@ from touchline.functions.text import folded_contains
 from touchline.operators.discovery import discover_entities
 from touchline.operators.rank import rank_by_metric
 from touchline.operators.resolve import resolve_alias
+from touchline.operators.snapshot import latest_per_key
 from touchline.operators.standings import side_pairs
-from touchline.operators.topk import first_per_group_in_pool
+from touchline.operators.topk import first_per_group
 from touchline.plans import catalogue as C
 from touchline.plans import medallion as M
 from touchline.plans import questions as Q
@@ -134,20 +136,25 @@ def q_leaderboard_window_topk(spark, sf_dir):
     return rank_by_metric(best, "stat_type", M.METRIC_BY_STAT, top_k=5).select(*PERF_COLS, "rank")
 
 
+def _top_ranked(spark, sf_dir, k):
+    """The first ``k`` ranks of every stat: no full rank behind a top-k question."""
+    return M.gold_top_performers(Testbed(spark, sf_dir).bronze_performers, tie=("ingested_at", "event_id"), top_k=k)
+
+
 def q_leaderboard_topk(spark, sf_dir):
-    return C.leaderboard(_Gold(spark, sf_dir).ranked, "goals", 10)
+    return C.leaderboard(_top_ranked(spark, sf_dir, 10), "goals", 10)
 
 
 def q_top_performers_assists(spark, sf_dir):
-    return C.top_performers(_Gold(spark, sf_dir).ranked, "assists", 25)
+    return C.top_performers(_top_ranked(spark, sf_dir, 25), "assists", 25)
 
 
 def q_top_performers_rating(spark, sf_dir):
-    return C.top_performers(_Gold(spark, sf_dir).ranked, "rating", 7)
+    return C.top_performers(_top_ranked(spark, sf_dir, 7), "rating", 7)
 
 
 def q_chart_top_scorers(spark, sf_dir):
-    return C.chart_top_scorers(_Gold(spark, sf_dir).ranked)
+    return C.chart_top_scorers(_top_ranked(spark, sf_dir, 10))
 
 
 # --------------------------------------------------------------------------- search and scope
@@ -264,8 +271,8 @@ def q_match_buckets(spark, sf_dir):
 
 def q_recent_one_per_league(spark, sf_dir):
     f = Testbed(spark, sf_dir).silver_fixtures.filter(F.col("is_completed"))
-    return first_per_group_in_pool(f, ["league_id"], [F.col("match_date").desc_nulls_last(),
-                                                      F.col("fixture_id").asc()], 40, 5).select(*SILVER_COLS)
+    return first_per_group(f, ["league_id"], [F.col("match_date").desc_nulls_last(),
+                                              F.col("fixture_id").asc()]).select(*SILVER_COLS)
 
 
 def q_match_detail(spark, sf_dir):
@@ -297,8 +304,7 @@ def q_leagues_to_load(spark, sf_dir):
 
 def q_team_discovery(spark, sf_dir):
     b = Testbed(spark, sf_dir).bronze_fixtures
-    return discover_entities(b, order=("ingested_at", "fixture_id") + FIXTURE_ORDER[1:], cap=10) \
-        .select("id", "name")
+    return discover_entities(b, order=("ingested_at", "fixture_id") + FIXTURE_ORDER[1:]).select("id", "name")
 
 
 # --------------------------------------------------------------------------- feeds
@@ -320,40 +326,91 @@ def q_raw_json_replay(spark, sf_dir):
     return FD.replay_raw(ev, "k bigint", keep=["event_id"], raw_col="props")
 
 
+FEED_TIME = _dt.datetime(2024, 6, 1, 14, 0, tzinfo=_dt.timezone(_dt.timedelta(hours=2)))
+_KEEP_NULLS = {"ignoreNullFields": "false"}
+
+
 def _nested_matches(b):
-    """Bronze fixtures re-nested into the feed's match shape and landed as JSON text."""
+    """Bronze fixtures as one JSON match record each, with a field that no schema names."""
     side = lambda p: F.struct(F.col(f"{p}_team_id").alias("id"), F.col(f"{p}_team_name").alias("name"),
                               F.col(f"{p}_score").alias("score"))
-    rec = F.struct(F.col("fixture_id").alias("id"), side("home").alias("home"), side("away").alias("away"),
+    rec = F.struct(F.col("fixture_id").cast("bigint").alias("id"), side("home").alias("home"), side("away").alias("away"),
+                   F.col("l_partkey").alias("pageId"),
                    F.struct(F.col("match_ts").cast("string").alias("utcTime"),
                             F.struct(F.col("status").alias("short")).alias("reason")).alias("status"))
-    return b.select(F.to_json(rec).alias("json"), "league_id")
+    return b.select(F.parse_json(F.to_json(rec, _KEEP_NULLS)).alias("v"), F.col("league_id").alias("feed_league"))
 
 
 def q_match_feed_flatten(spark, sf_dir):
-    landed = _nested_matches(Testbed(spark, sf_dir).bronze_fixtures)
-    parsed = landed.select(F.from_json("json", FD.MATCH).alias("m"), F.col("league_id").alias("feed_league"))
-    parsed = parsed.select("m.*", "feed_league")
-    flat = FD.flatten_matches(parsed, F.col("feed_league"), 2024)
-    return flat.drop("raw_json", "ingested_at", "source")
+    records = FD.typed(_nested_matches(Testbed(spark, sf_dir).bronze_fixtures), FD.MATCH, keep=["feed_league"])
+    flat = FD.flatten_matches(records, F.col("feed_league"), 2024, ts=FEED_TIME)
+    return flat.withColumn("ingested_at", F.date_format("ingested_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-def q_squad_feed_flatten(spark, sf_dir):
-    tb = Testbed(spark, sf_dir)
-    c = tb.table("customer")
+def _squad_envelopes(spark, sf_dir):
+    """Customers as squads of one member; an account below zero is a set flag of some JSON type."""
+    c = Testbed(spark, sf_dir).table("customer")
+    flag = (F.when(F.col("c_acctbal") >= 0, F.when(F.col("c_custkey") % 2 == 0, F.lit("false")).otherwise(F.lit("0")))
+            .when(F.col("c_custkey") % 3 == 0, F.lit("true")).when(F.col("c_custkey") % 3 == 1, F.lit("yes")).otherwise(F.lit("2")))
     member = F.struct(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"),
                       F.col("c_mktsegment").alias("positionIdsDesc"),
                       (F.col("c_custkey") % 20 + 17).cast("string").alias("age"),
-                      F.lit(None).cast("string").alias("shirtNumber"),
-                      F.when(F.col("c_acctbal") < 0, F.lit("true")).alias("excludeFromRanking"))
-    env = c.select(
-        (F.col("c_nationkey")).cast("string").alias("team_id"),
-        F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string")).alias("team_name"),
-        F.struct(F.struct(F.array(F.struct(F.lit("Squad").alias("title"),
-                                           F.array(member).alias("members"))).alias("squad"))
-                 .alias("list")).alias("response"))
-    players = FD.flatten_squads(env)[1]
-    return players.drop("raw_json", "ingested_at", "source")
+                      F.lit(None).cast("string").alias("shirtNumber"), flag.alias("excludeFromRanking"))
+    squad = F.array(F.struct(F.lit("Squad").alias("title"), F.array(member).alias("members")))
+    named = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("Nation "), F.col("c_nationkey").cast("string"))).otherwise(F.lit(""))
+    return c.select(
+        F.col("c_nationkey").cast("string").alias("team_id"), F.lit("caller").alias("team_name"),
+        F.struct(F.struct(named.alias("name"), squad.alias("squad")).alias("list")).alias("response"))
+
+
+def q_squad_feed_flatten(spark, sf_dir):
+    players = FD.flatten_squads(_squad_envelopes(spark, sf_dir), ts=FEED_TIME)[1]
+    return players.drop("raw_json").withColumn("ingested_at", F.date_format("ingested_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+def q_squad_compact(spark, sf_dir):
+    squads = FD.flatten_squads(_squad_envelopes(spark, sf_dir), ts=FEED_TIME)[0]
+    return squads.drop("raw_json").withColumn("ingested_at", F.date_format("ingested_at", "yyyy-MM-dd HH:mm:ss"))
+
+
+def q_match_normalise(spark, sf_dir):
+    """The same fixtures in two other feed shapes (text names, nested score, state, other date fields)."""
+    b = Testbed(spark, sf_dir).bronze_fixtures
+    home, away = F.col("home_score"), F.col("away_score")
+    live = b.select(F.col("fixture_id").alias("matchId"), F.col("home_team_name").alias("homeTeam"), F.col("away_team_name").alias("awayTeam"),
+                    F.struct(home.alias("home"), away.alias("away")).alias("score"),
+                    F.when(F.col("status") != "NS", F.col("status")).alias("state"), F.col("match_ts").cast("string").alias("startDate"))
+    return FD.normalize_match(live, is_live=True)
+
+
+def q_standings_ids(spark, sf_dir):
+    """Team ids of a standings feed, zero and missing left out."""
+    ids = Testbed(spark, sf_dir).table("supplier").select((F.col("s_suppkey") % 10).cast("string").alias("teamId"))
+    return FD.standings_team_ids(ids).groupBy("team_id").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def q_player_detail_by_id(spark, sf_dir):
+    """One player by id, the preferred league first."""
+    return C.get_player_detail(_Gold(spark, sf_dir).players, "N", player_id="7")
+
+
+def q_players_endpoint(spark, sf_dir):
+    """Q18: the player search with the league given."""
+    return C.players_endpoint(_Gold(spark, sf_dir).players, "R", position="goalkeepers")
+
+
+def q_league_overview_record(spark, sf_dir):
+    """Q6 / E9 as one record; maps and lists as JSON text."""
+    o = C.league_overview(_Gold(spark, sf_dir).players, "A", "Alpha")
+    return o.select("total_players", "total_teams", F.to_json("teams").alias("teams"), F.to_json("position_breakdown").alias("position_breakdown"),
+                    F.to_json("top_nationalities").alias("top_nationalities"), "competition")
+
+
+def q_last_batch_null_key(spark, sf_dir):
+    """H3 with rows that have no team: they keep their own last batch."""
+    m = Testbed(spark, sf_dir).bronze_performers.withColumn("batch_day", F.to_date("ingested_at"))
+    m = m.withColumn("team_name", F.when(F.col("team_name") != "T3", F.col("team_name")))
+    return last_batch_wins(m, "team_name", "batch_day").groupBy("team_name").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def q_envelope_extract(spark, sf_dir):
@@ -393,6 +450,14 @@ def q_intent_mix(spark, sf_dir):
     return Q.intent_mix(Testbed(spark, sf_dir).questions)
 
 
+def q_intent_mix_conversations(spark, sf_dir):
+    return Q.intent_mix(Testbed(spark, sf_dir).table("conversations"))
+
+
+def q_intent_mix_documents(spark, sf_dir):
+    return Q.intent_mix(Testbed(spark, sf_dir).table("documents"))
+
+
 def q_alias_resolution(spark, sf_dir):
     tb = Testbed(spark, sf_dir)
     aliases = tb.leagues.select(F.lower("display").alias("alias"), F.col("league_id").alias("id"), "priority")
@@ -411,9 +476,14 @@ def q_player_demand(spark, sf_dir):
 
 
 def q_incremental_upsert(spark, sf_dir):
-    from touchline.streaming.upsert import replay_as_stream
-    tb = Testbed(spark, sf_dir)
-    return replay_as_stream(spark, tb.bronze_fixtures, ["fixture_id"], FIXTURE_ORDER) \
+    """A batch (the odd orders' snapshots of 1995 on, and late ones of every seventh order) merged into the table built from all
+    other snapshots."""
+    from touchline.streaming.upsert import merge_frame
+    b = Testbed(spark, sf_dir).bronze_fixtures
+    order = F.col("fixture_id").cast("bigint")
+    late = ((order % 2 == 1) & (F.col("ingested_at") >= F.lit("1995-01-01").cast("date"))) | (order % 7 == 0)
+    stored = latest_per_key(b.filter(~late), ["fixture_id"], FIXTURE_ORDER)
+    return merge_frame(stored, b.filter(late), ["fixture_id"], FIXTURE_ORDER) \
         .select("fixture_id", "home_team_id", "away_team_id", "status", "home_score", "away_score", "league_id")
 
 
@@ -467,11 +537,20 @@ _QUERIES = {
     "raw_json_replay": q_raw_json_replay,
     "match_feed_flatten": q_match_feed_flatten,
     "squad_feed_flatten": q_squad_feed_flatten,
+    "squad_compact": q_squad_compact,
+    "match_normalise": q_match_normalise,
+    "standings_ids": q_standings_ids,
+    "player_detail_by_id": q_player_detail_by_id,
+    "players_endpoint": q_players_endpoint,
+    "league_overview_record": q_league_overview_record,
+    "last_batch_null_key": q_last_batch_null_key,
     "envelope_extract": q_envelope_extract,
     "keyed_replace": q_keyed_replace,
     "keyed_delete": q_keyed_delete,
     "backfill_union": q_backfill_union,
     "intent_mix": q_intent_mix,
+    "intent_mix_conversations": q_intent_mix_conversations,
+    "intent_mix_documents": q_intent_mix_documents,
     "alias_resolution": q_alias_resolution,
     "league_demand": q_league_demand,
     "player_demand": q_player_demand,
@@ -497,11 +576,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # =========================================================================== oracle SQL
 # DuckDB text over the raw test tables. The domain views of the test bed are CTEs here.
 
-from touchline.functions.match import COMPLETED_STATUSES, LIVE_STATUSES  # noqa: E402
-from touchline.functions.positions import FEED_POSITION_CODES, POSITION_WORDS  # noqa: E402
-from touchline.plans.catalogue import NAME_PREFIX_RE, NAME_SUFFIX_RE, TRAILING_POSSESSIVE_RE  # noqa: E402
-from touchline.plans.questions import (_LEAD_WORDS, INJECTION_RE, LEADERBOARD_RE,  # noqa: E402
-                                       POSITION_RE, POSITION_WORD_CODES, REFRESH_RE, SWITCH_RE)
+# Every constant is written out here once more: a wrong value in the library shows as a difference.
+
+_SQL_POSITIONS = {
+    "GK": "GK GOALKEEPER", "DEF": "CB RB LB RWB LWB DEF DEFENDER CENTRE-BACK CENTER-BACK",
+    "MID": "CM CDM CAM LM RM DM AM MID MIDFIELDER", "FWD": "ST LW RW CF SS FW FWD FORWARD ATTACKER STRIKER"}
+_SQL_POSITION_WORDS = {
+    "GK": "goalkeeper goalkeepers gk", "DEF": "defender defenders def back",
+    "MID": "midfielder midfielders mid midfield", "FWD": "forward forwards fwd attacker attackers striker strikers winger"}
+_SQL_QUESTION_POSITIONS = {
+    "MID": "midfielder midfielders midfield mid mids", "DEF": "defender defenders defence defense def defs",
+    "FWD": "forward forwards striker strikers attacker attackers fwd fwds", "GK": "goalkeeper goalkeepers keeper keepers gk gks"}
+
+
+def _by_word(groups: dict) -> dict:
+    return {w: code for code, words in groups.items() for w in words.split()}
 
 
 def _q(s: str) -> str:
@@ -521,10 +610,10 @@ def _fold(expr: str) -> str:
     return f"lower(strip_accents({expr}))"
 
 
-_COMPLETED = f"lower(status) in {_in(COMPLETED_STATUSES)}"
-_LIVE = f"upper(status) in {_in(LIVE_STATUSES)}"
-_POSCASE = _case("trim(split_part(upper(coalesce(position, '')), ',', 1))", FEED_POSITION_CODES, "'UNKNOWN'")
-_WORDCASE = _case("lower(trim(position))", POSITION_WORDS, "upper(position)")
+_COMPLETED = "lower(status) in ('ft', 'aet', 'pen', 'finished')"
+_LIVE = "upper(status) in ('1H', '2H', 'HT', 'ET', 'BT', 'P', 'LIVE')"
+_POSCASE = _case("trim(split_part(upper(coalesce(position, '')), ',', 1))", _by_word(_SQL_POSITIONS), "'UNKNOWN'")
+_WORDCASE = _case("lower(trim(position))", _by_word(_SQL_POSITION_WORDS), "upper(position)")
 
 _VIEWS = {
     "v_bronze_fixtures": """v_bronze_fixtures as (
@@ -596,10 +685,10 @@ select event_id, cast(user_id as varchar) as player_id, concat('P', cast(user_id
        concat('T', cast(user_id % 25 as varchar)) as team_name,
        case event_type when 'purchase' then cast(floor(value) as bigint) end as goals,
        case event_type when 'click' then cast(floor(value) as bigint) end as assists,
-       case event_type when 'view' then value end as rating,
+       case when event_type not in ('purchase', 'click') then value end as rating,
        case event_type when 'purchase' then 'goals' when 'click' then 'assists' else 'rating' end as stat_type,
        ts as ingested_at
-from events where event_type in ('purchase', 'click', 'view'))""",
+from events)""",
     "v_best": """v_best as (
 select player_id, player_name, team_name, goals, assists, rating, stat_type from (
   select *, row_number() over (partition by player_id, stat_type order by
@@ -681,47 +770,49 @@ def _card(src: str, completed: str) -> str:
 from {src} s left join v_leagues l on s.league_id = l.league_id"""
 
 
+_SQL_LEAD = (r"(?i)^(?:(?:please|generate|create|show\s+me|show|make|build|download|get\s+me|get|view|display|produce|give\s+me|fetch|find|"
+             r"pull|tell\s+me\s+about|about|for|on)\s+)+")
+_SQL_TAIL = r"(?is)(?:['’]s?)?\s+(?:scouting\s+)?(?:report|profile|details?|info|information)(?:[^a-z].*)?$"
+
+
 def _clean_sql(expr: str) -> str:
-    c = f"trim({expr})"
-    for _ in range(4):
-        c = f"regexp_replace({c}, {_q(NAME_PREFIX_RE)}, '')"
-    c = f"trim(regexp_replace({c}, {_q(NAME_SUFFIX_RE)}, ''))"
-    return f"trim(regexp_replace({c}, {_q(TRAILING_POSSESSIVE_RE)}, ''))"
+    c = f"trim(regexp_replace(regexp_replace(trim({expr}), {_q(_SQL_LEAD)}, ''), {_q(_SQL_TAIL)}, ''))"
+    return f"trim(regexp_replace({c}, {_q(r"['’]s?\s*$")}, ''))"
 
 
 def _report_name_sql(t: str) -> str:
-    word = "[A-Za-z][a-zA-Z]+"
-    name3 = f"({word}(?:\\s+{word}){{0,2}})"
-    stop = "(?i)^(a|an|the|any|all|report|scouting|pdf|me|for|about|please|of|on)$"
-    lead = "(?i)^((" + _LEAD_WORDS + ")\\s+)+"
-    lead_only = "(?i)^(" + _LEAD_WORDS + ")$"
-    c1 = f"regexp_extract({t}, {_q('(?i)\\bfor\\b\\s+' + name3)}, 1)"
-    c1b = f"regexp_extract({t}, {_q('(?i)\\babout\\b\\s+' + name3)}, 1)"
-    c2 = f"trim(regexp_replace(regexp_extract({t}, {_q('(?i)' + name3 + '[\'’]s\\s+(?:scouting\\s+)?report')}, 1), {_q(lead)}, ''))"
-    c2 = f"(case when regexp_matches({c2}, {_q(lead_only)}) then '' else {c2} end)"
-    c3 = f"regexp_replace(regexp_extract({t}, {_q('(?i)' + name3 + '\\s+(?:scouting\\s+)?report\\b')}, 1), {_q(lead)}, '')"
-    c3 = f"(case when regexp_matches({c3}, {_q(lead_only)}) then '' else {c3} end)"
-    c3 = f"trim(regexp_replace({c3}, {_q('(?i)(\\s+(scouting|report))+$')}, ''))"
-    return f"""(case when {c1} <> '' and not regexp_matches({c1}, {_q(stop)}) then {c1}
-      when {c1b} <> '' and not regexp_matches({c1b}, {_q(stop)}) then {c1b}
-      when {c2} <> '' then {c2}
-      when {c3} <> '' and not regexp_matches({c3}, {_q(stop)}) then {c3}
-      else '' end)"""
-
-
-def _intent_sql() -> str:
-    pos_word = f"lower(regexp_extract(text, {_q(POSITION_RE)}, 1))"
-    lb_word = f"lower(regexp_extract(text, {_q(LEADERBOARD_RE)}, 1))"
-    league = f"trim(regexp_replace(trim(regexp_extract(text, {_q(SWITCH_RE)}, 1)), '[?.!]+$', ''))"
-    intent = f"""case when text is null or text = '' or length(text) > 300 or regexp_matches(text, {_q(INJECTION_RE)}) then 'unmatched'
-       when regexp_matches(text, {_q(POSITION_RE)}) then 'position_lookup'
-       when regexp_matches(text, {_q(LEADERBOARD_RE)}) then 'leaderboard'
-       when regexp_matches(text, {_q(REFRESH_RE)}) then 'refresh_data'
-       when regexp_matches(text, {_q(SWITCH_RE)}) and {league} <> '' then 'switch_league'
+    after = r"(?is)(?:^|[^\p{L}\p{N}])(?:for|about)\s+(.+)"
+    ends = r"(?is)(?:^|\s+)(?:report|scouting|profile|pdf|please|for|about|of|on|in|from|with)(?:[^\p{L}\p{N}].*)?$"
+    before = r"(?is)^(.*?)(?:['’]s)?\s+(?:scouting\s+)?report(?:[^\p{L}\p{N}]|$)"
+    lead = (r"(?i)^(?:(?:generate|create|make|show|download|get|build|produce|view|display|give|fetch|find|pull|save|export|me|an|a|the|please)"
+            r"\s+)+")
+    edge = r"(?:['’]s)?[\s?.!,;:]*$"
+    c1 = f"trim(regexp_replace(regexp_replace(regexp_extract({t}, {_q(after)}, 1), {_q(ends)}, ''), {_q(edge)}, ''))"
+    c2 = f"trim(regexp_replace(regexp_replace(concat(trim(regexp_extract({t}, {_q(before)}, 1)), ' '), {_q(lead)}, ''), {_q(edge)}, ''))"
+    none = "('', 'a', 'an', 'the', 'any', 'all', 'me', 'report', 'scouting', 'pdf')"
+    return f"(case when lower({c1}) not in {none} then {c1} when lower({c2}) not in {none} then {c2} else '' end)"
+
+
+def _intent_sql(log: str = "v_questions") -> str:
+    word, gap, end = r"(?i)(?:^|[^\p{L}\p{N}])", r"[^\p{L}\p{N}?\n](?:[^?\n]*?[^\p{L}\p{N}?\n])??", r"(?:[^\p{L}\p{N}]|$)"
+    words = sorted(_by_word(_SQL_QUESTION_POSITIONS), key=lambda w: (-len(w), w))
+    position = f"{word}(?:best|top|youngest|young|finest|elite|greatest){gap}({'|'.join(words)}){end}"
+    board = f"{word}(?:top|best|most|leading|highest){gap}(goalscorers|goalscorer|scorers|scorer|assisters|assister|assists|assist|goals|goal|rated|ratings|rating){end}"
+    switch = f"{word}(?:switch|change|move|set){gap}(?:to|into|league)\\s+(.+)"
+    refresh = f"{word}(?:refresh|resync|re-sync|re\\s+sync|sync){end}"
+    steer = (f"{word}(?:ignore\\s+(?:previous|all|prior|the)|you\\s+are\\s+now|system\\s+prompt|new\\s+instructions?|forget\\s+(?:everything|all)|"
+             f"act\\s+as|pretend\\s+to\\s+be|disregard){end}|{word}role\\s*:")
+    pos_word, lb_word = (f"lower(regexp_extract(text, {_q(p)}, 1))" for p in (position, board))
+    league = f"trim(regexp_replace(trim(regexp_extract(text, {_q(switch)}, 1)), '[?.!]+$', ''))"
+    intent = f"""case when text is null or text = '' or regexp_matches(text, {_q(steer)}) then 'unmatched'
+       when regexp_matches(text, {_q(position)}) then 'position_lookup'
+       when regexp_matches(text, {_q(board)}) then 'leaderboard'
+       when regexp_matches(text, {_q(refresh)}) then 'refresh_data'
+       when regexp_matches(text, {_q(switch)}) and {league} <> '' then 'switch_league'
        else 'unmatched' end"""
-    poscode = "case " + pos_word + " " + " ".join(f"when {_q(k)} then {_q(v)}" for k, v in POSITION_WORD_CODES.items()) + " end"
+    poscode = "case " + pos_word + " " + " ".join(f"when {_q(k)} then {_q(v)}" for k, v in _by_word(_SQL_QUESTION_POSITIONS).items()) + " end"
     stat = f"case when starts_with({lb_word}, 'assist') then 'assists' when starts_with({lb_word}, 'rat') then 'rating' else 'goals' end"
-    return f"""with t as (select text, count(*) as n from v_questions group by text),
+    return f"""with t as (select text, count(*) as n from {log} group by text),
 c as (select n, {intent} as intent, text from t),
 e as (select n, intent, case intent when 'position_lookup' then {poscode.replace('text', 'c.text')}
                                   when 'leaderboard' then {stat}
@@ -761,7 +852,7 @@ def oracle_sql() -> dict[str, str]:
         "leaderboard_rank": W("select * from v_ranked", "v_ranked"),
         "leaderboard_window_topk": W("select * from v_ranked where rank <= 5", "v_ranked"),
         "leaderboard_topk": _top_perf("goals", 10),
-        "top_performers_assists": _top_perf("assists", 20),
+        "top_performers_assists": _top_perf("assists", 25),
         "top_performers_rating": _top_perf("rating", 7),
         "chart_top_scorers": W("select player_name, goals from v_ranked where stat_type = 'goals' and goals is not null "
                                "order by rank limit 10", "v_ranked"),
@@ -802,7 +893,7 @@ def oracle_sql() -> dict[str, str]:
         "top_teams": W("select team_name, points from " + _fallback("v_standings", "league_id = 'N'")
                        + " q order by points desc, team_id, league_id limit 15", "v_standings"),
         "team_list": W("select * from " + _fallback("v_standings", "league_id = 'R'")
-                       + " q order by team_id, league_id limit 100", "v_standings"),
+                       + " q", "v_standings"),
         "team_depth": W("select position, count(*) as cnt from "
                         + _fallback(f"(select * from v_gold_players where contains({_fold('team_name')}, 't1'))",
                                     "league_id = 'A'") + " q group by position", "v_gold_players"),
@@ -835,21 +926,16 @@ group by team_id, rn""", "v_players"),
                                 "coalesce(try_cast(cast(pts as varchar) as double), 0.0) as value "
                                 "from (select team_name, sum(points) as pts from v_standings group by team_name) q",
                                 "v_standings"),
-        "match_buckets": W(f""", live as (select * from v_silver_fixtures where not is_completed and {_LIVE}
-                  order by match_date asc nulls first, fixture_id limit 20),
-upcoming as (select * from v_silver_fixtures where match_date >= date '{AS_OF}' and not is_completed and not ({_LIVE})
-             order by match_date asc nulls first, fixture_id limit 5),
-pool as (select * from v_silver_fixtures where is_completed order by match_date desc nulls last, fixture_id limit 40),
+        "match_buckets": W(f""", live as (select * from v_silver_fixtures where not is_completed and {_LIVE}),
+upcoming as (select * from v_silver_fixtures where match_date >= date '{AS_OF}' and not is_completed and not ({_LIVE})),
 recent as (select * from (select *, row_number() over (partition by league_id order by match_date desc nulls last, fixture_id) as rn
-                          from pool) q where rn = 1 order by match_date desc nulls last, fixture_id limit 5)
+                          from v_silver_fixtures where is_completed) q where rn = 1)
 select 'live' as bucket, * from ({_card('live', 'false')}) a
 union all select 'upcoming', * from ({_card('upcoming', 'false')}) b
 union all select 'recent', * from ({_card('recent', 'true')}) c""", "v_silver_fixtures", "v_leagues"),
-        "recent_one_per_league": W(f""", pool as (select * from v_silver_fixtures where is_completed
-              order by match_date desc nulls last, fixture_id limit 40)
-select {_SILVER_COLS} from (select *, row_number() over (partition by league_id order by match_date desc nulls last, fixture_id) as rn
-                        from pool) q where rn = 1 order by match_date desc nulls last, fixture_id limit 5""",
-                                   "v_silver_fixtures"),
+        "recent_one_per_league": W(f"""select {_SILVER_COLS} from (
+  select *, row_number() over (partition by league_id order by match_date desc nulls last, fixture_id) as rn
+  from v_silver_fixtures where is_completed) q where rn = 1""", "v_silver_fixtures"),
         "match_detail": W(f""", card as ({_card('v_silver_fixtures', 'is_completed')})
 select c.*, r.winner, r.total_goals, r.goal_difference
 from card c left join v_results r on c.fixture_id = r.fixture_id and c.is_completed""", "v_silver_fixtures", "v_results", "v_leagues"),
@@ -887,9 +973,7 @@ where not exists (select 1 from v_gold_players p where p.league_id = l.league_id
 f as (select *, row_number() over (partition by id order by ingested_at, fixture_id, l_linenumber, l_partkey, l_suppkey,
                                    l_quantity, l_discount, l_extendedprice, side, name) as rn
       from s where id is not null and id <> '')
-select id, coalesce(nullif(name, ''), id) as name from f where rn = 1
-order by ingested_at, fixture_id, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_extendedprice, side, name, id
-limit 10""", "v_bronze_fixtures"),
+select id, coalesce(nullif(name, ''), id) as name from f where rn = 1""", "v_bronze_fixtures"),
         "metric_feed_merge": W("""select player_id, player_name, '' as team_id, team_name, coalesce(goals, 0) as goals,
        cast(null as bigint) as assists, cast(null as double) as rating, 'goals' as stat_type
 from v_bronze_performers where stat_type = 'goals'
@@ -902,13 +986,42 @@ from v_bronze_performers where stat_type = 'rating'""", "v_bronze_performers"),
         "raw_json_replay": "select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events",
         "match_feed_flatten": W("""select fixture_id, home_team_id, home_team_name, away_team_id, away_team_name,
        cast(match_ts as varchar) as match_date, status, home_score, away_score, league_id,
-       cast(2024 as bigint) as season
+       cast(2024 as bigint) as season,
+       cast(json_object('away', json_object('id', away_team_id, 'name', away_team_name, 'score', away_score),
+                        'home', json_object('id', home_team_id, 'name', home_team_name, 'score', home_score),
+                        'id', cast(fixture_id as bigint), 'pageId', l_partkey,
+                        'status', json_object('reason', json_object('short', status), 'utcTime', cast(match_ts as varchar))) as varchar) as raw_json,
+       '2024-06-01 12:00:00' as ingested_at, 'live-football-feed' as source
 from v_bronze_fixtures""", "v_bronze_fixtures"),
         "squad_feed_flatten": """select cast(c_custkey as varchar) as player_id, cast(c_nationkey as varchar) as team_id,
-       concat('Nation ', cast(c_nationkey as varchar)) as team_name, c_name as name, c_mktsegment as position,
-       concat('Nation ', cast(c_nationkey as varchar)) as nationality, c_custkey % 20 + 17 as age,
-       cast(null as bigint) as jersey_number
-from customer where c_acctbal >= 0 or c_acctbal is null""",
+       case when c_custkey % 2 = 0 then concat('Nation ', cast(c_nationkey as varchar)) else 'caller' end as team_name, c_name as name,
+       c_mktsegment as position, case when c_custkey % 2 = 0 then concat('Nation ', cast(c_nationkey as varchar)) else 'caller' end as nationality,
+       c_custkey % 20 + 17 as age, cast(null as bigint) as jersey_number, '2024-06-01 12:00:00' as ingested_at, 'live-football-feed' as source
+from customer where c_acctbal >= 0""",
+        "squad_compact": """select cast(c_nationkey as varchar) as team_id,
+       case when c_custkey % 2 = 0 then concat('Nation ', cast(c_nationkey as varchar)) else 'caller' end as team_name,
+       cast(c_custkey as varchar) as player_id, c_name as player_name, c_mktsegment as position,
+       '2024-06-01 12:00:00' as ingested_at, 'live-football-feed' as source from customer where c_acctbal >= 0""",
+        "match_normalise": W("""select fixture_id, home_team_name as home_team, away_team_name as away_team, home_score, away_score,
+       case when status <> 'NS' then status else 'LIVE' end as status, cast(match_ts as varchar) as match_date, cast(null as varchar) as match_time
+from v_bronze_fixtures""", "v_bronze_fixtures"),
+        "standings_ids": """select cast(s_suppkey % 10 as bigint) as team_id, count(*) as rows from supplier where s_suppkey % 10 <> 0 group by 1""",
+        "player_detail_by_id": W(f"""select {_PLAYER_COLS} from v_gold_players where player_id = '7'
+order by case when league_id = 'N' then 0 else 1 end, league_id nulls last limit 1""", "v_gold_players"),
+        "players_endpoint": W("select * from " + _fallback("(select * from v_gold_players where position = 'GK')", "league_id = 'R'")
+                              + " q order by team_name, name, player_id, league_id nulls first limit 20", "v_gold_players"),
+        "league_overview_record": W(""", p as (select * from v_gold_players where league_id = 'A'),
+n as (select nationality, count(*) as cnt from p group by 1 order by cnt desc, nationality limit 10)
+select (select count(*) from p) as total_players, (select count(distinct team_name) from p) as total_teams,
+       (select concat('[', string_agg(concat('"', team_name, '"'), ',' order by team_name), ']') from (select distinct team_name from p)) as teams,
+       (select concat('{', string_agg(concat('"', position, '":', cnt), ',' order by position), '}')
+        from (select position, count(*) as cnt from p group by 1)) as position_breakdown,
+       (select concat('[', string_agg(concat('{"nationality":"', nationality, '","count":', cnt, '}'), ',' order by cnt desc, nationality), ']') from n)
+         as top_nationalities, 'Alpha (League A)' as competition""", "v_gold_players"),
+        "last_batch_null_key": W(""", m as (select case when team_name <> 'T3' then team_name end as team_name, cast(ingested_at as date) as d
+                                           from v_bronze_performers),
+l as (select team_name, max(d) as d from m group by 1)
+select m.team_name, count(*) as rows from m join l on m.team_name is not distinct from l.team_name and m.d = l.d group by 1""", "v_bronze_performers"),
         "envelope_extract": """select case when n_regionkey % 2 = 0 then cast(n_nationkey as varchar)
             else concat('p', cast(n_nationkey as varchar)) end as id, n_name as name
 from nation where n_name is not null and n_name <> ''""",
@@ -925,6 +1038,8 @@ from (select *, cast(ingested_at as date) as batch_day,
              max(cast(ingested_at as date)) over (partition by team_name) as last_day
       from v_bronze_performers) q where batch_day = last_day""", "v_bronze_performers"),
         "intent_mix": W(", " + _intent_sql()[len("with "):], "v_questions"),
+        "intent_mix_conversations": _intent_sql("conversations"),
+        "intent_mix_documents": _intent_sql("documents"),
         "alias_resolution": W(f", {_ALIAS_HITS}\nselect text, resolved_id from resolved", "v_questions", "v_leagues"),
         "league_demand": W(f", {_ALIAS_HITS}\nselect resolved_id, cast(sum(n) as bigint) as questions from resolved group by resolved_id",
                            "v_questions", "v_leagues"),

@@ -58,14 +58,15 @@ def test_flatten_squads_drops_excluded_members(spark):
 
 
 def test_merge_metric_feeds(spark):
-    scorers = _json_df(spark, [{"id": 7, "name": "Ronaldo", "teamId": 1, "teamName": "Portugal", "goals": 12}], FD.PERFORMER)
-    assisters = _json_df(spark, [{"id": 9, "name": "Mbappe", "teamId": 2, "teamName": "France", "assists": 7}], FD.PERFORMER)
-    rated = _json_df(spark, [{"id": 11, "name": "Bellingham", "teamId": 3, "teamName": "England", "rating": 8.73}], FD.PERFORMER)
+    scorers = _json_df(spark, [{"id": 71, "name": "Abel", "teamId": 4, "teamName": "Norway", "goals": 3}], FD.PERFORMER)
+    assisters = _json_df(spark, [{"id": 72, "name": "Bruno", "teamId": 5, "teamName": "Chile", "assists": 4}], FD.PERFORMER)
+    rated = _json_df(spark, [{"id": 73, "name": "Cato", "teamId": 6, "teamName": "Ghana", "rating": 6.5}], FD.PERFORMER)
     out = FD.merge_metric_feeds({"goals": scorers, "assists": assisters, "rating": rated}, ts=TS).collect()
     assert len(out) == 3 and len({r.ingested_at for r in out}) == 1
     by = {r.stat_type: r for r in out}
-    assert (by["goals"].goals, by["goals"].assists, by["goals"].rating) == (12, None, None)
-    assert by["assists"].assists == 7 and by["rating"].rating == 8.73
+    assert (by["goals"].goals, by["goals"].assists, by["goals"].rating) == (3, None, None)
+    assert by["assists"].assists == 4 and by["rating"].rating == 6.5
+    assert {r.league_id for r in FD.merge_metric_feeds({"goals": scorers}, league_id="47").collect()} == {"47"}
     no_goals = _json_df(spark, [{"id": 1, "name": "X"}], FD.PERFORMER)
     assert FD.merge_metric_feeds({"goals": no_goals}).collect()[0].goals == 0
 
@@ -81,6 +82,42 @@ def test_normalize_match_alternative_paths(spark):
     df = spark.createDataFrame([("9", "A", "B", "2", None)], "matchId string, home_team string, away_team string, homeScore string, status string")
     r = FD.normalize_match(df, is_live=True).collect()[0]
     assert (r.fixture_id, r.home_team, r.home_score, r.away_score, r.status) == ("9", "A", 2, None, "LIVE")
+    other = spark.createDataFrame([("4", "Text A", "Text B", (1, 2), "HT", "2024-02-03")],
+                                  "id string, homeTeam string, awayTeam string, score struct<home:int,away:int>, state string, matchDate string")
+    r = FD.normalize_match(other, is_live=False).collect()[0]
+    assert (r.home_team, r.away_team, r.home_score, r.away_score, r.status, r.match_date) == ("Text A", "Text B", 1, 2, "HT", "2024-02-03")
+
+
+def test_a_line_is_a_record(spark, scratch):
+    import os
+    os.makedirs(scratch)
+    with open(f"{scratch}/lines.json", "w") as f:
+        f.writelines(json.dumps({"response": {"matches": [{"id": i, "odd": i * 1.5}]}}) + "\n" for i in range(5))
+    assert FD.read_json(spark, f"{scratch}/lines.json", FD.MATCH_ENVELOPE).count() == 5
+    got = FD.read_matches(spark, f"{scratch}/lines.json").collect()
+    assert sorted(r.id for r in got) == list("01234") and {json.loads(r.raw_json)["odd"] for r in got} == {0, 1.5, 3, 4.5, 6}
+    with open(f"{scratch}/whole.json", "w") as f:
+        json.dump([{"response": {"matches": [{"id": i}]}} for i in range(3)], f, indent=1)
+    assert FD.read_matches(spark, f"{scratch}/whole.json", whole_document=True).count() == 3
+
+
+def test_batch_stamp_keeps_its_instant_in_any_zone(spark, monkeypatch):
+    import time
+    at = dt.datetime(2024, 5, 1, 12, tzinfo=dt.timezone.utc)
+    for zone in ("America/New_York", "Asia/Tokyo", "UTC"):
+        monkeypatch.setenv("TZ", zone)
+        time.tzset()
+        for ts in (at, at.replace(tzinfo=None), at.astimezone(dt.timezone(dt.timedelta(hours=5)))):
+            out = FD.stamp(spark.range(1), ts=ts).select(F.unix_timestamp("ingested_at").alias("s")).first()
+            assert out.s == at.timestamp()
+    monkeypatch.undo()
+    time.tzset()
+
+
+def test_flags_of_any_json_type(spark):
+    rows = [(v,) for v in (None, "", "false", "0", "true", "yes", "2", "False", "[]")]
+    df = spark.createDataFrame(rows, "f string")
+    assert [r.t for r in df.select(FD.truthy(F.col("f")).alias("t")).collect()] == [False] * 4 + [True] * 3 + [False] * 2
 
 
 def test_standings_team_ids(spark):
@@ -111,6 +148,9 @@ def test_keyed_replace_truth_table(spark, scratch):
     assert [tuple(r) for r in read_table(spark, path).collect()] == [("1", 10)]
     replace_where(spark, path, _rows(spark, [("3", 3)]), F.col("no_such_column") == 1)    # failing delete
     assert sorted(tuple(r) for r in read_table(spark, path).collect()) == [("1", 10), ("3", 3)]
+    replace_where(spark, path, _rows(spark, [("4", 4)]), F.raise_error(F.lit("on the data")).cast("boolean"))  # fails when run
+    assert sorted(tuple(r) for r in read_table(spark, path).collect()) == [("1", 10), ("3", 3), ("4", 4)]
+    assert delete_where(spark, path, F.lit(True)) == 3 and read_table(spark, path).count() == 0
 
 
 def test_delete_null_predicate_keeps_rows(spark, scratch):
@@ -141,7 +181,7 @@ def test_replace_partitions_dynamic_and_empty_skip(spark, scratch):
     replace_partitions(spark.createDataFrame([("a", "L1"), ("b", "L2")], "id string, league_id string"), path, ["league_id"])
     replace_partitions(spark.createDataFrame([("c", "L1")], "id string, league_id string"), path, ["league_id"])
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == ["b", "c"]
-    assert replace_partitions(spark.createDataFrame([], "id string, league_id string"), path, ["league_id"]) is False
+    replace_partitions(spark.createDataFrame([], "id string, league_id string"), path, ["league_id"])
     assert spark.read.parquet(path).count() == 2
 
 
@@ -200,18 +240,42 @@ def test_partitioned_write_is_rebalanced(spark, scratch):
     assert spark.read.parquet(f"{scratch}/squads").count() == 4000
 
 
-def test_versioned_partitioned_write_is_rebalanced(spark, scratch):
-    """A new table version written by partition holds one file per partition value."""
+def test_one_teams_replace_touches_one_bucket(spark, scratch):
     import glob
-    from pyspark.sql import functions as F
-    from touchline.sinks.tables import read_table, write_version
-    rows = spark.range(3000).select(F.element_at(F.array(*[F.lit(x) for x in "ANR"]),
-                                                 (F.col("id") % 3 + 1).cast("int")).alias("league_id"),
-                                    F.col("id").alias("v")).repartition(9)
-    out = write_version(rows, f"{scratch}/gold", ["league_id"])
-    dirs = glob.glob(f"{out}/league_id=*")
-    assert len(dirs) == 3 and all(len(glob.glob(f"{d}/*.parquet")) == 1 for d in dirs)
-    assert read_table(spark, f"{scratch}/gold").count() == 3000
+    path = f"{scratch}/t"
+    replace_keys(spark, path, _rows(spark, [(str(i), i) for i in range(300)]), ["team_id"], buckets=8)
+    before = {f: __import__("os").stat(f).st_mtime_ns for f in glob.glob(f"{path}/_bucket=*/*.parquet")}
+    assert replace_keys(spark, path, _rows(spark, [("7", 70), ("7", 71)]), ["team_id"], buckets=8) == {"deleted": 1, "written": True}
+    after = {f: __import__("os").stat(f).st_mtime_ns for f in glob.glob(f"{path}/_bucket=*/*.parquet")}
+    assert len({f.rsplit("/", 1)[0] for f in set(before.items()) ^ set(after.items()) for f in [f[0]]}) == 1
+    assert sorted(r.v for r in read_table(spark, path).collect() if r.team_id == "7") == [70, 71]
+    assert read_table(spark, path).count() == 301
+
+
+def test_blank_keys_stay_and_an_unnamed_batch_clears(spark, scratch):
+    path = f"{scratch}/t"
+    replace_keys(spark, path, _rows(spark, [("", 1), (None, 2), ("a", 3)]), ["team_id"])
+    replace_keys(spark, path, _rows(spark, [("", 4), ("a", 5)]), ["team_id"])
+    assert sorted((r.team_id or "-", r.v) for r in read_table(spark, path).collect()) == [("", 1), ("", 4), ("-", 2), ("a", 5)] or \
+        sorted(r.v for r in read_table(spark, path).collect()) == [1, 2, 4, 5]
+    assert replace_keys(spark, path, _rows(spark, []), ["team_id"])["written"] is False
+    replace_keys(spark, path, _rows(spark, [("", 9)]), ["team_id"])
+    assert [r.v for r in read_table(spark, path).collect()] == [9]
+
+
+def test_append_overwrite_and_probes(spark, scratch):
+    from touchline.sinks.tables import append_rows, overwrite_table, qualified, table_has_rows
+    append_rows(_rows(spark, [("1", 1)]), f"{scratch}/a")
+    append_rows(_rows(spark, [("2", 2)]), f"{scratch}/a")
+    assert spark.read.parquet(f"{scratch}/a").count() == 2
+    overwrite_table(_rows(spark, [("1", 1), ("2", 2)]), "tl_test_overwrite", ["team_id"])
+    overwrite_table(_rows(spark, [("3", 3)]), "tl_test_overwrite", ["team_id"])
+    assert [r.v for r in spark.table("tl_test_overwrite").collect()] == [3]
+    spark.sql("DROP TABLE tl_test_overwrite")
+    assert qualified("t", "c", "d") == "c.d.t" and qualified("t") == "t"
+    assert table_has_rows(_rows(spark, [("1", 1)])) and not table_has_rows(_rows(spark, [])) and not table_has_rows(None)
+    squads = _json_df(spark, [{"team_id": "9", "team_name": "N", "response": {"list": {"squad": [{"members": [{"id": 1, "name": "A"}]}]}}}], FD.SQUAD_ENVELOPE)
+    assert FD.all_players(None, squads).count() == 1 and FD.all_players(_rows(spark, [("1", 1)]), squads).columns == ["team_id", "v"]
 
 
 def test_upsert_stream_available_now_twice(spark, scratch):
@@ -237,13 +301,3 @@ def test_or_default_only_when_empty(spark):
     empty = spark.createDataFrame([], "id string, name string")
     assert [r.id for r in FD.or_default(empty, defaults).collect()] == ["77"]
     assert has_key(got, "id", "47") and not has_key(got, "id", "48") and not has_key(None, "id", "1")
-
-
-def test_half_written_version_is_ignored(spark, scratch):
-    import os
-    path = f"{scratch}/t"
-    replace_where(spark, path, _rows(spark, [("1", 1)]))
-    os.makedirs(f"{path}/_v000002")                      # a writer died before committing
-    assert [tuple(r) for r in read_table(spark, path).collect()] == [("1", 1)]
-    replace_where(spark, path, _rows(spark, [("2", 2)]))
-    assert sorted(tuple(r) for r in read_table(spark, path).collect()) == [("1", 1), ("2", 2)]

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.functions import fold, fold_text, folded_contains, position_code, position_from_word, winner
-from touchline.operators import (best_per_key, discover_entities, first_per_group_in_pool,
+from touchline.operators import (best_per_key, discover_entities, first_per_group,
                                  global_row_number, latest_per_key, preferred_first, rank_by_metric,
                                  resolve_alias, side_pairs, substring_join, two_sided_standings,
                                  with_fallback)
@@ -144,11 +144,29 @@ def test_preferred_first_nulls(spark):
     assert got == ["c", "b", "a"]
 
 
-def test_first_per_group_in_pool(spark):
-    rows = [(i, "L" + str(i % 3), 100 - i) for i in range(30)]
+def test_first_per_group_sees_every_group(spark):
+    """One busy league holds the latest hundred rows; the others still show theirs."""
+    rows = [(i, "L0", 1000 + i) for i in range(100)] + [(500, "L1", 5), (501, "L2", 6), (502, None, 7)]
     df = spark.createDataFrame(rows, "id long, league_id string, d long")
-    out = first_per_group_in_pool(df, ["league_id"], [F.col("d").desc(), F.col("id")], pool=5, limit=2).collect()
-    assert [r.id for r in out] == [0, 1]
+    order = [F.col("d").desc(), F.col("id")]
+    assert sorted(r.id for r in first_per_group(df, ["league_id"], order).collect()) == [99, 500, 501, 502]
+    assert [r.id for r in first_per_group(df, ["league_id"], order, limit=2).collect()] == [99, 502]
+
+
+def test_row_numbers_keep_null_groups(spark):
+    from touchline.operators.rank import global_row_number
+    df = spark.createDataFrame([(None, 1), ("a", 2), (None, 3), ("a", 4)], "g string, v long")
+    got = sorted((r.g or "", r.v, r["rank"]) for r in global_row_number(df, [F.col("v").asc()], group="g").collect())
+    assert got == [("", 1, 1), ("", 3, 2), ("a", 2, 1), ("a", 4, 2)]
+
+
+def test_every_script_finds_itself(spark):
+    from touchline.functions.text import folded_contains
+    names = ["손흥민", "ガンバ大阪", "Ｍüller", "x²", "Σωκράτης", "Чайка Йод", "Nguyễn", "½", "Łukasz", "ﬁnal", "مُحَمَّد"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    for n in names:
+        assert n in {r.n for r in df.filter(folded_contains("n", n)).collect()}, n
+    assert [r.n for r in df.filter(folded_contains("n", "muller")).collect()] == ["Ｍüller"]
 
 
 def test_fold_matches_python_fold(spark):
@@ -161,8 +179,8 @@ def test_fold_matches_python_fold(spark):
 def test_fold_every_block_letter_and_decomposed_text(spark):
     """Fast path (no rare letter, no mark) and slow path give the Python fold for every
     letter of the folded blocks, alone and inside longer text, and for decomposed input."""
-    from touchline.functions.text import _FOLD_BLOCKS
-    letters = [chr(cp) for lo, hi in _FOLD_BLOCKS for cp in range(lo, hi + 1)
+    from touchline.functions.text import _EXPANDING_BLOCKS
+    letters = [chr(cp) for lo, hi in _EXPANDING_BLOCKS for cp in range(lo, hi + 1)
                if unicodedata.category(chr(cp)) not in ("Cn", "Cs")]
     words = letters + ["Ab " + ch + " Zé" for ch in letters]
     words += [unicodedata.normalize("NFD", "Mbappé Ødegaard"), "plain ascii TEXT", "", None,
@@ -197,21 +215,15 @@ def test_resolve_alias_longest_first(spark):
     assert ordered["uefa world cup qualification"] == "77"
 
 
-def test_resolve_alias_large_table_path_equals_broadcast(spark):
-    """Beyond the row limit the aliases take the 3-gram equi-join; results are identical,
-    short (1-2 letter) aliases included."""
+def test_resolve_alias_short_aliases(spark):
     log = spark.createDataFrame([("uefa world cup qualification",), ("switch to la liga",), ("nothing",),
                                  ("x marks",), ("",), (None,)], "text string")
     aliases = spark.createDataFrame([("world cup", "77", 1), ("wc qualification", "10195", 2),
                                      ("qualification", "10195", 3), ("la liga", "140", 4), ("la", "9", 5),
                                      ("x", "8", 6), ("", "0", 0), ("World Cup", "78", 1)],
                                     "alias string, id string, priority int")
-    for longest in (True, False):
-        small = {r.text: r.resolved_id for r in resolve_alias(log, "text", aliases, longest_first=longest).collect()}
-        large = {r.text: r.resolved_id for r in
-                 resolve_alias(log, "text", aliases, longest_first=longest, broadcast_max_rows=0).collect()}
-        assert small == large
-        assert small["x marks"] == "8" and small["nothing"] is None and small[""] is None
+    got = {r.text: r.resolved_id for r in resolve_alias(log, "text", aliases).collect()}
+    assert got == {"uefa world cup qualification": "10195", "switch to la liga": "140", "nothing": None, "x marks": "8", "": None, None: None}
 
 
 def test_substring_join_equals_brute_force(spark):
@@ -230,7 +242,7 @@ def test_discover_entities_degenerate_sides(spark):
             ("5", "Renamed", "7", "S2", 4)]
     out = {r.id: r.name for r in discover_entities(spark.createDataFrame(rows, schema)).collect()}
     assert out == {"5": "Five", "10": "10", "7": "Seven"}
-    capped = discover_entities(spark.createDataFrame(rows, schema), cap=2).collect()
+    capped = discover_entities(spark.createDataFrame(rows, schema), first=2).collect()
     assert [r.id for r in capped] == ["5", "10"]
 
 

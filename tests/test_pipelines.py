@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from touchline.plans import catalogue as C
@@ -56,12 +57,13 @@ def test_player_detail_needs_a_filter(spark):
     assert C.get_player_detail(p, "L2", player_name="show me Cris's profile").collect()[0].player_id == "3"
 
 
-def test_limits_clamped(spark):
+def test_limits_are_honoured(spark):
     ranked = spark.createDataFrame([(f"p{i}", "t", i, "goals", i + 1) for i in range(80)],
                                    "player_name string, team_name string, goals long, stat_type string, rank long")
-    assert C.leaderboard(ranked, "goals", 500).count() == 50
-    assert C.top_performers(ranked, "nonsense", 500).count() == 20
-    assert C.top_performers(ranked, "goals", 0).count() == 1
+    assert C.leaderboard(ranked, "goals", 500).count() == 80
+    assert C.top_performers(ranked, "nonsense", 25).count() == 25
+    with pytest.raises(ValueError):
+        C.top_performers(ranked, "goals", 0)
 
 
 def _bronze(spark):
@@ -111,7 +113,8 @@ def _land(path, objs):
     import os
     os.makedirs(path, exist_ok=True)
     with open(f"{path}/part-0.json", "w") as f:
-        json.dump(objs, f)
+        for o in objs if isinstance(objs, list) else [objs]:
+            f.write(json.dumps(o) + "\n")
 
 
 def test_ingest_landed_feeds(spark, scratch):
@@ -130,7 +133,7 @@ def test_ingest_landed_feeds(spark, scratch):
     assert status == {"fixtures": "ok", "squads": "ok", "performers": "ok"}
     fx = spark.read.parquet(f"{bronze}/bronze_fixtures").collect()
     assert [(r.fixture_id, r.league_id) for r in fx] == [("1", "42")]
-    pl = spark.read.parquet(f"{bronze}/bronze_players").collect()
+    pl = read_table(spark, f"{bronze}/bronze_players").collect()
     assert [(r.player_id, r.team_id) for r in pl] == [("5", "10")]   # team 99 not discovered
     perf = read_table(spark, f"{bronze}/bronze_top_performers").collect()
     assert [(r.player_id, r.goals) for r in perf] == [("5", 2)]
@@ -154,17 +157,46 @@ def test_catalogue_on_written_gold_prunes_partitions(spark, scratch):
     assert [r.player_id for r in fb.collect()] == ["p1"]
 
 
+def test_ingest_loads_every_team_and_keeps_whole_records(spark, scratch):
+    """60 teams over many lines: all squads are stored, and raw_json holds fields no schema names."""
+    land, bronze = f"{scratch}/landing", f"{scratch}/bronze"
+    _land(f"{land}/matches", [{"response": {"matches": [
+        {"id": i, "pageUrl": f"/m/{i}", "home": {"id": 2 * i, "name": f"H{i}"}, "away": {"id": 2 * i + 1, "name": f"A{i}"}}]}} for i in range(1, 31)])
+    _land(f"{land}/squads", [{"team_id": str(t), "team_name": "caller", "response": {"list": {"name": f"Team {t}", "squad": [
+        {"title": "x", "members": [{"id": t, "name": f"P{t}", "height": 180.5}, {"id": 1000 + t, "name": "coach", "excludeFromRanking": "yes"}]}]}}}
+        for t in range(2, 62)])
+    status = ingest(spark, {"matches": f"{land}/matches", "squads": f"{land}/squads"}, bronze, league_id=1, season=2024)
+    assert status == {"fixtures": "ok", "squads": "ok"}
+    fx = spark.read.parquet(f"{bronze}/bronze_fixtures").collect()
+    assert len(fx) == 30 and all(json.loads(r.raw_json)["pageUrl"] == f"/m/{r.fixture_id}" for r in fx)
+    players = read_table(spark, f"{bronze}/bronze_players").collect()
+    assert {r.team_id for r in players} == {str(t) for t in range(2, 62)} and len(players) == 60
+    assert all(r.team_name == f"Team {r.team_id}" and json.loads(r.raw_json)["height"] == 180.5 for r in players)
+
+
+def test_rebuild_after_a_league_moves_equals_a_fresh_build(spark, scratch):
+    first = _bronze(spark)
+    M.run_all(first, f"{scratch}/twice")
+    moved = dict(first, bronze_fixtures=first["bronze_fixtures"].withColumn("league_id", F.lit("L2")))
+    M.run_all(moved, f"{scratch}/twice")
+    M.run_all(moved, f"{scratch}/fresh")
+    for t in ("gold_player_stats", "gold_team_summary", "gold_match_results"):
+        a, b = (sorted(map(str, spark.read.parquet(f"{scratch}/{d}/{t}").collect())) for d in ("twice", "fresh"))
+        assert a == b and a
+
+
 def test_switch_league_skips_loaded_and_reports_partial(spark):
     from touchline.plans.pipelines import switch_league
     aliases = spark.createDataFrame([("la liga", "140", 1), ("premier league", "47", 2)], "alias string, id string, priority int")
     loaded = spark.createDataFrame([("47",)], "league_id string")
+    found = spark.createDataFrame([("88", "Eredivisie"), ("89", "Eredivisie Women")], "id string, name string")
     calls = []
 
     def load(lid):
         calls.append(lid)
         return {"fixtures": "ok", "squads": "error: timeout"}
-    req = lambda n: spark.createDataFrame([(n,)], "name string")
-    assert switch_league("EPL", req("premier league"), aliases, loaded, load, lambda l: {})["ingested"] is False
-    out = switch_league("la liga", req("la liga"), aliases, loaded, load, lambda l: {"gold": "ok"})
+    assert switch_league("premier league", aliases, loaded, load, lambda l: {})["ingested"] is False
+    out = switch_league("la liga", aliases, loaded, load, lambda l: {"gold": "ok"})
     assert out["status"] == "partial" and out["failed"] == ["squads"] and calls == ["140"]
-    assert switch_league("x", req("nowhere"), aliases, loaded, load, lambda l: {})["status"] == "error"
+    assert switch_league("nowhere", aliases, loaded, load, lambda l: {}, search=found)["status"] == "error"
+    assert switch_league("eredivisie", aliases, loaded, load, lambda l: {}, search=found)["league_id"] == "88"

@@ -1,11 +1,12 @@
 """Accent-insensitive text matching without a UDF.
 
-``fold`` turns a string Column into lower case with diacritics removed, the same fold as
-NFKD decomposition followed by dropping combining marks and lower-casing. Spark has no
-``normalize()``, so the single-character part of the decomposition is a ``translate``
-table built at import from :mod:`unicodedata` over the Latin, Greek and Cyrillic blocks;
-the few characters that decompose to several letters become a short ``replace`` chain, and
-marks left in text that arrives already decomposed are stripped by regex.
+``fold`` turns a string Column into lower case with diacritics removed; ``fold_text`` is the same
+rule for a parameter string, so a text always contains itself. Spark has no ``normalize()``: every
+character whose compatibility decomposition leaves one letter (accented, full-width, superscript,
+voiced kana and so on, over all planes) goes through a ``translate`` table built at import from
+:mod:`unicodedata`; the few Latin, Greek and Cyrillic ones that leave several letters become a short
+``replace`` chain; marks left in text that arrives already decomposed are stripped by regex.
+Characters that decompose otherwise (Hangul syllables, squared words) stay as they are on both sides.
 """
 
 from __future__ import annotations
@@ -16,16 +17,21 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Code point blocks whose compatibility decomposition is applied on the JVM side.
-_FOLD_BLOCKS = [(0x00C0, 0x024F), (0x0370, 0x03FF), (0x0400, 0x04FF), (0x1E00, 0x1FFF),
-                (0xFB00, 0xFB06)]
+# Code point blocks whose letters may expand to several.
+_EXPANDING_BLOCKS = [(0x00C0, 0x024F), (0x0370, 0x03FF), (0x0400, 0x04FF), (0x1E00, 0x1FFF),
+                     (0xFB00, 0xFB06)]
+_BLANK = " \t\n\r"
 
 
 def fold_text(s: str | None) -> str:
-    """Python fold of a parameter string: NFKD, drop marks, lower-case."""
+    """The column's fold for a parameter string."""
     if not s:
         return ""
-    return _strip_marks(s).lower()
+    src, dst, multi, _ = _fold_tables()
+    out = s.translate(str.maketrans(src, dst)).lower()
+    for ch, rep in multi:
+        out = out.replace(ch, rep)
+    return "".join(ch for ch in out if not unicodedata.category(ch).startswith("M"))
 
 
 def _strip_marks(s: str) -> str:
@@ -43,23 +49,24 @@ def _fold_tables() -> tuple[str, str, tuple[tuple[str, str], ...], str]:
     I folds to a plain i). Letters that expand to several letters are handled after
     lower-casing, where only their lower-case forms remain.
     """
-    src, dst, multi, expanding = [], [], {}, set()
-    for lo, hi in _FOLD_BLOCKS:
-        for cp in range(lo, hi + 1):
-            ch = chr(cp)
-            if unicodedata.category(ch) == "Cn":
-                continue
-            folded = _strip_marks(ch)
-            if folded == ch or folded == "":
-                continue  # unchanged, or a bare mark (stripped by the regex)
-            if len(folded) == 1:
-                src.append(ch)
-                dst.append(folded)
-            else:
-                low = ch.lower()
-                key = low if len(low) == 1 else ch
-                multi[key] = _strip_marks(low).lower()
-                expanding.update((ch, key))
+    # both lower-case sigmas fold alike, so lower-casing never depends on a word's end
+    src, dst, multi, expanding = ["Σ", "ς"], ["σ", "σ"], {}, set()
+    several = {cp for lo, hi in _EXPANDING_BLOCKS for cp in range(lo, hi + 1)}
+    for cp in range(0xA0, 0x30000):
+        ch = chr(cp)
+        if not unicodedata.decomposition(ch) or ch in "Σς":
+            continue
+        folded = _strip_marks(ch)
+        if folded == ch or folded == "" or folded[0] in _BLANK:
+            continue  # unchanged, a bare mark (stripped by the regex), or a space of some width
+        if len(folded) == 1:
+            src.append(ch)
+            dst.append(folded.replace("Σ", "σ").replace("ς", "σ"))
+        elif cp in several:
+            low = ch.lower()
+            key = low if len(low) == 1 else ch
+            multi[key] = _strip_marks(low).lower()
+            expanding.update((ch, key))
     return "".join(src), "".join(dst), tuple(sorted(multi.items())), "[" + _ranges(expanding) + r"\p{M}]"
 
 

@@ -7,8 +7,7 @@ forms scale instead:
   shuffle, so each map task sends at most k rows per tag.
 * full rank: range-partition on (tag, metric desc, tie), number rows inside each sorted
   partition, materialise that once (checkpoint), then add the row count of the earlier
-  partitions of the same tag. The offset table has one row per (partition, tag); with the tags a
-  fixed list its size is bounded by the partition count, not by the data, so it is broadcast.
+  partitions of the same tag, in a join that the planner sizes. Null groups are numbered too.
 """
 
 from __future__ import annotations
@@ -20,22 +19,15 @@ from pyspark.sql import functions as F
 
 from touchline.operators.snapshot import metric_of_tag
 
-# Largest offset table (rows) that is broadcast; beyond it the offsets are joined normally.
-BROADCAST_MAX_ROWS = 100_000
-
 
 def global_row_number(df: DataFrame, order: Sequence[Column], group: str | None = None,
-                      name: str = "rank", num_partitions: int | None = None,
-                      max_groups: int | None = None) -> DataFrame:
+                      name: str = "rank", num_partitions: int | None = None) -> DataFrame:
     """1-based row number by ``order`` (within ``group`` if given) without a single-task sort.
 
     ``order`` must be a total order (end with a unique tie-breaker) so numbering is the same
     on every recomputation after a lost executor. The offset table has at most one row per
-    (partition, group) and, as groups are contiguous in the range order, no more than
-    partitions + groups rows. It is broadcast only when that bound is proven small: no group,
-    or a caller-stated ``max_groups`` (e.g. a fixed list of tags) with partitions + groups
-    within ``BROADCAST_MAX_ROWS``. Otherwise it is a plain join (a hot group still spans many
-    tasks, each numbering its share).
+    (partition, group); as groups are contiguous in the range order that is no more than
+    partitions + groups rows. A hot group spans many tasks, each numbering its share.
     """
     from touchline.session import ensure_checkpoint_dir
 
@@ -56,11 +48,11 @@ def global_row_number(df: DataFrame, order: Sequence[Column], group: str | None
     counts = ranged.groupBy("_pid", g).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_first"))
     before = Window.partitionBy(g).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    groups = 1 if group is None else max_groups
-    small = groups is not None and n + groups <= BROADCAST_MAX_ROWS
-    out = (ranged.join(F.broadcast(offsets) if small else offsets, ["_pid", g])
+    offsets = offsets.select(F.col("_pid").alias("_opid"), F.col(g).alias("_ogroup"), "_first", "_before")
+    same = (F.col("_pid") == F.col("_opid")) & F.col(g).eqNullSafe(F.col("_ogroup"))
+    out = (ranged.join(offsets, same)
            .withColumn(name, (F.col("_pos") - F.col("_first") + F.col("_before") + 1).cast("bigint"))
-           .drop("_pid", "_pos", "_n", "_first", "_before"))
+           .drop("_pid", "_pos", "_opid", "_ogroup", "_first", "_before"))
     return out.drop(g) if group is None else out
 
 
@@ -83,7 +75,7 @@ def rank_by_metric(df: DataFrame, tag_col: str, metric_by_tag: Mapping[str, str]
         w = Window.partitionBy(tag_col).orderBy(*order)
         out = base.withColumn(name, F.row_number().over(w).cast("bigint")).filter(F.col(name) <= top_k)
     else:
-        out = global_row_number(base, order, group=tag_col, name=name, max_groups=len(tags))
+        out = global_row_number(base, order, group=tag_col, name=name)
     return out.drop("_metric")
 
 
@@ -98,8 +90,11 @@ def top_by_rank(ranked: DataFrame, tag_col: str, tag: str, metric_col: str, k: i
 STATS = ("goals", "assists", "rating")
 
 
-def clamp(n: int, lo: int, hi: int) -> int:
-    return max(lo, min(int(n), hi))
+def positive(n: int) -> int:
+    """A page size as asked for; anything below one is an error, nothing is cut silently."""
+    if int(n) < 1:
+        raise ValueError(f"limit must be at least 1, got {n}")
+    return int(n)
 
 
 def valid_stat(stat: str | None) -> str:

@@ -1,10 +1,9 @@
 """Entity resolution by substring: alias tables and name directories.
 
-A ``contains`` join is a theta join. Against a short alias list (its row count checked) a
-broadcast nested-loop join is right. Against a directory that grows with the data
-(player names) it is not, so :func:`substring_join` turns it into an equi-join: every term
-of length >= 3 is keyed by its rarest 3-gram, every directory text is exploded into its
-distinct 3-grams, the two meet on the gram, and ``contains`` filters the candidates. It is
+A ``contains`` join is a theta join, which would pair every text with every term.
+:func:`substring_join` turns it into an equi-join: every term of length >= 3 is keyed by its
+rarest 3-gram, every directory text is exploded into its distinct 3-grams (only those some
+term holds are shuffled on), the two meet on the gram, and ``contains`` filters the candidates. It is
 exact: a text containing the term contains each of the term's grams. A term of one or two
 characters is contained in a text exactly when it equals one of the text's 1- or 2-grams, so
 short terms join on those grams directly. No side is broadcast and no pair is enumerated
@@ -19,8 +18,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRAM = 3
-# Largest alias table (rows) joined by broadcast; larger ones take the 3-gram equi-join.
-ALIAS_BROADCAST_MAX_ROWS = 10_000
 
 
 def _grams(c: Column, distinct: bool = True, size: int = GRAM) -> Column:
@@ -38,10 +35,13 @@ def substring_join(terms: DataFrame, term_col: str, directory: DataFrame, text_c
     """
     dcols = directory.columns
     t = terms.select(F.col(term_col)).filter(F.length(term_col) > 0).distinct()
-    d_grams = directory.select(*dcols, F.explode(_grams(F.col(text_col))).alias("_g"))
-    freq = d_grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
     long_t = t.filter(F.length(term_col) >= GRAM)
     t_grams = long_t.select(term_col, F.explode(_grams(F.col(term_col))).alias("_g"))
+    # grams that no term holds go no further than the task that made them when the planner can
+    # broadcast the term side
+    d_grams = (directory.select(*dcols, F.explode(_grams(F.col(text_col))).alias("_g"))
+               .join(t_grams.select("_g").distinct(), "_g", "left_semi"))
+    freq = d_grams.groupBy("_g").agg(F.count(F.lit(1)).alias("_f"))
     keyed = (t_grams.join(freq, "_g", "left")
              .groupBy(term_col)
              .agg(F.min_by("_g", F.struct(F.coalesce("_f", F.lit(0)), F.col("_g"))).alias("_g")))
@@ -78,23 +78,19 @@ def substring_min(terms: DataFrame, term_col: str, directory: DataFrame, id_col:
 
 def resolve_alias(df: DataFrame, text_col: str, aliases: DataFrame, alias_col: str = "alias",
                   id_col: str = "id", priority_col: str = "priority", out_col: str = "resolved_id",
-                  longest_first: bool = True, broadcast_max_rows: int = ALIAS_BROADCAST_MAX_ROWS) -> DataFrame:
+                  longest_first: bool = True) -> DataFrame:
     """Add the id of the first alias contained in ``lower(text)``; null when none is.
 
     ``longest_first`` prefers the longest alias (so "wc qualification" beats "world cup"
     inside "uefa world cup qualification"), then the priority; otherwise priority only.
-    Distinct texts are resolved once; empty aliases are ignored. An alias table of at most
-    ``broadcast_max_rows`` rows (counted first) is broadcast to a nested-loop ``contains``
-    join; a larger one goes through the exact 3-gram equi-join of :func:`substring_join`.
+    Distinct texts are resolved once; empty aliases are ignored. Aliases of any number meet the
+    texts in the exact gram equi-join of :func:`substring_join`.
     """
     texts = df.select(text_col).distinct().withColumn("_low", F.lower(F.col(text_col)))
     a = (aliases.select(F.lower(F.col(alias_col)).alias("_alias"), F.col(id_col).alias("_id"),
                         F.col(priority_col).alias("_prio"))
          .filter(F.length("_alias") > 0))
-    if a.count() <= broadcast_max_rows:
-        hits = texts.join(F.broadcast(a), F.contains(F.col("_low"), F.col("_alias")))
-    else:
-        hits = substring_join(a, "_alias", texts, "_low").join(a, "_alias")
+    hits = substring_join(a, "_alias", texts, "_low").join(a, "_alias")
     key = ([-F.length("_alias")] if longest_first else []) + [F.col("_prio"), F.col("_alias"), F.col("_id")]
     best = hits.groupBy(text_col).agg(F.min_by("_id", F.struct(*key)).alias(out_col))
     return df.join(best, text_col, "left")

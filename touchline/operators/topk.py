@@ -1,4 +1,4 @@
-"""First row per group inside a bounded, ordered pool."""
+"""First row per group."""
 
 from __future__ import annotations
 
@@ -7,15 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from touchline.operators.rank import positive
 
-def first_per_group_in_pool(df: DataFrame, group: Sequence[str], order: Sequence[Column],
-                            pool: int = 40, limit: int = 5) -> DataFrame:
-    """Take the top ``pool`` rows by ``order``, keep the first of each group, stop at ``limit``.
 
-    The pool is a ``TakeOrderedAndProject`` (per-task top-``pool`` then merge), so only
-    ``pool`` rows ever meet in one task.
+def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
+                    limit: int | None = None) -> DataFrame:
+    """The first row of every group by ``order``; with ``limit``, the first groups by ``order``.
+
+    ``row_number() = 1`` plans as a partial ``WindowGroupLimit`` before the shuffle: a map task
+    sends one row per group, so a busy group neither skews the shuffle nor hides the others.
     """
-    top = df.orderBy(*order).limit(pool)
     w = Window.partitionBy(*group).orderBy(*order)
-    firsts = top.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
-    return firsts.orderBy(*order).limit(limit)
+    firsts = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn")
+    return firsts if limit is None else firsts.orderBy(*order).limit(positive(limit))

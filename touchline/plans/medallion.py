@@ -115,7 +115,8 @@ PARTITION_BY = {"gold_player_stats": ["league_id"], "gold_team_summary": ["leagu
 def run_all(bronze: Mapping[str, DataFrame], base_path: str,
             fixture_order: Sequence[str] = ("ingested_at",)) -> dict[str, str]:
     """Rebuild Silver, then Gold, written under ``base_path``; top performers last and
-    non-fatal. Silver is read back from storage for Gold, which also cuts the lineage.
+    non-fatal. A rebuild replaces whole tables (static overwrite, also where the session's mode is
+    dynamic): a partition whose rows moved away does not stay behind. Silver is read back from storage for Gold, which also cuts the lineage.
     Returns a status per table ("ok" or the error text)."""
     spark = next(iter(bronze.values())).sparkSession
     status: dict[str, str] = {}
@@ -126,7 +127,7 @@ def run_all(bronze: Mapping[str, DataFrame], base_path: str,
     stored = {n: spark.read.parquet(f"{base_path}/{n}") for n in silver}
     for name, df in build_gold(stored).items():
         parts = PARTITION_BY.get(name, [])
-        w = clustered(df, parts).write.mode("overwrite")
+        w = clustered(df, parts).write.mode("overwrite").option("partitionOverwriteMode", "static")
         if parts:
             w = w.partitionBy(*parts)
         w.parquet(f"{base_path}/{name}")

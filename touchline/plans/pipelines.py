@@ -11,54 +11,60 @@ from pyspark.sql import functions as F
 from touchline.operators.discovery import discover_entities
 from touchline.operators.resolve import resolve_alias
 from touchline.plans.medallion import run_all
-from touchline.sinks.tables import (keyed_replace_frame, read_table, replace_partitions,
-                                    write_squad_batch, write_version)
-from touchline.sources.feeds import (MATCH_ENVELOPE, PERFORMER, SQUAD_ENVELOPE, flatten_matches,
-                                     matches_from_envelope, merge_metric_feeds, read_json)
+from touchline.session import ensure_checkpoint_dir
+from touchline.sinks.tables import last_batch_wins, replace_keys, replace_partitions, write_squad_batch
+from touchline.sources.feeds import (PERFORMER, flatten_matches, merge_metric_feeds, read_json, read_matches,
+                                     read_members)
 
 log = logging.getLogger(__name__)
 
 
 def ingest(spark: SparkSession, landing: Mapping[str, str], bronze_path: str, league_id,
-           season: int, max_teams: int | None = 20) -> dict[str, str]:
-    """L2: fixtures -> discovered teams -> squads of those teams -> performers.
+           season: int, whole_document: bool = False) -> dict[str, str]:
+    """L2: fixtures -> discovered teams -> squads of all those teams -> performers.
 
     ``landing`` maps feed kinds (``matches``, ``squads``, ``scorers``, ``assisters``, ``rated``)
-    to landed JSON paths. Each step is its own job; a failing step is reported, not fatal.
+    to landed JSON paths, an envelope a line (``whole_document``: one a file). Each step is its own
+    job; a failing step is reported, not fatal. The match feed is parsed once.
     """
     status: dict[str, str] = {}
     fixtures = None
     try:
-        env = read_json(spark, landing["matches"], MATCH_ENVELOPE)
-        fixtures = flatten_matches(matches_from_envelope(env), league_id, season)
+        ensure_checkpoint_dir(spark)
+        fixtures = flatten_matches(read_matches(spark, landing["matches"], whole_document), league_id, season).checkpoint(eager=True)
         replace_partitions(fixtures, f"{bronze_path}/bronze_fixtures", ["league_id"])
         status["fixtures"] = "ok"
     except Exception as exc:  # noqa: BLE001
         status["fixtures"] = f"error: {exc}"
     try:
-        squads = read_json(spark, landing["squads"], SQUAD_ENVELOPE)
+        members = read_members(spark, landing["squads"], whole_document)
         if fixtures is not None:
-            teams = discover_entities(fixtures, cap=max_teams).select(F.col("id").alias("team_id"))
-            squads = squads.join(teams, "team_id", "left_semi")
-        write_squad_batch(squads, f"{bronze_path}/bronze_team_squads", f"{bronze_path}/bronze_players")
+            teams = discover_entities(fixtures).select(F.col("id").alias("team_id"))
+            members = members.join(teams, "team_id", "left_semi")
+        write_squad_batch(members, f"{bronze_path}/bronze_team_squads", f"{bronze_path}/bronze_players")
         status["squads"] = "ok"
     except Exception as exc:  # noqa: BLE001
         status["squads"] = f"error: {exc}"
     try:
-        feeds = {stat: read_json(spark, landing[k], PERFORMER)
+        feeds = {stat: read_json(spark, landing[k], PERFORMER, whole_document)
                  for stat, k in (("goals", "scorers"), ("assists", "assisters"), ("rating", "rated"))
                  if k in landing}
         if feeds:
-            merged = merge_metric_feeds(feeds)
-            path = f"{bronze_path}/bronze_top_performers"
-            cur = read_table(spark, path)
-            write_version(merged if cur is None else keyed_replace_frame(cur, merged, ["team_name"]), path)
+            replace_keys(spark, f"{bronze_path}/bronze_top_performers", merge_metric_feeds(feeds), ["team_name"])
             status["performers"] = "ok"
     except Exception as exc:  # noqa: BLE001
         status["performers"] = f"error: {exc}"
     return status
 
 
+def backfill(batches: DataFrame, path: str, key: str = "team_name", batch_col: str = "batch_day") -> DataFrame:
+    """The performer table after all league batches in order, written bucketed by ``key`` in one
+    job instead of one replace a batch; returns the written rows."""
+    final = last_batch_wins(batches, key, batch_col)
+    replace_keys(batches.sparkSession, path, final, [key])
+    return final
+
+
 def refresh(spark: SparkSession, sources: Sequence[str], bronze_readers, gold_path: str) -> dict:
     """L3: rebuild from the first readable source, then Silver/Gold (L1).
 
@@ -89,20 +95,23 @@ def leagues_needing_load(requested_names: DataFrame, aliases: DataFrame, loaded:
             .join(loaded.select("league_id").distinct(), "league_id", "left_anti"))
 
 
-def switch_league(name: str, requested: DataFrame, aliases: DataFrame, loaded: DataFrame,
-                  load: "callable", rebuild: "callable") -> dict:
+def switch_league(name: str, aliases: DataFrame, loaded: DataFrame, load: "callable", rebuild: "callable",
+                  search: DataFrame | None = None) -> dict:
     """L4: resolve a league name, skip the ingest when it is already loaded, else ingest and
-    rebuild. ``requested`` is a one-row frame holding the name in column ``name``; ``load`` and
-    ``rebuild`` take the league id and return a status dict (L2 / L1).
+    rebuild. Where no alias matches, ``search`` (``id, name`` entries of a landed search response, see
+    ``league_entries``) is asked for a league whose name holds the request. ``load`` and ``rebuild``
+    take the league id and return a status dict (L2 / L1).
 
     Returns ``{"status": "switched" | "partial" | "error", "league_id": ..., ...}``.
     """
-    r = resolve_alias(requested, "name", aliases).select("resolved_id").collect()
-    league = r[0]["resolved_id"] if r else None
+    requested = aliases.sparkSession.createDataFrame([(name,)], "name string")
+    league = resolve_alias(requested, "name", aliases).first()["resolved_id"]
+    if league is None and search is not None and name.strip():
+        hit = search.filter(F.contains(F.lower("name"), F.lit(name.strip().lower()))).orderBy(F.length("name"), "id").first()
+        league = hit["id"] if hit else None
     if league is None:
         return {"status": "error", "error": f"unknown league: {name}"}
-    needed = leagues_needing_load(requested, aliases, loaded).filter(F.col("league_id") == league)
-    if needed.isEmpty():
+    if not loaded.filter(F.col("league_id") == league).isEmpty():
         return {"status": "switched", "league_id": league, "ingested": False}
     steps = dict(load(league))
     steps.update({f"rebuild_{k}": v for k, v in (rebuild(league) or {}).items()})

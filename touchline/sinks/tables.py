@@ -1,27 +1,29 @@
-"""Table writers: keyed replace, delete with a count, idempotent DDL.
-
-Plain Parquet has no DELETE or MERGE, so a keyed replace takes one of two forms:
-
-* the replace key is the partition column: dynamic partition overwrite rewrites exactly the
-  partitions present in the batch, and an empty batch leaves the table untouched;
-* any other predicate: the kept rows plus the batch are written as a new version directory
-  of the table, which becomes current when its commit marker lands. A reader never sees a
-  half-written table, and the old version is still there if the job dies.
+"""Table writers: keyed replace, delete with a count, append, idempotent DDL.
+
+A table that is replaced by key is plain partitioned Parquet. It is partitioned by a hash bucket of
+its key (or by a low-cardinality column such as the league), so a replace or delete reads and
+rewrites only the buckets that hold touched rows: dynamic partition overwrite with the kept rows plus
+the batch. Rows that are read and overwritten in one step go through a checkpoint in the shared
+folder first. A bucket that a delete empties is overwritten by an empty one. One job commits all
+its partitions together at its end.
 """
 
 from __future__ import annotations
 
 import logging
-import re
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from touchline.session import ensure_checkpoint_dir
+
 log = logging.getLogger(__name__)
 
-_VERSION = re.compile(r"^_v(\d{6})$")
+BUCKET = "_bucket"
+BUCKETS = 64
 
 
 def clustered(df: DataFrame, partition_cols: Sequence[str]) -> DataFrame:
@@ -35,87 +37,70 @@ def clustered(df: DataFrame, partition_cols: Sequence[str]) -> DataFrame:
     return df.hint("rebalance", *partition_cols) if partition_cols else df
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
-
-
-def _versions(spark: SparkSession, path: str, committed: bool = True) -> list[int]:
-    """Version numbers under ``path``; with ``committed`` only those whose commit marker
-    (``_SUCCESS``, written last by the job commit) exists."""
-    fs, p, jvm = _fs(spark, path)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        m = _VERSION.match(st.getPath().getName())
-        if m and (not committed or fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS"))):
-            out.append(int(m.group(1)))
-    return sorted(out)
-
-
-def current_path(spark: SparkSession, path: str) -> str | None:
-    v = _versions(spark, path)
-    return f"{path}/_v{v[-1]:06d}" if v else None
-
-
-def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame | None:
-    """The current version of a versioned table (None when it has none yet)."""
-    cur = current_path(spark, path)
-    if cur is None:
-        return None
-    r = spark.read
-    if schema is not None:
-        r = r.schema(schema)
-    return r.parquet(cur)
-
-
-def write_version(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> str:
-    """Write ``df`` as the next version of the table at ``path``; returns its directory."""
-    spark = df.sparkSession
-    v = _versions(spark, path, committed=False)  # a version left half-written is skipped
-    nxt = f"{path}/_v{(v[-1] + 1 if v else 1):06d}"
-    w = clustered(df, partition_by).write.mode("errorifexists")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(nxt)
-    return nxt
+def with_bucket(df: DataFrame, keys: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
+    """Partition column derived from the key, so all rows of a key share a partition."""
+    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int"))
+
 
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The bucketed table at ``path`` without its bucket column (None when it has no rows yet)."""
+    t = _stored(spark, path)
+    return None if t is None else t.drop(BUCKET)
 
-def replace_where(spark: SparkSession, path: str, rows: DataFrame | None,
-                  predicate: Column | None = None, partition_by: Sequence[str] = ()) -> dict:
-    """B1: delete rows where ``predicate`` is TRUE, then append ``rows``, as one new version.
+
+def _publish(rows: DataFrame, path: str, partition_cols: Sequence[str]) -> None:
+    (clustered(rows, partition_cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*partition_cols).parquet(path))
+
+
+def _rewrite(spark: SparkSession, path: str, out: DataFrame, touched: Sequence[int]) -> None:
+    """Replace the ``touched`` buckets by ``out`` (already cut off from the table by a checkpoint)."""
+    left = {r[0] for r in out.select(BUCKET).distinct().collect()}  # at most the number of buckets
+    _publish(out, path, [BUCKET])
+    view = f"_empty_{abs(hash(path))}"
+    for b in touched:
+        if b not in left:
+            out.drop(BUCKET).limit(0).createOrReplaceTempView(view)
+            spark.sql(f"INSERT OVERWRITE DIRECTORY '{path}/{BUCKET}={b}' USING parquet SELECT * FROM {view}")
+            spark.catalog.dropTempView(view)
+
+
+def replace_where(spark: SparkSession, path: str, rows: DataFrame | None, predicate: Column | None = None,
+                  keys: Sequence[str] = ("team_id",), buckets: int = BUCKETS) -> dict:
+    """B1: delete rows where ``predicate`` is TRUE, then append ``rows`` (bucketed by ``keys``).
 
     Truth table: rows + predicate -> delete then load; rows only -> load; predicate only ->
-    delete; neither -> nothing. A failing delete is logged and the load still runs. An empty
-    ``rows`` counts as no rows.
+    delete; neither -> nothing. A delete that fails, while it is planned or on the data, is logged
+    and the load still runs. An empty ``rows`` counts as no rows. Only buckets with hits are rewritten.
     """
     has_rows = rows is not None and not rows.isEmpty()
-    if not has_rows and predicate is None:
-        return {"deleted": 0, "written": False}
-    current = read_table(spark, path)
-    kept = current
-    deleted = 0
-    obs = None
-    if current is not None and predicate is not None:
+    deleted, written = 0, False
+    stored = _stored(spark, path) if predicate is not None else None
+    if stored is not None:
         try:
             hit = F.coalesce(predicate, F.lit(False))
-            obs = Observation("replace_where")
-            kept = current.observe(obs, F.count_if(hit).alias("deleted")).filter(~hit)
+            per = stored.filter(hit).groupBy(BUCKET).agg(F.count(F.lit(1)).alias("n")).collect()  # a row a bucket at most
+            touched = [r[BUCKET] for r in per]
+            if touched:
+                ensure_checkpoint_dir(spark)
+                kept = stored.filter(F.col(BUCKET).isin(touched)).filter(~hit).checkpoint(eager=True)
+                _rewrite(spark, path, kept, touched)
+                deleted, written = sum(r["n"] for r in per), True
         except Exception as exc:  # noqa: BLE001 - a bad predicate must not block the load
             log.warning("delete failed, appending anyway: %s", exc)
-            kept, obs = current, None
     if has_rows:
-        out = rows if kept is None else kept.unionByName(rows, allowMissingColumns=True)
-    else:
-        out = kept if kept is not None else None
-    if out is None:
-        return {"deleted": 0, "written": False}
-    write_version(out, path, partition_by)
-    if obs is not None:
-        deleted = int(obs.get.get("deleted", 0))
-    return {"deleted": deleted, "written": True}
+        append_keyed(rows, path, keys, buckets)
+        written = True
+    return {"deleted": int(deleted), "written": written}
 
 
 def delete_where(spark: SparkSession, path: str, predicate: Column) -> int:
@@ -123,25 +108,42 @@ def delete_where(spark: SparkSession, path: str, predicate: Column) -> int:
     return replace_where(spark, path, None, predicate)["deleted"]
 
 
-def replace_keys(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str]) -> dict:
-    """Replace every stored row whose key values appear in ``rows`` (left anti join
-    of the stored rows against the batch's distinct keys), then append the batch."""
-    if rows.isEmpty():
+def append_keyed(rows: DataFrame, path: str, keys: Sequence[str], buckets: int = BUCKETS) -> None:
+    """Append to a bucketed table."""
+    clustered(with_bucket(rows, keys, buckets), [BUCKET]).write.mode("append").partitionBy(BUCKET).parquet(path)
+
+
+def replace_keys(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], buckets: int = BUCKETS) -> dict:
+    """Replace every stored row whose key values appear in ``rows``, in the buckets
+    of those keys only. A blank or null key replaces nothing (its rows are appended); a batch
+    without any other key replaces the whole table. An empty batch is skipped."""
+    batch = with_bucket(rows, keys, buckets)
+    usable = F.lit(True)
+    for k in keys:
+        usable = usable & F.col(k).isNotNull() & (F.col(k).cast("string") != "")
+    ensure_checkpoint_dir(spark)
+    batch = batch.checkpoint(eager=True)  # read three times below
+    named = batch.filter(usable).select(BUCKET, *keys).distinct()
+    some = batch.agg(F.count(F.lit(1)).alias("n"), F.count_if(usable).alias("named")).first()
+    if not some["n"]:
         return {"deleted": 0, "written": False}
-    current = read_table(spark, path)
-    if current is None:
-        write_version(rows, path)
-        return {"deleted": 0, "written": True}
-    k = rows.select(*keys).distinct().withColumn("_hit", F.lit(True))
+    stored = _stored(spark, path)
+    if stored is None or not some["named"]:
+        deleted = 0 if stored is None else stored.count()
+        clustered(batch, [BUCKET]).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(BUCKET).parquet(path)
+        return {"deleted": deleted, "written": True}
+    touched = [r[0] for r in batch.select(BUCKET).distinct().collect()]  # at most the number of buckets
     obs = Observation("replace_keys")
-    tagged = current.join(k, list(keys), "left").observe(obs, F.count_if(F.col("_hit").isNotNull()).alias("deleted"))
-    kept = tagged.filter(F.col("_hit").isNull()).drop("_hit")
-    write_version(kept.unionByName(rows, allowMissingColumns=True), path)
+    tagged = (stored.filter(F.col(BUCKET).isin(touched)).join(named.withColumn("_hit", F.lit(True)), [BUCKET, *keys], "left")
+              .observe(obs, F.count_if(F.col("_hit").isNotNull()).alias("deleted")))
+    out = tagged.filter(F.col("_hit").isNull()).drop("_hit").unionByName(batch, allowMissingColumns=True).checkpoint(eager=True)
+    _publish(out, path, [BUCKET])
     return {"deleted": int(obs.get.get("deleted", 0)), "written": True}
 
 
 def keyed_replace_frame(existing: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """D8 + B1 as a frame: stored rows whose keys the batch does not carry, plus the batch."""
+    """D8 + B1 as a frame: stored rows whose keys the batch does not carry, plus the batch (a null
+    key of the batch meets no stored row)."""
     k = rows.select(*keys).distinct()
     return existing.join(k, list(keys), "left_anti").unionByName(rows, allowMissingColumns=True)
 
@@ -153,36 +155,35 @@ def delete_frame(existing: DataFrame, predicate: Column) -> DataFrame:
 
 def last_batch_wins(batches: DataFrame, key: str, batch_col: str) -> DataFrame:
     """The accumulated table after replaying batches in ``batch_col`` order, each
-    replacing the stored rows of the keys it carries: per key, the rows of its last batch.
-    The per-key maximum is an aggregate (reduced map-side), joined back on (key, batch)."""
-    last = batches.groupBy(key).agg(F.max(batch_col).alias(batch_col))
-    return batches.join(last, [key, batch_col], "left_semi")
+    replacing the stored rows of the keys it carries: per key, the rows of its last batch (rows
+    without a key form one group of their own). The per-key maximum is an aggregate (reduced
+    map-side), joined back null-safely on (key, batch)."""
+    last = batches.groupBy(key).agg(F.max(batch_col).alias("_last")).withColumnRenamed(key, "_key")
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col(batch_col).eqNullSafe(F.col("_last"))
+    return batches.join(last, same, "left_semi")
 
 
 def replace_partitions(rows: DataFrame, path: str, partition_cols: Sequence[str]) -> bool:
-    """Overwrite just the partitions present in ``rows`` (dynamic partition
-    overwrite, set on the writer). An empty batch leaves the table untouched (B1e)."""
-    if rows.isEmpty():
-        return False
-    (clustered(rows, partition_cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*partition_cols).parquet(path))
+    """Overwrite just the partitions (leagues) present in ``rows``. An empty batch has no
+    partition, so it leaves the table untouched (B1e) without a test for rows."""
+    try:
+        _publish(rows, path, partition_cols)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
     return True
 
 
-def write_squad_batch(squads: DataFrame, squads_path: str, players_path: str) -> bool:
-    """One squad feed batch written to both the squad and the player table, each replaced
-    per team. The exploded members are persisted once, so the feed is parsed once for both."""
-    from touchline.sources.feeds import members_to_rows, squad_members
-    members = squad_members(squads).persist()
-    try:
-        if members.isEmpty():
-            return False
-        compact, players = members_to_rows(members)
-        replace_partitions(compact, squads_path, ["team_id"])
-        replace_partitions(players, players_path, ["team_id"])
-        return True
-    finally:
-        members.unpersist()
+def write_squad_batch(members: DataFrame, squads_path: str, players_path: str, buckets: int = BUCKETS) -> bool:
+    """One batch of squad members (:func:`touchline.sources.feeds.read_members`) written to both
+    the squad and the player table, each replaced per team in the buckets of its teams."""
+    from touchline.sources.feeds import members_to_rows
+    ensure_checkpoint_dir(members.sparkSession)
+    members = members.checkpoint(eager=True)  # the feed is parsed once for both
+    compact, players = members_to_rows(members)
+    a = replace_keys(members.sparkSession, squads_path, compact, ["team_id"], buckets)
+    b = replace_keys(members.sparkSession, players_path, players, ["team_id"], buckets)
+    return a["written"] and b["written"]
 
 
 def append_rows(rows: DataFrame, path: str) -> None:

@@ -1,7 +1,9 @@
 """Feed readers: nested JSON match, squad and performer feeds to Bronze rows.
 
-Feeds are landed as JSON files (one envelope per file or per line) and read with an explicit
-schema; flattening is struct access plus ``explode``. Ids arrive as numbers or strings, so
+Feeds are landed as JSON, one envelope a line (so a large file is split over many tasks), or one
+envelope a file on request. Records are taken apart as variants, so ``raw_json`` keeps the whole
+record, fields that no schema names and number types included; the columns come from an explicit
+schema. Ids arrive as numbers or strings, so
 they are read as strings; scores, ages and shirt numbers are cast with ``try_cast`` so bad
 values become null instead of failing the batch.
 """
@@ -38,6 +40,7 @@ MEMBER = T.StructType([
 SQUAD_ENVELOPE = T.StructType([
     T.StructField("team_id", _S), T.StructField("team_name", _S),
     T.StructField("response", T.StructType([T.StructField("list", T.StructType([
+        T.StructField("name", _S),
         T.StructField("squad", T.ArrayType(T.StructType([
             T.StructField("title", _S), T.StructField("members", T.ArrayType(MEMBER))])))]))])),
 ])
@@ -50,18 +53,57 @@ PERFORMER = T.StructType([
 
 
 def _now() -> _dt.datetime:
-    return _dt.datetime.now(_dt.timezone.utc).replace(tzinfo=None)
+    return _dt.datetime.now(_dt.timezone.utc)
 
 
 def stamp(df: DataFrame, source: str = SOURCE, ts: _dt.datetime | None = None) -> DataFrame:
-    """One ``ingested_at`` literal for the whole batch (not per row) and a constant source."""
+    """One ``ingested_at`` literal for the whole batch (not per row) and a constant source.
+
+    The instant keeps its zone, so it does not depend on the driver's; a naive ``ts`` is UTC."""
     t = ts or _now()
+    if t.tzinfo is None:
+        t = t.replace(tzinfo=_dt.timezone.utc)
     return df.withColumn("ingested_at", F.lit(t).cast("timestamp")).withColumn("source", F.lit(source))
 
 
-def read_json(spark: SparkSession, path: str | Sequence[str], schema: T.StructType) -> DataFrame:
-    """JSON files with an explicit schema (no inference pass over the data)."""
-    return spark.read.schema(schema).option("multiLine", "true").json(path)
+def read_json(spark: SparkSession, path: str | Sequence[str], schema: T.StructType,
+              whole_document: bool = False) -> DataFrame:
+    """JSON with an explicit schema (no inference pass): a record a line, or with
+    ``whole_document`` a record (or an array of records) a file."""
+    return spark.read.schema(schema).option("multiLine", str(whole_document).lower()).json(path)
+
+
+def read_records(spark: SparkSession, path: str | Sequence[str], whole_document: bool = False) -> DataFrame:
+    """Landed JSON as one variant ``v`` a record (top-level arrays exploded); bad records give no row."""
+    text = spark.read.text(path, wholetext=whole_document)
+    v = text.select(F.try_parse_json("value").alias("v")).where("v is not null")
+    many = F.try_variant_get("v", "$", "array<variant>")
+    return v.select(F.explode(F.coalesce(many, F.array("v"))).alias("v"))
+
+
+def typed(records: DataFrame, schema: T.StructType, col: str = "v", keep: Sequence[str] = ()) -> DataFrame:
+    """The schema's fields of each variant record, and the whole record as ``raw_json``."""
+    raw = records.select(*keep, F.to_json(col).alias("raw_json"))
+    return raw.select(*keep, F.from_json("raw_json", schema).alias("_r"), "raw_json").select(*keep, "_r.*", "raw_json")
+
+
+def read_matches(spark: SparkSession, path: str | Sequence[str], whole_document: bool = False) -> DataFrame:
+    """A1: match records of landed envelopes, with their whole text."""
+    found = F.explode(F.try_variant_get("v", "$.response.matches", "array<variant>")).alias("m")
+    return typed(read_records(spark, path, whole_document).select(found), MATCH, "m")
+
+
+def read_members(spark: SparkSession, path: str | Sequence[str], whole_document: bool = False) -> DataFrame:
+    """A2: squad members of landed envelopes (flagged ones dropped), with their whole text. The
+    team's name in the response comes before the caller's."""
+    def text(p):
+        return F.try_variant_get("v", p, "string")
+    groups = read_records(spark, path, whole_document).select(
+        text("$.team_id").alias("team_id"),
+        F.coalesce(F.nullif(text("$.response.list.name"), F.lit("")), text("$.team_name")).alias("team_name"),
+        F.explode(F.try_variant_get("v", "$.response.list.squad", "array<variant>")).alias("g"))
+    members = groups.select("team_id", "team_name", F.explode(F.try_variant_get("g", "$.members", "array<variant>")).alias("m"))
+    return _ranked(typed(members, MEMBER, "m", ("team_id", "team_name")))
 
 
 def first_nonempty_array(*arrays: Column) -> Column:
@@ -79,10 +121,11 @@ def flatten_matches(matches: DataFrame, league_id, season: int, ts: _dt.datetime
     """A1: nested match rows to Bronze fixtures; the league id comes from the caller, either
     one value for the batch or a Column (feeds of many leagues in one job).
 
-    Missing ids and names become ``''``; scores are nullable integers; the original record is
-    kept as ``raw_json``. Null nested structs are tolerated.
+    Missing ids and names become ``''``; scores are nullable integers; the whole record is kept
+    as ``raw_json`` (:func:`read_matches` brings it; a frame without it is encoded, all columns).
+    Null nested structs are tolerated.
     """
-    payload = [c for c in matches.columns if c in MATCH.fieldNames()]
+    raw = F.col("raw_json") if "raw_json" in matches.columns else _raw(matches, matches.columns)
     league = league_id.cast("string") if isinstance(league_id, Column) else F.lit(str(league_id))
     def s(path):
         return F.coalesce(F.col(path).cast("string"), F.lit(""))
@@ -96,18 +139,28 @@ def flatten_matches(matches: DataFrame, league_id, season: int, ts: _dt.datetime
         F.col("away.score").try_cast("bigint").alias("away_score"),
         league.alias("league_id"),
         F.lit(int(season)).cast("bigint").alias("season"),
-        F.to_json(F.struct(*[F.col(c) for c in payload])).alias("raw_json"),
+        raw.alias("raw_json"),
     )
     return stamp(out, source, ts)
 
 
+def truthy(flag: Column) -> Column:
+    """Does a JSON value read as text count as set: anything but absent, empty, false or zero."""
+    return ~F.lower(F.trim(F.coalesce(flag, F.lit("")))).isin("", "false", "0", "0.0", "null", "[]", "{}")
+
+
+def _ranked(members: DataFrame) -> DataFrame:
+    return members.filter(~truthy(F.col("excludeFromRanking")))
+
+
 def squad_members(squads: DataFrame) -> DataFrame:
-    """A2: squads to members (team id/name carried), members flagged excludeFromRanking
-    (truthy) dropped; a null flag keeps the member."""
-    g = squads.select("team_id", "team_name", F.explode("response.list.squad").alias("g"))
-    m = g.select("team_id", "team_name", F.explode("g.members").alias("m"))
-    flag = F.lower(F.coalesce(F.col("m.excludeFromRanking"), F.lit("")))
-    return m.filter(~flag.isin("true", "1")).select("team_id", "team_name", "m.*")
+    """A2: squads to members (team id/name carried; the response's own team name first), members
+    whose excludeFromRanking is set dropped; a null flag keeps the member."""
+    name = F.coalesce(F.nullif(F.col("response.list.name"), F.lit("")), F.col("team_name")) \
+        if "name" in squads.select("response.list.*").columns else F.col("team_name")
+    g = squads.select("team_id", name.alias("team_name"), F.explode("response.list.squad").alias("g"))
+    return _ranked(g.select("team_id", "team_name", F.explode("g.members").alias("m"))
+                   .select("team_id", "team_name", "m.*"))
 
 
 def _raw(df: DataFrame, cols: Sequence[str]) -> Column:
@@ -126,14 +179,15 @@ def flatten_squads(squads: DataFrame, ts: _dt.datetime | None = None, source: st
 def members_to_rows(m: DataFrame, ts: _dt.datetime | None = None, source: str = SOURCE
                     ) -> tuple[DataFrame, DataFrame]:
     """Squad members (from :func:`squad_members`) to compact squad rows and player rows."""
-    member_cols = [f.name for f in MEMBER.fields]
+    raw = F.col("raw_json") if "raw_json" in m.columns else \
+        _raw(m, [c for c in m.columns if c not in ("team_id", "team_name")])
     t = ts or _now()
     compact = stamp(m.select(
         F.col("team_id").cast("string").alias("team_id"), F.col("team_name"),
         F.coalesce(F.col("id"), F.lit("")).alias("player_id"),
         F.coalesce(F.col("name"), F.lit("")).alias("player_name"),
         F.coalesce(F.col("positionIdsDesc"), F.lit("")).alias("position"),
-        _raw(m, member_cols).alias("raw_json")), source, t)
+        raw.alias("raw_json")), source, t)
     players = stamp(m.select(
         F.coalesce(F.col("id"), F.lit("")).alias("player_id"),
         F.col("team_id").cast("string").alias("team_id"), F.col("team_name"),
@@ -142,15 +196,16 @@ def members_to_rows(m: DataFrame, ts: _dt.datetime | None = None, source: str =
         F.col("team_name").alias("nationality"),
         F.col("age").try_cast("bigint").alias("age"),
         F.col("shirtNumber").try_cast("bigint").alias("jersey_number"),
-        _raw(m, member_cols).alias("raw_json")), source, t)
+        raw.alias("raw_json")), source, t)
     return compact, players
 
 
 def merge_metric_feeds(feeds: Mapping[str, DataFrame], ts: _dt.datetime | None = None,
-                       source: str = SOURCE) -> DataFrame:
+                       source: str = SOURCE, league_id: str | None = None) -> DataFrame:
     """A5: performer lists keyed by stat (goals / assists / rating) to one table tagged
     ``stat_type``; metrics the list does not carry are typed nulls; missing goals and assists
-    count as 0, a missing rating stays null. All rows share one ``ingested_at``."""
+    count as 0, a missing rating stays null. All rows share one ``ingested_at``; with ``league_id``
+    the feeds are one league's (A16) and carry it."""
     parts = []
     for stat, df in feeds.items():
         def metric(name, dtype, default):
@@ -171,6 +226,8 @@ def merge_metric_feeds(feeds: Mapping[str, DataFrame], ts: _dt.datetime | None =
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
+    if league_id is not None:
+        out = out.withColumn("league_id", F.lit(str(league_id)))
     return stamp(out, source, ts)
 
 
@@ -227,15 +284,17 @@ def normalize_match(m: DataFrame, is_live: bool) -> DataFrame:
                 c = F.col(p).cast("string")
                 cols.append(F.nullif(c, F.lit("")) if blank_is_missing else c)
         return F.coalesce(*cols) if cols else F.lit(None).cast("string")
+    # fixed values: the paths each field may come under, most specific first
     return m.select(
         first(["id", "matchId", "fixture_id"]).alias("fixture_id"),
-        first(["home.name", "homeTeam.name", "home_team"]).alias("home_team"),
-        first(["away.name", "awayTeam.name", "away_team"]).alias("away_team"),
-        (first(["home.score", "homeScore", "home_score"], False)).try_cast("bigint").alias("home_score"),
-        (first(["away.score", "awayScore", "away_score"], False)).try_cast("bigint").alias("away_score"),
-        F.coalesce(first(["status.reason.short", "status.short", "status"]),
+        F.coalesce(first(["home.name", "homeTeam", "homeTeam.name", "home_team"]), F.lit("")).alias("home_team"),
+        F.coalesce(first(["away.name", "awayTeam", "awayTeam.name", "away_team"]), F.lit("")).alias("away_team"),
+        first(["home.score", "score.home", "homeScore", "home_score"], False).try_cast("bigint").alias("home_score"),
+        first(["away.score", "score.away", "awayScore", "away_score"], False).try_cast("bigint").alias("away_score"),
+        F.coalesce(first(["status.reason.short", "status.short", "status", "state"]),
                    F.lit("LIVE" if is_live else "NS")).alias("status"),
-        first(["status.utcTime", "time", "utcTime", "date"]).alias("match_time"),
+        first(["date", "matchDate", "startDate", "status.utcTime", "utcTime"]).alias("match_date"),
+        first(["time", "matchTime", "startTime", "status.utcTime", "utcTime"]).alias("match_time"),
     )
 
 

@@ -128,7 +128,7 @@ class Testbed:
 
     @cached_property
     def bronze_performers(self) -> DataFrame:
-        ev = self.table("events").filter(F.col("event_type").isin("purchase", "click", "view"))
+        ev = self.table("events")
         et = F.col("event_type")
         return ev.select(
             "event_id",
@@ -137,7 +137,7 @@ class Testbed:
             F.concat(F.lit("T"), _str(F.col("user_id") % 25)).alias("team_name"),
             F.when(et == "purchase", F.floor("value").cast("bigint")).alias("goals"),
             F.when(et == "click", F.floor("value").cast("bigint")).alias("assists"),
-            F.when(et == "view", F.col("value")).alias("rating"),
+            F.when(~et.isin("purchase", "click"), F.col("value")).alias("rating"),
             F.when(et == "purchase", F.lit("goals")).when(et == "click", F.lit("assists"))
              .otherwise(F.lit("rating")).alias("stat_type"),
             F.col("ts").alias("ingested_at"),

@@ -1,10 +1,12 @@
 """Incremental keyed upsert on Structured Streaming.
 
-Each micro-batch is reduced to its latest row per key, merged with the stored rows of the
-partitions it touches, reduced again, and written back with dynamic partition overwrite.
+Each micro-batch is reduced to its latest row per key, merged with the stored rows of the hash
+buckets it touches, reduced again, and written back with dynamic partition overwrite in one commit.
 "Latest" is by the order columns (``ingested_at`` first), so a late, older record never
 replaces a newer one, and replaying a batch id rewrites the same rows (idempotent). The
-stream's checkpoint is the durable cursor.
+stream's checkpoint is the durable cursor. Choose ``buckets`` so that one holds what a batch may
+rewrite (a table of 100 TB wants tens of thousands); a bucket's merge is a shuffle by key and its
+write is rebalanced, so no bucket is bound to one task.
 """
 
 from __future__ import annotations
@@ -17,56 +19,31 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from touchline.operators.snapshot import latest_per_key
+from touchline.session import ensure_checkpoint_dir
+from touchline.sinks.tables import BUCKET, _publish, _stored, with_bucket
 
 
-BUCKET = "_bucket"
+def merge_frame(stored: DataFrame | None, batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """The table after one batch, as a lazy frame: the latest row per key of both. The batch is
+    reduced before the two meet, so a hot key sends one row."""
+    incoming = latest_per_key(batch, keys, order)
+    return incoming if stored is None else latest_per_key(stored.select(*incoming.columns).unionByName(incoming), keys, order)
 
 
-def with_bucket(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
-    """Partition column derived from the key, so every snapshot of a key shares a partition."""
-    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int"))
-
-
-def merge_batch(batch: DataFrame, path: str, keys: Sequence[str], order: Sequence[str],
-                partition_col: str = BUCKET, schema: T.StructType | None = None,
-                buckets: int | None = 64) -> bool:
-    """Upsert one batch into the partitioned Parquet table at ``path``.
-
-    With ``buckets`` (the default) the table is partitioned by a hash bucket of the key and
-    ``partition_col`` is that bucket; only the buckets the batch touches are rewritten.
-    """
+def merge_batch(batch: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], buckets: int = 64) -> bool:
+    """Upsert one batch into the Parquet table at ``path``, bucketed by key."""
     spark = batch.sparkSession
-    if buckets:
-        batch, partition_col = with_bucket(batch, keys, buckets), BUCKET
-    incoming = latest_per_key(batch, keys, order).persist()
-    # the touched partition values: at most ``buckets`` of them when bucketed, so listing them
-    # on the driver is bounded; the filter on the partition column prunes the scan to them.
-    # No value means an empty batch: nothing is written (no separate pass to test for rows).
-    touched = [r[0] for r in incoming.select(partition_col).distinct().collect()]
+    ensure_checkpoint_dir(spark)
+    incoming = latest_per_key(with_bucket(batch, keys, buckets), keys, order).checkpoint(eager=True)
+    # the touched buckets: at most ``buckets``; the filter prunes the scan to them, none means an empty batch
+    touched = [r[0] for r in incoming.select(BUCKET).distinct().collect()]
     if not touched:
-        incoming.unpersist()
         return False
-    # The merge is shuffled by partition value, so each partition is written by one task (one
-    # file per partition and batch, not one per task and partition). By now a key has at most
-    # two rows (the batch's latest and the stored one), so a hot key cannot skew this shuffle;
-    # the raw batch was reduced before its own shuffle by key.
-    try:
-        stored = (spark.read.schema(schema or incoming.schema).parquet(path)
-                  .filter(F.col(partition_col).isin(touched)).select(*incoming.columns))
-        both = stored.unionByName(incoming).repartition(partition_col)
-        merged = latest_per_key(both, [partition_col, *keys], order)
-    except Exception as exc:  # first batch: no table yet
-        if "PATH_NOT_FOUND" not in str(exc) and "UNABLE_TO_INFER_SCHEMA" not in str(exc):
-            raise
-        merged = incoming.repartition(partition_col)
-    # materialise in the shared checkpoint folder before overwriting the partitions it was
-    # read from (this also cuts the lineage back to the stream source)
-    from touchline.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    ckpt = merged.checkpoint(eager=True)
-    incoming.unpersist()
-    (ckpt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(partition_col).parquet(path))
+    stored = _stored(spark, path)
+    if stored is not None:
+        stored = stored.filter(F.col(BUCKET).isin(touched))
+    # cut off from the table before its buckets are overwritten
+    _publish(merge_frame(stored, incoming, keys, order).checkpoint(eager=True), path, [BUCKET])
     return True
 
 
@@ -90,21 +67,3 @@ def read_json_stream(spark: SparkSession, path: str, schema: T.StructType,
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return r.json(path)
-
-
-def replay_as_stream(spark: SparkSession, bronze: DataFrame, keys: Sequence[str], order: Sequence[str],
-                     batches: int = 3, buckets: int = 16) -> DataFrame:
-    """Land ``bronze`` as ``batches`` files in a fresh folder under the shared checkpoint dir,
-    upsert them as a file stream (one file per micro-batch, snapshots of a key spread over
-    batches, so later batches carry late and newer records), and return the upserted table.
-    """
-    import uuid
-
-    from touchline.session import ensure_checkpoint_dir
-    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/upsert-{uuid.uuid4().hex}"
-    bronze.repartition(batches).write.parquet(f"{root}/landing")
-    schema = spark.read.parquet(f"{root}/landing").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(f"{root}/landing")
-    q = upsert_stream(stream, f"{root}/table", keys, order, f"{root}/_checkpoint", buckets=buckets)
-    q.awaitTermination()
-    return spark.read.parquet(f"{root}/table").drop(BUCKET)
