@@ -194,6 +194,23 @@ def test_create_tables_idempotent(spark):
     spark.sql("DROP TABLE IF EXISTS tl_test_bronze")
 
 
+def test_declared_tables_are_created_once_and_match_what_is_built(spark):
+    from touchline.plans import medallion as M
+    from touchline.sources.schemas import table_schema, table_schemas
+    spark.sql("CREATE DATABASE IF NOT EXISTS tl_declared")
+    try:
+        assert len(create_tables(spark, table_schemas(), "tl_declared")) == 10
+        assert create_tables(spark, table_schemas(), "tl_declared") == []
+        bronze = {n: spark.table(f"tl_declared.{n}") for n in ("bronze_fixtures", "bronze_players", "bronze_top_performers")}
+        built = M.build_silver(bronze)
+        built |= M.build_gold(built, bronze)
+        for name, df in built.items():
+            want = {f.name: f.dataType for f in table_schema(name).fields}
+            assert {f.name: f.dataType for f in df.schema.fields} == want, name
+    finally:
+        spark.sql("DROP DATABASE tl_declared CASCADE")
+
+
 # ----------------------------------------------------------------------------- streaming
 
 SCHEMA = "fixture_id string, status string, ingested_at timestamp, league_id string"
