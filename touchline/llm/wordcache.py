@@ -13,10 +13,11 @@ import os
 
 import numpy as np
 
-GENERATION = 300_000
+GENERATION = 500_000
 #: Marks between words in one library call; a special token is never merged with its neighbours.
 _MARK = "<|endoftext|>"
 _BLOCK = 2000
+_ENDS = frozenset(b".,!")
 
 
 class WordCache:
@@ -34,36 +35,43 @@ class WordCache:
     def encode(self, word: str) -> list[int]:
         return self.tok.encode(word, add_special_tokens=False).ids
 
+    def _known(self, word: bytes):
+        v = self.young.get(word)
+        return self.old.get(word) if v is None else v
+
     def _fill(self, words: list[bytes]) -> dict:
-        """Library ids of ``words``; a full stop or comma behind letters is a token run of its own."""
-        parts, stems = {}, {}
+        """Values of new ``words``. A full stop or comma behind letters is a token run of its own, so
+        such a word is put together from its stem and the mark."""
+        parts, out, stems = {}, {}, {}
         for w in words:
-            s = w.decode("utf-8", "replace")
-            if len(s) > 1 and s[-1] in ".,!" and s[:-1].isalpha():
-                parts[w] = (s[:-1], s[-1])
+            if w[-1] in _ENDS and len(w) > 1 and w[:-1].decode("utf-8", "replace").isalpha():
+                parts[w] = w[:-1], w[-1:]
+                for p in parts[w]:
+                    if p not in out:
+                        out[p] = self._known(p)
+                        if out[p] is None:
+                            stems[p] = p.decode("utf-8", "replace")
             else:
-                parts[w] = (s,)
-            for p in parts[w]:
-                stems[p] = None
-        plain = [s for s in stems if "<|" not in s]
+                stems[w] = w.decode("utf-8", "replace")
+        plain = [w for w, s in stems.items() if "<|" not in s]
         blocks = [plain[i:i + _BLOCK] for i in range(0, len(plain), _BLOCK)]
-        for block, e in zip(blocks, self.tok.encode_batch_fast([_MARK.join(b) for b in blocks], add_special_tokens=False)):
+        texts = [_MARK.join([stems[w] for w in b]) for b in blocks]
+        for block, e in zip(blocks, self.tok.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, dtype="<u4")
             cuts = np.flatnonzero(ids == self.mark)
             starts = np.concatenate([[0], cuts + 1])
             ends = np.concatenate([cuts, [len(ids)]])
             if self.as_ids:
                 raw = ids.tobytes()
-                for s, a, b in zip(block, (starts * 4).tolist(), (ends * 4).tolist()):
-                    stems[s] = raw[a:b]
+                out.update((w, raw[a:b]) for w, a, b in zip(block, (starts * 4).tolist(), (ends * 4).tolist()))
             else:
-                for s, n in zip(block, (ends - starts).tolist()):
-                    stems[s] = n
-        for s in stems:
+                out.update(zip(block, (ends - starts).tolist()))
+        for w, s in stems.items():
             if "<|" in s:
                 ids = self.encode(s)
-                stems[s] = np.array(ids, dtype="<u4").tobytes() if self.as_ids else len(ids)
-        return {w: stems[p[0]] + stems[p[1]] if len(p) == 2 else stems[p[0]] for w, p in parts.items()}
+                out[w] = np.array(ids, dtype="<u4").tobytes() if self.as_ids else len(ids)
+        out.update((w, out[stem] + out[mark]) for w, (stem, mark) in parts.items())
+        return out
 
     def learn(self, texts: list[list[bytes]]) -> dict:
         """Make sure every word of ``texts`` is known; returns the dictionary to look them up in."""
