@@ -200,3 +200,18 @@ def test_switch_league_skips_loaded_and_reports_partial(spark):
     assert out["status"] == "partial" and out["failed"] == ["squads"] and calls == ["140"]
     assert switch_league("nowhere", aliases, loaded, load, lambda l: {}, search=found)["status"] == "error"
     assert switch_league("eredivisie", aliases, loaded, load, lambda l: {}, search=found)["league_id"] == "88"
+
+
+def test_match_buckets_hold_every_match_and_page_on_request(spark):
+    rows = [(f"l{i}", "A", "B", 0, 0, "1H", dt.date(2024, 5, 1 + i), "L1", False) for i in range(25)]
+    rows += [(f"u{i}", "A", "B", None, None, "NS", dt.date(2024, 6, 1 + i), "L1", False) for i in range(8)]
+    rows += [(f"r{i}", "A", "B", 1, 0, "FT", dt.date(2024, 4, 1) + dt.timedelta(days=i), "L1", True) for i in range(50)]
+    rows += [("old", "A", "B", 1, 0, "FT", dt.date(2020, 1, 1), "L2", True), ("past", "A", "B", None, None, "NS", dt.date(2020, 1, 1), "L2", False)]
+    f = spark.createDataFrame(rows, "fixture_id string, home_team_name string, away_team_name string, home_score long, away_score long, "
+                                    "status string, match_date date, league_id string, is_completed boolean")
+    leagues = spark.createDataFrame([("L1", "One")], "league_id string, display string")
+    got = C.match_buckets(f, leagues, as_of="2024-05-20").collect()
+    assert {b: sum(r.bucket == b for r in got) for b in ("live", "upcoming", "recent")} == {"live": 25, "upcoming": 8, "recent": 2}
+    assert {r.fixture_id: r.league_name for r in got if r.bucket == "recent"} == {"r49": "One", "old": "League L2"}
+    page = C.match_buckets(f, leagues, as_of="2024-05-20", limit=1).collect()
+    assert sorted((r.bucket, r.fixture_id) for r in page) == [("live", "l0"), ("recent", "r49"), ("upcoming", "u0")]
