@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import touchline.llm.decontamination as dc
-from touchline.llm.decontamination import (CONSISTENT, SIMILAR, WIDTH, ItemBlock, Template, Words, drop_leaks, find_leaks, op2_decontamination)
+from touchline.llm.decontamination import (CONSISTENT, SIMILAR, WIDTH, ItemBlock, Template, drop_leaks, find_leaks, op2_decontamination)
 
 ITEMS = "item_id bigint, text string"
 QUESTION = ("A train leaves the station at 60 miles per hour while Anna walks 3 miles to the market; the train travels at 60 miles per hour for 2 hours "

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,7 +51,3 @@ def doc_rows(batches, key: str = "doc_id", text: str = "text"):
     for b in batches:
         yield from zip(b.column(b.schema.get_field_index(key)).to_pylist(),
                        text_bytes(b.column(b.schema.get_field_index(text))))
-
-
-def log10_sum(values) -> float:
-    return math.fsum(values)
