@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.common import chunks, table, text_bytes
+from touchline.llm.common import chunks, importable, table, text_bytes
 
 WIDTH, SIMILAR, CONSISTENT = 5, 0.8, 0.8
 BLOCK_WINDOWS = 1 << 21
@@ -215,7 +215,7 @@ PAIRS = ("doc_id bigint, item_id bigint, n_windows bigint, n_matched bigint, n_s
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item found in it, with the matched words' range (white-space separated, from 0)."""
     spark, out = docs.sparkSession, None
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = importable(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     names = [c.split()[0] for c in PAIRS.split(", ")]
     for block in item_blocks(benchmark.withColumn("item_id", F.col("item_id").cast("bigint"))):
         sent = spark.sparkContext.broadcast(block)  # at most BLOCK_WINDOWS windows
@@ -234,7 +234,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows of ``docs``, all columns, in which no item is found."""
-    spark = docs.sparkSession
+    spark = importable(docs).sparkSession
     at = docs.columns.index("text")
     for block in item_blocks(benchmark.withColumn("item_id", F.col("item_id").cast("bigint"))):
         sent = spark.sparkContext.broadcast(block)

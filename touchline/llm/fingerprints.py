@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import chunks, doc_rows
+from touchline.llm.common import chunks, doc_rows, importable
 
 SEED = 42
 
@@ -48,4 +48,4 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.array(bits, np.uint64).view(np.int64))],
                                              names=["doc_id", "bits"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, bits bigint")
+    return importable(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, bits bigint")

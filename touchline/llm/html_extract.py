@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import table
+from touchline.llm.common import importable, table
 
 SCHEMA = "page_id bigint, url string, text string, n_chars bigint"
 
@@ -267,7 +267,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1).cast(pa.string()), pa.array(texts, pa.string()),
                                               pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(run, SCHEMA)
+    return importable(pages).select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").mapInArrow(run, SCHEMA)
 
 
 def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import checkpointed, chunks, crc_mod, doc_rows, table, text_bytes
+from touchline.llm.common import checkpointed, chunks, crc_mod, doc_rows, importable, table, text_bytes
 from touchline.llm.suffix_dedup import words_at
 
 ORDER = 6
@@ -132,7 +132,7 @@ def count_strings(docs: DataFrame, order: int = ORDER, buckets: int = 16, mod: i
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()))],
                         names=["ord", "sizes", "payload", "seen"])
 
-    sent = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(count, "bucket int, payload binary")
+    sent = importable(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(count, "bucket int, payload binary")
     return sent.groupBy("bucket").applyInArrow(merge, "ord int, sizes array<bigint>, payload binary, seen binary")
 
 

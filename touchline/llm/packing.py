@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from touchline.llm.common import checkpointed, chunks, doc_rows, table
+from touchline.llm.common import checkpointed, chunks, doc_rows, importable, table
 from touchline.llm.wordcache import WordCache, cache
 
 CAPACITY = 4096
@@ -58,7 +58,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n in ("task", "class") else pa.int64())
                                               for n, c in zip(names, cols)], names=names)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return importable(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, PIECES)
 
 
 def price(duals: np.ndarray, sizes: np.ndarray, room: int) -> tuple[float, np.ndarray]:

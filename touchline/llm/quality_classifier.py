@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import checkpointed, crc_mod, doc_rows, table
+from touchline.llm.common import checkpointed, crc_mod, doc_rows, importable, table
 from touchline.llm.labelled import fit_logistic, sigmoid, training_labels
 
 MOD, HELD, CUT = 4, 2, 0.7
@@ -68,7 +68,7 @@ def document_statistics(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.list_(pa.float64()))],
                                              names=["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, x array<double>")
+    return importable(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, x array<double>")
 
 
 def class_moments(rows: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:

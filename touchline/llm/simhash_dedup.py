@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import checkpointed, table
+from touchline.llm.common import checkpointed, importable, table
 from touchline.llm.fingerprints import fingerprints
 
 SHINGLE = 4
@@ -177,7 +177,7 @@ def fingerprint_links(reps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Spanning links ``a, b`` (representative ids) of all fingerprints within ``radius`` bits.
 
     ``reps``: ``bits, rep``, one row per distinct fingerprint."""
-    spark = reps.sparkSession
+    spark = importable(reps).sparkSession
     n = reps.count()
     shards = max(1, int(math.sqrt(n) / 8))
     sampled = min(SAMPLE_MOST, SAMPLE_PER_SHARD * shards)  # bounded, whatever the corpus

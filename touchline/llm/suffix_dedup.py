@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.common import table
+from touchline.llm.common import importable, table
 
 WINDOW = 50
 ANCHOR = 16
@@ -367,7 +367,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """All columns of ``docs`` with covered bytes cut out of ``text`` (a cut inside a character drops the
     rest of it), and ``_tl_bytes, _tl_removed, _tl_spans, _tl_sha256`` (of the kept bytes)."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    total = importable(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, math.ceil(total / HOME_BYTES))
     splitters = sample_splitters(docs, total, buckets)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import chunks, doc_rows, table
+from touchline.llm.common import chunks, doc_rows, importable, table
 from touchline.llm.wordcache import WordCache, cache
 
 SCHEMA = "doc_id bigint, n_bytes bigint, n_tokens bigint, cut_bytes bigint"
@@ -145,7 +145,7 @@ def token_counts(docs: DataFrame, path: str, budget: int = 2048) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)] if got else
                                              [pa.array([], pa.int64())] * 4, names=names)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return importable(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import checkpointed, crc_mod, table
+from touchline.llm.common import checkpointed, crc_mod, importable, table
 from touchline.llm.labelled import fit_logistic, sample_documents, sigmoid, training_labels
 
 MOD, HELD, CUT = 3, 1, 0.7
@@ -202,7 +202,7 @@ def learn(sample: DataFrame) -> tuple[dict[str, float], np.ndarray]:
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, mod: int = MOD, held: int = HELD, cut: float = CUT, per_class: int = PER_CLASS) -> DataFrame:
     """``doc_id, held_out, score, predicted, clauses`` (matched clauses) of every document."""
-    spark = docs.sparkSession
+    spark = importable(docs).sparkSession
     sample = checkpointed(sample_documents(docs, training_labels(labels, "toxic", mod, held), per_class).select(
         F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half"), "y", "text"))
     weights, curve = learn(sample)
