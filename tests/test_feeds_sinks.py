@@ -101,6 +101,18 @@ def test_a_line_is_a_record(spark, scratch):
     assert FD.read_matches(spark, f"{scratch}/whole.json", whole_document=True).count() == 3
 
 
+def test_player_detail_by_id(spark, scratch):
+    import os
+    os.makedirs(scratch)
+    with open(f"{scratch}/d.json", "w") as f:
+        f.writelines(json.dumps({"player": {"id": i, "foot": "left", "h": 1.8}}) + "\n" for i in (7, 8))
+    landed = FD.read_player_details(spark, f"{scratch}/d.json")
+    stored = spark.createDataFrame([("7", '{"id":7,"foot":"right"}')], "player_id string, raw_json string")
+    assert json.loads(FD.player_detail(stored, landed, 7).first().raw_json)["foot"] == "right"
+    assert json.loads(FD.player_detail(stored, landed, 8).first().raw_json) == {"id": 8, "foot": "left", "h": 1.8}
+    assert FD.player_detail(None, landed, 9).count() == 0
+
+
 def test_batch_stamp_keeps_its_instant_in_any_zone(spark, monkeypatch):
     import time
     at = dt.datetime(2024, 5, 1, 12, tzinfo=dt.timezone.utc)
@@ -289,6 +301,8 @@ def test_append_overwrite_and_probes(spark, scratch):
     overwrite_table(_rows(spark, [("3", 3)]), "tl_test_overwrite", ["team_id"])
     assert [r.v for r in spark.table("tl_test_overwrite").collect()] == [3]
     spark.sql("DROP TABLE tl_test_overwrite")
+    from touchline.sinks.tables import table_exists
+    assert table_exists(spark, f"{scratch}/a") and not table_exists(spark, f"{scratch}/none") and not table_exists(spark, "tl_test_overwrite")
     assert qualified("t", "c", "d") == "c.d.t" and qualified("t") == "t"
     assert table_has_rows(_rows(spark, [("1", 1)])) and not table_has_rows(_rows(spark, [])) and not table_has_rows(None)
     squads = _json_df(spark, [{"team_id": "9", "team_name": "N", "response": {"list": {"squad": [{"members": [{"id": 1, "name": "A"}]}]}}}], FD.SQUAD_ENVELOPE)

@@ -42,7 +42,7 @@ def two_sided_standings(df: DataFrame,
     )
     agg = per_name.groupBy("team_id", *group).agg(
         F.max("team_name").alias("team_name"),
-        *[(F.sum(c) if c.startswith("goals") else F.sum(c)).alias(c) for c in counts])
+        *[F.sum(c).alias(c) for c in counts])
     return agg.select(
         "team_id", "team_name", *group, "matches_played", "wins", "draws", "losses",
         "goals_for", "goals_against",

@@ -220,6 +220,13 @@ def qualified(name: str, catalog: str | None = None, database: str | None = None
     return ".".join(x for x in (catalog, database, name) if x)
 
 
+def table_exists(spark: SparkSession, name_or_path: str) -> bool:
+    """Does a catalog table of this name, or a written table at this path, exist?"""
+    if "/" in name_or_path:
+        return _stored(spark, name_or_path) is not None
+    return spark.catalog.tableExists(name_or_path)
+
+
 def table_has_rows(df: DataFrame | None) -> bool:
     """Existence probe (limit 1, not a count)."""
     return df is not None and not df.isEmpty()

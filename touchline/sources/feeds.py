@@ -308,6 +308,21 @@ def _flat_fields(schema: T.StructType, prefix: str = "") -> dict[str, T.DataType
     return out
 
 
+def read_player_details(spark: SparkSession, path: str | Sequence[str], whole_document: bool = False) -> DataFrame:
+    """Landed player detail envelopes to ``player_id`` and the whole detail as ``raw_json``."""
+    found = read_records(spark, path, whole_document).select(F.try_variant_get("v", "$.player", "variant").alias("p")).where("p is not null")
+    return found.select(F.try_variant_get("p", "$.id", "string").alias("player_id"), F.to_json("p").alias("raw_json"))
+
+
+def player_detail(stored: DataFrame | None, landed: DataFrame, player_id) -> DataFrame:
+    """One player's detail, the stored row before the landed one (none: no row)."""
+    one = F.col("player_id") == F.lit(str(player_id))
+    rows = landed.filter(one).withColumn("_k", F.lit(1))
+    if stored is not None:
+        rows = rows.unionByName(stored.select("player_id", "raw_json").filter(one).withColumn("_k", F.lit(0)))
+    return rows.orderBy("_k", "raw_json").limit(1).drop("_k")
+
+
 def all_players(stored: DataFrame | None, squads: DataFrame) -> DataFrame:
     """The stored player table when it has rows, else every squad flattened in one job."""
     if stored is not None and not stored.isEmpty():
