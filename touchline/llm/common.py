@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 
 import pyarrow as pa
@@ -12,6 +13,7 @@ from touchline.session import ensure_checkpoint_dir
 
 #: Bytes of text handled at once inside a task (bounds the arrays made from them).
 CHUNK_BYTES = 3 << 20
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +21,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def importable(df: DataFrame) -> DataFrame:
-    """``df``, once Python workers look for this package where the driver found it.
+    """``df``, once Python workers look for this package where the driver found it, in Arrow batches of
+    ``BATCH_ROWS`` rows (unless the session asks for another number): texts are long, and a batch is
+    held by the JVM and copied by the worker.
 
     Enough wherever executors see the driver's installation (one machine, a shared or equal path). On
     other clusters the package is installed on the nodes or sent with ``addPyFile``."""
@@ -27,9 +31,35 @@ def importable(df: DataFrame) -> DataFrame:
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # Spark's default
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df
 
 
+_HELD: dict = {}
+
+
+def held(key, make):
+    """One object that a Python worker keeps over the tasks it runs; asking for another key lets it go."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def release(kept: bool = True) -> None:
+    """Let go what the worker keeps and give freed memory back to the system: workers live on between tasks
+    and are used again by operators that need the memory themselves. ``kept=False``: only give back."""
+    if kept:
+        _HELD.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def crc_mod(doc_id: Column | str, mod: int) -> Column:
     """crc32 of the id written as text, modulo ``mod``; a null id counts as empty text."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.common import chunks, importable, table, text_bytes
+from touchline.llm.common import chunks, importable, release, table, text_bytes
 
 WIDTH, SIMILAR, CONSISTENT = 5, 0.8, 0.8
 BLOCK_WINDOWS = 1 << 21
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 #: Words written for numbers, and units that follow one.
 NUMBER_WORDS = frozenset("""zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen
 eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion half dozen""".split())
@@ -221,11 +221,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         sent = spark.sparkContext.broadcast(block)  # at most BLOCK_WINDOWS windows
 
         def run(batches, sent=sent):
+            release()
             cache = Words()
             for b in batches:
                 rows = [(d, *f) for d, found in zip(b.column(0).to_pylist(), _searched(text_bytes(b.column(1)), sent.value, cache)) for f in found]
                 cols = list(zip(*rows)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
+            cache.clear()
+            release()
 
         part = docs.mapInArrow(run, PAIRS)
         out = part if out is None else out.union(part)
@@ -240,9 +243,12 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
+            release()
             cache = Words()
             for b in batches:
                 yield b.filter(pa.array([not f for f in _searched(text_bytes(b.column(at)), sent.value, cache)], pa.bool_()))
+            cache.clear()
+            release()
 
         docs = docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
     return docs

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import chunks, doc_rows, importable
+from touchline.llm.common import chunks, doc_rows, importable, release
 
 SEED = 42
 
@@ -39,6 +39,7 @@ def bit_counts(h: np.ndarray) -> np.ndarray:
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """``doc_id, bits`` (the fingerprint as a signed long) of every whole text; null text: zero."""
     def run(batches):
+        release()
         for b in batches:
             ids, bits = [], []
             for part in chunks(doc_rows([b])):

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import checkpointed, chunks, crc_mod, doc_rows, importable, table, text_bytes
+from touchline.llm.common import checkpointed, chunks, crc_mod, doc_rows, importable, release, table, text_bytes
 from touchline.llm.suffix_dedup import words_at
 
 ORDER = 6
@@ -43,6 +43,8 @@ MOD, HELD = 10, 0
 HOME_BYTES = 6 << 20
 #: Distinct strings a counting task holds before it merges them.
 _MERGE = 1 << 21
+#: Text bytes scored at once inside a task.
+_SCORE_BYTES = 3 << 19
 _HOME = "_tl_home"
 #: Ends a text and fills the context before it; no UTF-8 text holds this byte.
 END = b"\xff"
@@ -95,6 +97,7 @@ def count_strings(docs: DataFrame, order: int = ORDER, buckets: int = 16, mod: i
     """``ord, sizes, payload``: for each bucket and order the strings with their counts (packed) and how
     many of them were seen 1, 2-3, 4-7, ... times in all."""
     def count(batches):
+        release()
         keys, counts = [], []
 
         def merged():
@@ -305,7 +308,7 @@ def _score_home(rows: pa.Table, answers: pa.Table, buckets: int, mod: int, held:
         counts.update(zip(ws, np.frombuffer(zstandard.decompress(back[b]), "<i8").tolist()))
     ids, texts = rows.column("doc_id").to_pylist(), [t.lower() for t in text_bytes(rows.column("text"))]
     tokens, known, logs, scores = [], [], [], []
-    for part in chunks(zip(ids, texts)):
+    for part in chunks(zip(ids, texts), _SCORE_BYTES):
         scores.extend(trie.score([t for _, t in part]).tolist())
         for _, t in part:
             words = t.split()

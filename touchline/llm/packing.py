@@ -57,6 +57,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
             cols = list(zip(*out)) or [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n in ("task", "class") else pa.int64())
                                               for n, c in zip(names, cols)], names=names)
+        words.rest()
 
     return importable(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, PIECES)
 

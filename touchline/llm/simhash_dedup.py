@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import checkpointed, importable, table
+from touchline.llm.common import checkpointed, importable, release, table
 from touchline.llm.fingerprints import fingerprints
 
 SHINGLE = 4
@@ -200,6 +200,7 @@ def fingerprint_links(reps: DataFrame, radius: int = RADIUS) -> DataFrame:
                                               pa.array(rep[at]), pa.array(query)], names=["shard", "part", "bits", "rep", "query"])
 
     def resolve(rows: pd.DataFrame) -> pd.DataFrame:
+        release()
         rows = rows.sort_values("rep", ignore_index=True)
         points, rep, query = rows["bits"].to_numpy().view(np.uint64), rows["rep"].to_numpy(), rows["query"].to_numpy()
         forest = Forest(len(rows))

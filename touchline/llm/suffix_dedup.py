@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.common import importable, table
+from touchline.llm.common import importable, release, table
 
 WINDOW = 50
 ANCHOR = 16
 #: Text bytes of one home group, and bytes indexed at once inside it.
-HOME_BYTES, SEGMENT = 6 << 20, 2 << 20
+HOME_BYTES, SEGMENT = 6 << 20, 1 << 20
 #: Sampled text bytes for the splitters, and one in so many of their anchors.
 SAMPLE_BYTES, SAMPLE_EVERY = 8 << 20, 16
 _REACH = WINDOW - ANCHOR + 1
@@ -59,6 +59,17 @@ def words_at(buf: bytes, order: str = "<") -> np.ndarray:
     return w
 
 
+class Words:
+    """The eight bytes at given places of a buffer as numbers, without an array for every place."""
+
+    def __init__(self, buf: bytes):
+        padded = np.frombuffer(buf + bytes(16), np.uint8)
+        self.rows = np.lib.stride_tricks.as_strided(padded, (len(buf) + 8, 8), (1, 1))
+
+    def at(self, places: np.ndarray, order: str = "<") -> np.ndarray:
+        return np.ascontiguousarray(self.rows[places]).view(order + "u8").ravel().astype(np.uint64)
+
+
 def anchor_runs(buf: bytes, starts: np.ndarray, ends: np.ndarray):
     """(anchor position, first window, last window, anchor hash) of each run of windows with one anchor."""
     out = []
@@ -120,6 +131,7 @@ class Home:
     """The texts of one home group in (doc_id, text) order, as one buffer."""
 
     def __init__(self, rows: pa.Table):
+        release()
         ids = rows.column("doc_id").to_pylist()
         texts = [t if t is not None else b"" for t in rows.column("text").cast(pa.large_binary()).to_pylist()]
         self.order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, texts[i]))
@@ -216,7 +228,7 @@ def _send(rows: pa.Table, answers: pa.Table, buckets: int, splitters: np.ndarray
         out.append((int(number) % buckets, number, True, _pack_spans(*merge_spans(row[d], (lo - at)[d], (hi - at)[d] + WINDOW))))
     if sent:
         s = np.array(sent)
-        lead = words_at(buf, ">")[p[s]]
+        lead = Words(buf).at(p[s], ">")
         to = np.searchsorted(splitters, lead, "right")
         order = np.lexsort((s, lead, to))
         s, to = s[order], to[order]
@@ -248,6 +260,7 @@ def merge_spans(row: np.ndarray, start: np.ndarray, end: np.ndarray):
 
 def _resolve(rows: pa.Table) -> pa.Table:
     """Covered stretches of a bucket's suffixes, a payload per home group; decided ones pass through."""
+    release()
     out, parts = [], []
     for home, decided, payload in zip(*(rows.column(c).to_pylist() for c in ("home", "decided", "payload"))):
         if decided:
@@ -275,9 +288,9 @@ def resolve_suffixes(home, doc, row, start, wide, raw: bytes):
     """(home, row, start, end) of the stretches of each suffix that an earlier document covers."""
     length = wide + WINDOW  # the offset byte and the windows' bytes
     at = np.cumsum(length) - length
-    words, bigs = words_at(raw), words_at(raw, ">")
+    words = Words(raw)
     suffix = at + 1 + np.frombuffer(raw, np.uint8)[at]
-    order, group = multikey_groups([lambda i: bigs[suffix[i]], lambda i: bigs[suffix[i] + 8]], len(at))
+    order, group = multikey_groups([lambda i: words.at(suffix[i], ">"), lambda i: words.at(suffix[i] + 8, ">")], len(at))
     size = np.bincount(group, minlength=len(at))
     use = np.sort(order[size[group] > 1])
     # equal strings: the earliest document stands for all of them
@@ -295,9 +308,9 @@ def resolve_suffixes(home, doc, row, start, wide, raw: bytes):
     place = at[use][example][owner] + 1 + inner
     mix = np.zeros(len(place), np.uint64)
     for o in (0, 8, 16, 24, 32, 40, WINDOW - 8):
-        mix = (mix ^ words[place + o]) * _C[0]
+        mix = (mix ^ words.at(place + o)) * _C[0]
         mix ^= mix >> np.uint64(31)
-    exact = [lambda i, o=o: words[place[i] + o] for o in (0, 8, 16, 24, 32, 40, WINDOW - 8)]
+    exact = [lambda i, o=o: words.at(place[i] + o) for o in (0, 8, 16, 24, 32, 40, WINDOW - 8)]
     worder, wgroup = multikey_groups([lambda i: mix[i], *exact], len(place))
     low = np.full(len(place), np.iinfo(np.int64).max)
     np.minimum.at(low, wgroup, least[owner[worder]])
@@ -353,7 +366,7 @@ def sample_splitters(docs: DataFrame, total: int, buckets: int) -> np.ndarray:
             home = Home(pa.table({"doc_id": [0] * b.num_rows, "text": b.column(0)}))
             p, _, _, y, _ = home.anchors()
             keep = p[y % np.uint64(SAMPLE_EVERY) == 0]
-            yield pa.RecordBatch.from_arrays([pa.array(words_at(home.buf, ">")[keep].view(np.int64), pa.int64())], names=["lead"])
+            yield pa.RecordBatch.from_arrays([pa.array(Words(home.buf).at(keep, ">").view(np.int64), pa.int64())], names=["lead"])
 
     part = docs.select("text").sample(min(1.0, SAMPLE_BYTES / max(1, total)), seed=7)
     got = part.mapInArrow(leads, "lead bigint").toPandas()["lead"].to_numpy(np.int64).view(np.uint64)

@@ -144,6 +144,7 @@ def token_counts(docs: DataFrame, path: str, budget: int = 2048) -> DataFrame:
             got = [(d, len(p.text), p.total, p.cut(budget)) for d, p in prefix_tables(doc_rows([b]), path)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*got)] if got else
                                              [pa.array([], pa.int64())] * 4, names=names)
+        cache(path, "count").rest()
 
     return importable(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 

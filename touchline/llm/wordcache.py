@@ -13,7 +13,9 @@ import os
 
 import numpy as np
 
-GENERATION = 500_000
+from touchline.llm.common import held, release
+
+GENERATION = 300_000
 #: Marks between words in one library call; a special token is never merged with its neighbours.
 _MARK = "<|endoftext|>"
 _BLOCK = 2000
@@ -94,6 +96,11 @@ class WordCache:
         young.update(self._fill(new))
         return young
 
+    def rest(self) -> None:
+        """Forget the older generation: what an idle worker keeps between tasks."""
+        self.old = {}
+        release(kept=False)
+
     @staticmethod
     def words(text: bytes) -> list[bytes]:
         """Words of a text; A-Z is lowered first (the vocabulary does so too) unless a special
@@ -101,11 +108,6 @@ class WordCache:
         return text.split() if b"<|" in text else text.lower().split()
 
 
-_CACHES: dict = {}
-
-
 def cache(path: str, value: str) -> WordCache:
-    """One cache per Python worker, kept over the tasks it runs."""
-    if (path, value) not in _CACHES:
-        _CACHES[path, value] = WordCache(path, value)
-    return _CACHES[path, value]
+    """One cache per Python worker, kept over the tasks of one operator."""
+    return held((path, value), lambda: WordCache(path, value))
