@@ -127,6 +127,19 @@ def test_bound_prunes_alike_at_all_orders(make_docs):
     assert sum(r.n for r in count_strings(docs, 3).select(F.explode("sizes").alias("n")).collect()) >= sum(map(len, train(docs, 3).strings[1:]))
 
 
+def test_every_string_counts_at_any_size(make_docs, monkeypatch):
+    import touchline.llm.lm_scoring as lm
+    rnd = random.Random(3)
+    rows = [(i, "".join(rnd.choice("abcde é") for _ in range(120))) for i in range(120)]
+    monkeypatch.setattr(lm, "HOME_BYTES", 700)  # many buckets: contexts of every order reach over their ends
+    monkeypatch.setattr(lm, "SAMPLE_EVERY", 1)
+    monkeypatch.setattr(lm, "MOST_STRINGS", 100)
+    # a cap as a parameter is lowered too
+    monkeypatch.setattr(lm.score_documents, "__defaults__", tuple(100 if x == 3 << 20 else x for x in lm.score_documents.__defaults__))
+    assert len(lm.sample_splitters(make_docs(rows), 1, 20, 5)) > 15
+    compare(score_documents(make_docs(rows), order=5).collect(), brute(rows, 5))
+
+
 def test_adaptive_code_learns_within_a_text():
     assert adaptive_log10(b"") == pytest.approx(-math.log10(256))
     assert adaptive_log10(b"abcabcabc" * 20) > 3 * adaptive_log10(b"abcabcabc" * 4)

@@ -1,20 +1,21 @@
 """Operator 1, LM scoring: prediction by partial matching over byte contexts.
 
-Pretrained mode. One pass counts the (``ORDER`` context bytes, next byte) strings of all training texts:
-each task merges its own counts before it sends them, packed, to buckets by the two bytes before the
-symbol, so all longer contexts of a symbol meet in one bucket. The trie is a sorted table for each
-order; a shorter context counts in how many longer ones a symbol was seen (update exclusion). If it has more
-than ``MOST_STRINGS`` strings, those seen fewer than the smallest sufficient power of two times go, at every order alike; so
-what is broadcast has a fixed bound. A text's code length adds up, byte by byte, the symbol's share in
-the longest context that knows it and the escapes on the way there, with the symbols of the longer
-contexts excluded from the shorter ones; an unknown byte costs an equal share of the unseen ones.
-Equal strings of a chunk of texts are looked up once.
+Pretrained mode. The model is the counts of all (``ORDER`` context bytes, next byte) strings of all training
+texts; it grows with them and is never gathered in one place. Each counting task merges its own counts before
+it sends them, packed, to string buckets. Documents are dealt to home groups; each asks the buckets for its
+distinct strings and gets back the log probability of each. A bucket is a range of contexts read backwards, from the byte before the symbol, between sampled splitters: a
+context and all longer ones that end in it are neighbours there, so a bucket knows every context of its
+strings but the few that reach over its ends (at most ``ORDER`` a splitter). The tables of those are added
+up over the buckets first and broadcast. The trie of a bucket is a sorted table for each order; a shorter
+context counts in how many longer ones a symbol was seen (update exclusion). A text's code length adds up,
+byte by byte, the symbol's share in the longest context that knows it and the escapes on the way there, with
+the symbols of the longer contexts excluded from the shorter ones; an unknown byte costs an equal share of the
+unseen ones. ``train`` gathers a bounded trie on the driver instead; no query uses it.
 
 Adaptive mode (``adaptive_log10``) codes one text with a trie that grows as it reads.
 
 The unigram base needs the corpus counts of every word. The vocabulary is not bounded, so it is never
-broadcast: documents are dealt to home groups, each sends its distinct words to word buckets, and gets back
-their counts.
+broadcast: the home groups send their distinct words to word buckets and get back their counts.
 
 Defined results: texts are read lower-cased (A-Z) with one end symbol; null text is empty (just the end); a
 null ``doc_id`` counts as empty text in the fold; without training texts every byte costs 1/256; repeated rows
@@ -40,7 +41,9 @@ ORDER = 6
 MOST_STRINGS = 3 << 20
 MOD, HELD = 10, 0
 #: Text bytes of one home group.
-HOME_BYTES = 6 << 20
+HOME_BYTES = 12 << 20
+#: Sampled text bytes for the splitters (of the order of a home group), and one in so many of their distinct strings.
+SAMPLE_BYTES, SAMPLE_EVERY = 8 << 20, 16
 #: Distinct strings a counting task holds before it merges them.
 _MERGE = 1 << 21
 #: Text bytes scored at once inside a task.
@@ -49,6 +52,8 @@ _HOME = "_tl_home"
 #: Ends a text and fills the context before it; no UTF-8 text holds this byte.
 END = b"\xff"
 _MASK = [np.uint64((1 << (8 * k)) - 1) for k in range(8)] + [np.uint64(2**64 - 1)]
+_TOP = [np.uint64(2**64 - (1 << (8 * (8 - k)))) for k in range(8)]
+_BYTE, _SYMBOL = np.uint64(8), np.uint64(0xFF)
 
 
 def is_held_out(doc_id, mod: int = MOD, held: int = HELD) -> bool:
@@ -93,27 +98,27 @@ def context_buckets(strings: np.ndarray, buckets: int) -> np.ndarray:
     return ((pair * np.uint64(0x9E3779B1)) >> np.uint64(7)) % np.uint64(buckets)
 
 
+def merged_strings(batches, order: int, mod: int, held: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct strings of a task's training texts, ascending, and their counts."""
+    release()
+    keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for part in chunks((d, t.lower()) for d, t in doc_rows(batches) if not is_held_out(d, mod, held)):
+        g = np.sort(strings_of([t for _, t in part], order)[0])
+        first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        keys.append(g[first])
+        counts.append(np.diff(np.concatenate([first, [len(g)]])))
+        if sum(map(len, keys)) > _MERGE + 2 * len(keys[0]):
+            k, n = add_up(np.concatenate(keys), np.concatenate(counts))
+            keys, counts = [k], [n]
+    return add_up(np.concatenate(keys), np.concatenate(counts))
+
+
 def count_strings(docs: DataFrame, order: int = ORDER, buckets: int = 16, mod: int = MOD, held: int = HELD) -> DataFrame:
     """``ord, sizes, payload``: for each bucket and order the strings with their counts (packed) and how
     many of them were seen 1, 2-3, 4-7, ... times in all."""
     def count(batches):
-        release()
-        keys, counts = [], []
-
-        def merged():
-            k, n = add_up(np.concatenate(keys), np.concatenate(counts))
-            keys[:], counts[:] = [k], [n]
-            return k, n
-
-        for part in chunks((d, t.lower()) for d, t in doc_rows(batches) if not is_held_out(d, mod, held)):
-            g = np.sort(strings_of([t for _, t in part], order)[0])
-            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-            keys.append(g[first])
-            counts.append(np.diff(np.concatenate([first, [len(g)]])))
-            if sum(map(len, keys)) > _MERGE + 2 * len(keys[0]):
-                merged()
-        if keys:
-            k, n = merged()
+        k, n = merged_strings(batches, order, mod, held)
+        if len(k):
             b = context_buckets(k, buckets)
             for i in range(buckets):
                 own = b == i
@@ -149,17 +154,26 @@ class Trie:
         self.counts = [t[1].astype(np.int32 if len(t[1]) and t[1].max() < 1 << 31 else np.int64) for t in tables]
         self.contexts, self.total, self.kinds, self.excluded = [], [], [], []
         for o, (k, n) in enumerate(tables):
-            ctx = k >> np.uint64(8)
+            ctx = self.context(k)
             first = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]])) if len(k) else np.zeros(0, np.int64)
             self.contexts.append(ctx[first])
             self.total.append(np.add.reduceat(n, first) if len(k) else n)
             self.kinds.append(np.diff(np.concatenate([first, [len(k)]])).astype(np.int16))
             if o and len(k):  # what this context's symbols count in the shorter one
-                lower = self.counts[o - 1][np.searchsorted(self.strings[o - 1], k & _MASK[o])]
+                lower = self.counts[o - 1][np.searchsorted(self.strings[o - 1], self.cut(k, o - 1))]
                 self.excluded.append(np.add.reduceat(lower, first, dtype=np.int64))
             else:
                 self.excluded.append(np.zeros(len(first), np.int64))
 
+    @staticmethod
+    def context(k: np.ndarray) -> np.ndarray:
+        return k >> _BYTE
+
+    @staticmethod
+    def cut(k: np.ndarray, o: int) -> np.ndarray:
+        """The strings' ends of order ``o``."""
+        return k & _MASK[o + 1]
+
     def log10(self, g: np.ndarray) -> np.ndarray:
         """log10 probability of each string's symbol after its context."""
         out, left = np.zeros(len(g)), np.arange(len(g))
@@ -167,8 +181,8 @@ class Trie:
         for o in range(self.order, -1, -1):
             if not len(left) or not len(self.contexts[o]):
                 continue
-            s = g[left] & _MASK[o + 1]
-            c = s >> np.uint64(8)
+            s = self.cut(g[left], o)
+            c = self.context(s)
             i = np.minimum(np.searchsorted(self.contexts[o], c), len(self.contexts[o]) - 1)
             known = self.contexts[o][i] == c
             j = np.minimum(np.searchsorted(self.strings[o], s), len(self.strings[o]) - 1)
@@ -192,6 +206,23 @@ class Trie:
         return np.add.reduceat(self.log10(distinct)[of], np.cumsum(sizes) - sizes)
 
 
+class BackwardTrie(Trie):
+    """A trie of strings as ``backward`` writes them: the contexts of ascending strings ascend at every order."""
+
+    @staticmethod
+    def context(k: np.ndarray) -> np.ndarray:
+        return k & ~_SYMBOL
+
+    @staticmethod
+    def cut(k: np.ndarray, o: int) -> np.ndarray:
+        return (k & _TOP[o]) | (k & _SYMBOL)
+
+
+def backward(g: np.ndarray) -> np.ndarray:
+    """Strings with their context read backwards in the high bytes, and the symbol in the lowest."""
+    return (g >> _BYTE).byteswap() | (g & _SYMBOL)
+
+
 def train(docs: DataFrame, order: int = ORDER, most: int = MOST_STRINGS, mod: int = MOD, held: int = HELD) -> Trie:
     """Trie of all training texts; at most ``most`` strings come to the driver."""
     spark = docs.sparkSession
@@ -248,8 +279,151 @@ def adaptive_log10(text: bytes, order: int = ORDER) -> float:
     return total
 
 
+def sample_splitters(docs: DataFrame, total: int, buckets: int, order: int = ORDER) -> np.ndarray:
+    """At most ``buckets - 1`` backward contexts that deal the distinct strings of a bounded sample evenly."""
+    def strings(batches):
+        for part in chunks((None, t.lower()) for t in (t for b in batches for t in text_bytes(b.column(0)))):
+            r = np.unique(backward(strings_of([t for _, t in part], order)[0]))
+            keep = r[(r * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40) & np.uint64(SAMPLE_EVERY - 1) == 0]
+            yield pa.RecordBatch.from_arrays([pa.array(keep.view(np.int64), pa.int64())], names=["string"])
+
+    part = docs.select("text").sample(min(1.0, SAMPLE_BYTES / max(1, total)), seed=7)
+    got = np.unique(part.mapInArrow(strings, "string bigint").toPandas()["string"].to_numpy(np.int64).view(np.uint64))
+    if not len(got):
+        return np.zeros(0, np.uint64)
+    return np.unique(got[np.arange(1, buckets) * len(got) // buckets] & ~_SYMBOL)
+
+
+def _reaching(bucket: int, splitters: np.ndarray, o: int) -> np.ndarray:
+    """The contexts of order ``o`` that may reach over the ends of a bucket."""
+    return splitters[max(0, bucket - 1):bucket + 1] & _TOP[o]
+
+
+def learn_strings(docs: DataFrame, order: int, splitters: np.ndarray, mod: int, held: int) -> DataFrame:
+    """``bucket, payload``: the training strings of each string bucket with their counts (packed)."""
+    def count(batches):
+        k, n = merged_strings(batches, order, mod, held)
+        k, n = add_up(backward(k), n)
+        cut = np.searchsorted(k, splitters)
+        rows = [(-1 - b, _pack(own, c)) for b, (own, c) in enumerate(zip(np.split(k, cut), np.split(n, cut))) if len(own)]
+        cols = list(zip(*rows)) or [()] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary())], names=["bucket", "payload"])
+
+    def merge(rows: pa.Table) -> pa.Table:
+        release()
+        k, n = add_up(*(np.concatenate(c) for c in zip(*map(_unpack, rows.column("payload").to_pylist()))))
+        return pa.table([rows.column("bucket").slice(0, 1), pa.array([_pack(k, n)], pa.binary())], names=["bucket", "payload"])
+
+    schema = "bucket int, payload binary"
+    return docs.mapInArrow(count, schema).groupBy("bucket").applyInArrow(merge, schema)
+
+
+def _columns(a: np.ndarray) -> bytes:
+    """The first bytes of all items, the second ones, and so on."""
+    return a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+
+
+def _pack_keys(keys: np.ndarray) -> bytes:
+    return zstandard.compress(_columns(keys.astype("<u8")), 1)
+
+
+def _unpack_keys(payload: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(payload), np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _pack_logs(values: np.ndarray, code: np.ndarray) -> bytes:
+    """``values[code]``, as the values in use and the place of each among them."""
+    used, at = np.unique(code, return_inverse=True)
+    return zstandard.compress(np.array([len(used)], "<u8").tobytes() + values[used].astype("<f8").tobytes() + _columns(at.astype("<u4")), 1)
+
+
+def _unpack_logs(payload: bytes) -> np.ndarray:
+    raw = zstandard.decompress(payload)
+    n = int(np.frombuffer(raw, "<u8", 1)[0])
+    at = np.ascontiguousarray(np.frombuffer(raw, np.uint8, -1, 8 + 8 * n).reshape(4, -1).T).view("<u4").ravel()
+    return np.frombuffer(raw, "<f8", n, 8)[at]
+
+
+def _reach_rows(bucket: int, payload: bytes, order: int, splitters: np.ndarray) -> list[tuple]:
+    """(order, payload): strings of the contexts that reach over a bucket's ends, and in how many longer
+    contexts that do not each was seen here."""
+    k, out = _unpack(payload)[0], []
+    for o in range(order - 1, -1, -1):
+        whole = np.ones(len(k), bool) if o + 1 == order else ~np.isin(k & _TOP[o + 1], _reaching(bucket, splitters, o + 1))
+        short, n = add_up(BackwardTrie.cut(k, o), whole.astype(np.int64))
+        own = np.isin(short & _TOP[o], _reaching(bucket, splitters, o))
+        out.append((o, _pack(short[own], n[own])))
+        k = short
+    return out
+
+
+def reach_tables(learned: DataFrame, order: int, splitters: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``add_up_reach`` over all buckets."""
+    def run(batches):
+        release()
+        for b in batches:
+            rows = [r for k, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for r in _reach_rows(-1 - k, p, order, splitters)]
+            cols = list(zip(*rows)) or [()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary())], names=["ord", "payload"])
+
+    return add_up_reach(learned.mapInArrow(run, "ord int, payload binary").toLocalIterator(), order)
+
+
+def add_up_reach(rows, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Strings and counts, for each order below the highest, of the contexts that reach over buckets."""
+    parts: list[list] = [[(np.zeros(0, np.uint64), np.zeros(0, np.int64))] for _ in range(order)]
+    for r in rows:
+        parts[r.ord].append(_unpack(r.payload))
+    longer, tables = np.zeros(0, np.uint64), [None] * order
+    for o in range(order - 1, -1, -1):
+        # a longer context that reaches over buckets itself counts once, wherever it was seen
+        parts[o].append((BackwardTrie.cut(longer, o), np.ones(len(longer), np.int64)))
+        tables[o] = add_up(*(np.concatenate(c) for c in zip(*parts[o])))
+        longer = tables[o][0]
+    return tables
+
+
+def bucket_trie(bucket: int, k: np.ndarray, n: np.ndarray, order: int, splitters: np.ndarray, reach: list) -> BackwardTrie:
+    """Every context of the strings of a bucket, from its training strings and the tables of ``add_up_reach``."""
+    tables = [(k, n)]
+    for o in range(order - 1, -1, -1):
+        k, n = add_up(BackwardTrie.cut(k, o), np.ones(len(k), np.int64))
+        ends = _reaching(bucket, splitters, o)
+        own, far = ~np.isin(k & _TOP[o], ends), np.isin(reach[o][0] & _TOP[o], ends)
+        tables.append(add_up(np.concatenate([k[own], reach[o][0][far]]), np.concatenate([n[own], reach[o][1][far]])))
+    return BackwardTrie(tables[::-1])
+
+
+def _answer_strings(rows: pa.Table, learned: pa.Table, order: int, splitters: np.ndarray, reach) -> pa.Table:
+    """log10 probabilities of a bucket's strings, sent back in each asking group's own order."""
+    k, n = _unpack(learned.column("payload")[0].as_py()) if learned.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    trie = bucket_trie(-1 - rows.column("bucket")[0].as_py(), k, n, order, splitters, reach)
+    asked = [_unpack_keys(p) for p in rows.column("words").to_pylist()]
+    every = np.unique(np.concatenate(asked))
+    values, code = np.unique(trie.log10(every), return_inverse=True)
+    return pa.table([rows.column("bucket"), rows.column("home"),
+                     pa.array([_pack_logs(values, code[np.searchsorted(every, a)]) for a in asked], pa.binary())], names=["bucket", "home", "counts"])
+
+
+def _answer(rows: pa.Table, learned: pa.Table, order: int, splitters: np.ndarray, reach) -> pa.Table:
+    """What a word or string bucket sends back to the home groups."""
+    release()
+    if not rows.num_rows:
+        return pa.table([pa.array([], t) for t in (pa.int32(), pa.int32(), pa.binary())], names=["bucket", "home", "counts"])
+    if rows.column("bucket")[0].as_py() < 0:
+        return _answer_strings(rows, learned, order, splitters, reach)
+    return _answer_words(rows).select(["bucket", "home", "counts"])
+
+
+def _word_totals(rows: pa.Table) -> pa.Table:
+    """Distinct training words of a word bucket, and how often they occur."""
+    return _answer_words(rows).select(["kinds", "total"]) if rows.column("bucket")[0].as_py() >= 0 else pa.table(
+        [pa.array([], pa.int64())] * 2, names=["kinds", "total"])
+
+
+#: Word buckets count from 0 up, string buckets from -1 down.
 _ASK = "bucket int, home int, words binary, counts binary"
-_BACK = "bucket int, home int, counts binary, kinds bigint, total bigint"
+_BACK = "bucket int, home int, counts binary"
 #: The end token's place among the words (no word is empty).
 _END_WORD = b""
 
@@ -272,9 +446,14 @@ def _word_tables(rows: pa.Table, buckets: int, mod: int, held: int) -> list[tupl
     return [(b, ws, np.array([count[w] for w in ws], "<i8")) for b, ws in sorted(dealt.items())]
 
 
-def _ask_words(rows: pa.Table, buckets: int, mod: int, held: int) -> pa.Table:
+def _ask(rows: pa.Table, buckets: int, order: int, splitters: np.ndarray, mod: int, held: int) -> pa.Table:
+    """Words with their training counts, and distinct strings, of a home group, a row for each bucket."""
+    release()
     home = rows.column(_HOME)[0].as_py()
-    got = [(b, home, zstandard.compress(b" ".join(ws), 1), zstandard.compress(n.tobytes(), 1)) for b, ws, n in _word_tables(rows, buckets, mod, held)]
+    k = np.unique(np.concatenate([np.unique(backward(strings_of([t.lower() for _, t in part], order)[0]))
+                                  for part in chunks(((None, t) for t in text_bytes(rows.column("text"))), _SCORE_BYTES)]))
+    strings = [(-1 - b, home, _pack_keys(own), None) for b, own in enumerate(np.split(k, np.searchsorted(k, splitters))) if len(own)]
+    got = strings + [(b, home, zstandard.compress(b" ".join(ws), 1), zstandard.compress(n.tobytes(), 1)) for b, ws, n in _word_tables(rows, buckets, mod, held)]
     cols = list(zip(*got)) or [()] * 4
     return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "home", "words", "counts"])
 
@@ -297,42 +476,60 @@ def _answer_words(rows: pa.Table) -> pa.Table:
                     names=["bucket", "home", "counts", "kinds", "total"])
 
 
+def _string_scores(texts: list[bytes], order: int, back: dict) -> np.ndarray:
+    """log10 probability of each text with its end, from the answers of the string buckets."""
+    parts = []
+    for part in chunks(((None, t) for t in texts), _SCORE_BYTES):
+        r, sizes = strings_of([t for _, t in part], order)
+        distinct, of = np.unique(backward(r), return_inverse=True)
+        parts.append((distinct, of.astype(np.int32), sizes))
+    every = np.unique(np.concatenate([p[0] for p in parts]))
+    log = np.concatenate([_unpack_logs(back[b]) for b in sorted((b for b in back if b < 0), reverse=True)])
+    return np.concatenate([np.add.reduceat(log[np.searchsorted(every, d)][of], np.cumsum(sizes) - sizes) for d, of, sizes in parts])
+
+
 _SCORED = "doc_id bigint, n_tokens bigint, n_known bigint, logs double, score double"
 
 
-def _score_home(rows: pa.Table, answers: pa.Table, buckets: int, mod: int, held: int, trie: Trie) -> pa.Table:
+def _score_home(rows: pa.Table, answers: pa.Table, buckets: int, mod: int, held: int, order: int) -> pa.Table:
+    release()
     names = [c.split()[0] for c in _SCORED.split(", ")]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+    if not rows.num_rows:
+        return pa.table([pa.array([], t) for t in types], names=names)
     counts: dict[bytes, int] = {}
     back = dict(zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist()))
-    for b, ws, _ in _word_tables(rows, buckets, mod, held) if rows.num_rows else ():
-        counts.update(zip(ws, np.frombuffer(zstandard.decompress(back[b]), "<i8").tolist()))
     ids, texts = rows.column("doc_id").to_pylist(), [t.lower() for t in text_bytes(rows.column("text"))]
-    tokens, known, logs, scores = [], [], [], []
-    for part in chunks(zip(ids, texts), _SCORE_BYTES):
-        scores.extend(trie.score([t for _, t in part]).tolist())
-        for _, t in part:
-            words = t.split()
-            words.append(_END_WORD)
-            c = np.fromiter(map(counts.__getitem__, words), np.float64, len(words))
-            tokens.append(len(words))
-            known.append(int((c > 0).sum()))
-            logs.append(float(np.log10(c + 0.1).sum()))
-    return pa.table([pa.array(c, t) for c, t in zip((ids, tokens, known, logs, scores), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=names)
-
-
-def score_documents(docs: DataFrame, order: int = ORDER, most: int = MOST_STRINGS, mod: int = MOD, held: int = HELD) -> DataFrame:
+    scores = _string_scores(texts, order, back)
+    for b, ws, _ in _word_tables(rows, buckets, mod, held):
+        counts.update(zip(ws, np.frombuffer(zstandard.decompress(back[b]), "<i8").tolist()))
+    tokens, known, logs = [], [], []
+    for t in texts:
+        words = t.split()
+        words.append(_END_WORD)
+        c = np.fromiter(map(counts.__getitem__, words), np.float64, len(words))
+        tokens.append(len(words))
+        known.append(int((c > 0).sum()))
+        logs.append(float(np.log10(c + 0.1).sum()))
+    return pa.table([pa.array(c, t) for c, t in zip((ids, tokens, known, logs, scores), types)], names=names)
+
+
+def score_documents(docs: DataFrame, order: int = ORDER, mod: int = MOD, held: int = HELD) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every text."""
-    spark = docs.sparkSession
+    spark = importable(docs).sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    trie = spark.sparkContext.broadcast(train(docs, order, most, mod, held))  # at most `most` strings
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     homes = max(8, math.ceil(size / HOME_BYTES))
+    splitters = sample_splitters(docs, size, homes, order)
     by_home = docs.withColumn(_HOME, F.pmod(F.xxhash64("doc_id"), F.lit(homes)).cast("int")).groupBy(_HOME)
-    asked = by_home.applyInArrow(lambda t: _ask_words(t, homes, mod, held), _ASK)
-    answers = asked.groupBy("bucket").applyInArrow(_answer_words, _BACK)
-    totals = answers.agg(F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
-    scored = by_home.cogroup(answers.select("bucket", "home", "counts").groupBy("home")).applyInArrow(
-        lambda t, a: _score_home(t, a, homes, mod, held, trie.value), _SCORED)
+    learned = checkpointed(learn_strings(docs, order, splitters, mod, held))
+    reach = spark.sparkContext.broadcast(reach_tables(learned, order, splitters))  # at most ``order`` contexts a splitter
+    asked = by_home.applyInArrow(lambda t: _ask(t, homes, order, splitters, mod, held), _ASK).groupBy("bucket")
+    totals = asked.applyInArrow(_word_totals, "kinds bigint, total bigint").agg(
+        F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds"), F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
+    answers = asked.cogroup(learned.groupBy("bucket")).applyInArrow(lambda t, m: _answer(t, m, order, splitters, reach.value), _BACK)
+    scored = by_home.cogroup(answers.groupBy("home")).applyInArrow(
+        lambda t, a: _score_home(t, a, homes, mod, held, order), _SCORED)
     n, v = totals.select("total").scalar(), totals.select("kinds").scalar()
     return scored.select(
         "doc_id", (crc_mod("doc_id", mod) == held).alias("held_out"), "n_tokens", "n_known", n.alias("train_tokens"),
