@@ -83,3 +83,42 @@ def test_columns_and_empty_table(make_docs):
     rows = {r.doc_id: r for r in remove_repeats(docs).collect()}
     assert rows[1].text == text and rows[2].text == "é" * 30 and rows[2].payload == "clash"
     assert remove_repeats(docs.limit(0)).count() == 0
+
+
+def footers(n):
+    """Texts that share a line of 20 bytes, each time between other bytes; a few are whole copies."""
+    rnd = random.Random(11)
+    line = "=== all rights r ==="
+
+    def noise():
+        return "".join(rnd.choice("abcdefghijklmnop") for _ in range(60))
+
+    rows = [(i, noise() + line + noise()) for i in range(n)]
+    return rows + [(n + i, "copy " + rows[i][1]) for i in range(5)]
+
+
+def test_windows_of_a_hot_anchor_spread_over_buckets():
+    import pyarrow as pa
+    import zstandard
+    rows = footers(300)
+    table = pa.table({"doc_id": [d for d, _ in rows], "text": [t for _, t in rows], sd._HOME: [0] * len(rows)})
+    home = sd.Home(table)
+    lead, n = np.unique(sd.Words(home.buf).at(home.anchors()[0], ">"), return_counts=True)
+    hot = np.repeat(lead[n == n.max()][:1], 2)
+    assert n.max() > 20
+    sent = sd._send(table, sd._frame([], sd._ASK), 8, hot)
+    count = {}
+    for b, decided, payload in zip(*(sent.column(c).to_pylist() for c in ("bucket", "decided", "payload"))):
+        if not decided:
+            count[b] = count.get(b, 0) + int(np.frombuffer(zstandard.decompress(payload), "<u4", 1)[0])
+    assert len(count) == 8  # by range alone: two
+
+
+def test_hot_anchors_equal_brute_force(make_docs, monkeypatch):
+    rows = footers(300)
+    buf = "".join(t for _, t in rows).encode()
+    p, _, _, _ = sd.anchor_runs(buf, np.array([0]), np.array([len(buf)]))
+    lead, n = np.unique(sd.Words(buf).at(p, ">"), return_counts=True)
+    monkeypatch.setattr(sd, "sample_splitters", lambda *a: np.repeat(lead[n > 5], 2))
+    assert (n > 5).sum() > 1
+    assert engine(make_docs(rows)) == brute(rows)

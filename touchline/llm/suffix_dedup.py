@@ -11,8 +11,10 @@ about one position in 17 starts such a suffix.
 2. Sampled splitters range-partition the remaining suffixes by their leading bytes. A suffix carries
    the bytes of its windows; a group sends equal ones once, for its earliest document, since the
    later ones are already decided. So a passage held by a third of all documents reaches a bucket once a group.
-   Splitters lie between leading words, so no anchor is ever split over two buckets: the comparison
-   across a boundary is settled by routing equal leading bytes to the right of it.
+   Splitters lie between leading words: the comparison across a boundary is settled by routing equal
+   leading bytes to the right of it. Leading words that fill a bucket of the sample or more (a short line
+   that many documents hold between different texts) are not dealt by range: their windows are sent one
+   by one, equal ones of a group once, by a hash of the window's bytes, so they spread over all buckets.
 3. A bucket sorts by multikey quicksort (a word of bytes at a time, going on only inside ties), groups
    windows that agree in all bytes, and takes the smallest document of each.
 4. Covered stretches go back to their home, where they are merged and cut out of the texts.
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -217,6 +220,13 @@ def _send(rows: pa.Table, answers: pa.Table, buckets: int, splitters: np.ndarray
     use = np.flatnonzero(repeated[of]) if len(of) else np.zeros(0, np.int64)
     p, lo, hi, row, doc = p[use], lo[use], hi[use], row[use], doc[use]
     buf, first, sent, decided = home.buf, {}, [], []
+    lead = Words(buf).at(p, ">")
+    hot = np.isin(lead, splitters[1:][splitters[1:] == splitters[:-1]])
+    times = np.where(hot, hi - lo + 1, 1)
+    inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    p, lo, hi, row, doc, lead, hot = (np.repeat(c, times) for c in (p, lo, hi, row, doc, lead, hot))
+    lo = lo + inner
+    hi = np.where(hot, lo, hi)
     docs = doc.tolist()
     content = [bytes((a - s,)) + buf[s:e + WINDOW] for a, s, e in zip(p.tolist(), lo.tolist(), hi.tolist())]
     for i, c in enumerate(content):  # rows are in doc_id order: the first is the earliest
@@ -228,9 +238,10 @@ def _send(rows: pa.Table, answers: pa.Table, buckets: int, splitters: np.ndarray
         out.append((int(number) % buckets, number, True, _pack_spans(*merge_spans(row[d], (lo - at)[d], (hi - at)[d] + WINDOW))))
     if sent:
         s = np.array(sent)
-        lead = Words(buf).at(p[s], ">")
-        to = np.searchsorted(splitters, lead, "right")
-        order = np.lexsort((s, lead, to))
+        to = np.searchsorted(splitters, lead[s], "right")
+        apart = np.flatnonzero(hot[s])
+        to[apart] = [zlib.crc32(content[i]) % buckets for i in s[apart].tolist()]
+        order = np.lexsort((s, lead[s], to))
         s, to = s[order], to[order]
         for own in np.split(np.arange(len(s)), np.flatnonzero(np.diff(to)) + 1):
             k = s[own]
@@ -360,7 +371,7 @@ def _cut(rows: pa.Table, spans: pa.Table, schema: pa.Schema) -> pa.Table:
 
 
 def sample_splitters(docs: DataFrame, total: int, buckets: int) -> np.ndarray:
-    """``buckets - 1`` leading words that deal the anchors of a bounded sample of texts evenly."""
+    """``buckets - 1`` leading words that deal the anchors of a bounded sample of texts evenly; one that fills a bucket alone comes twice or more."""
     def leads(batches):
         for b in batches:
             home = Home(pa.table({"doc_id": [0] * b.num_rows, "text": b.column(0)}))
@@ -373,7 +384,7 @@ def sample_splitters(docs: DataFrame, total: int, buckets: int) -> np.ndarray:
     got = np.sort(got)
     if not len(got):
         return np.zeros(0, np.uint64)
-    return np.unique(got[np.arange(1, buckets) * len(got) // buckets])
+    return got[np.arange(1, buckets) * len(got) // buckets]
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
