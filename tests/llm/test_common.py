@@ -27,3 +27,13 @@ def test_chunks_keep_order_and_long_texts():
     rows = [(i, b"x" * n) for i, n in enumerate((1, 5, 20, 1, 1))]
     got = list(chunks(rows, 6))
     assert [r for part in got for r in part] == rows and len(got) == 3
+
+
+def test_rows_of_one_id_spread_over_homes(make_docs):
+    from touchline.llm import lm_scoring, suffix_dedup
+    from touchline.llm.common import home_of
+    docs = make_docs([(i, f"text {k} of an id") for i in (None, 7) for k in range(400)])
+    n = [r["count"] for r in docs.withColumn("home", home_of(8)).groupBy("doc_id", "home").count().collect()]
+    assert len(n) == 16 and max(n) < 100
+    for module in (lm_scoring, suffix_dedup):  # both deal their homes so
+        assert module.home_of is home_of

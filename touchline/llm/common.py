@@ -66,6 +66,11 @@ def crc_mod(doc_id: Column | str, mod: int) -> Column:
     return F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def home_of(homes: int) -> Column:
+    """Home group of a row by id and text: rows with a null or a repeated id spread too, only equal rows meet."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(homes)).cast("int")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and go on from there."""
     ensure_checkpoint_dir(df.sparkSession)

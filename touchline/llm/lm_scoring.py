@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import checkpointed, chunks, crc_mod, doc_rows, importable, release, table, text_bytes
+from touchline.llm.common import checkpointed, chunks, crc_mod, doc_rows, home_of, importable, release, table, text_bytes
 from touchline.llm.suffix_dedup import words_at
 
 ORDER = 6
@@ -521,7 +521,7 @@ def score_documents(docs: DataFrame, order: int = ORDER, mod: int = MOD, held: i
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     homes = max(8, math.ceil(size / HOME_BYTES))
     splitters = sample_splitters(docs, size, homes, order)
-    by_home = docs.withColumn(_HOME, F.pmod(F.xxhash64("doc_id"), F.lit(homes)).cast("int")).groupBy(_HOME)
+    by_home = docs.withColumn(_HOME, home_of(homes)).groupBy(_HOME)
     learned = checkpointed(learn_strings(docs, order, splitters, mod, held))
     reach = spark.sparkContext.broadcast(reach_tables(learned, order, splitters))  # at most ``order`` contexts a splitter
     asked = by_home.applyInArrow(lambda t: _ask(t, homes, order, splitters, mod, held), _ASK).groupBy("bucket")

@@ -5,7 +5,7 @@ A window is ``WINDOW`` bytes; every window is judged by the suffixes that start
 windows have equal anchors at equal offsets, so windows need comparing only under equal anchors, and
 about one position in 17 starts such a suffix.
 
-1. Documents are dealt to ``home`` groups by a hash of their id; each group lists its anchors' hashes,
+1. Documents are dealt to ``home`` groups by a hash of id and text; each group lists its anchors' hashes,
    and the hash buckets answer which of them occur in several groups (a filter: a false answer only
    costs work). Anchors of one document alone go no further.
 2. Sampled splitters range-partition the remaining suffixes by their leading bytes. A suffix carries
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.common import importable, release, table
+from touchline.llm.common import home_of, importable, release, table
 
 WINDOW = 50
 ANCHOR = 16
@@ -395,7 +395,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     buckets = max(8, math.ceil(total / HOME_BYTES))
     splitters = sample_splitters(docs, total, buckets)
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("bigint"))
-    homes = docs.withColumn(_HOME, F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    homes = docs.withColumn(_HOME, home_of(buckets))
     by_home = homes.groupBy(_HOME)
     ask, send, back = "bucket int, home int, payload binary", "bucket int, home int, decided boolean, payload binary", "home int, payload binary"
     asked = by_home.applyInArrow(lambda t: _ask(t, buckets), ask)
