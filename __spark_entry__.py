@@ -583,7 +583,7 @@ def _corpus(name: str) -> dict:
     try:
         from touchline.llm import queries as corpus
     except ModuleNotFoundError as e:
-        if (e.name or "").split(".")[0] not in ("touchline", "corpus_pipeline"):
+        if e.name not in ("touchline.llm", "corpus_pipeline"):
             raise
         return {}
     return dict(getattr(corpus, name))

@@ -4,7 +4,7 @@ import pytest
 
 import __spark_entry__ as E
 
-from conftest import SF_SMALL
+from testpaths import SF_SMALL
 
 PY_NODES = ("BatchEvalPython", "ArrowEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
 
@@ -13,7 +13,7 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("key", sorted(k for k in E.queries() if k != "incremental_upsert"))
+@pytest.mark.parametrize("key", sorted(set(E.queries()) - set(E._corpus("QUERIES")) - {"incremental_upsert"}))
 def test_no_python_udf(spark, key):
     plan = _plan(E.queries()[key](spark, SF_SMALL))
     assert not any(n in plan for n in PY_NODES), key
