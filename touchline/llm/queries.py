@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from touchline.llm.decontamination import op2_decontamination
+from touchline.llm.filter_audit import op12_filter_audit
 from touchline.llm.html_extract import op8_html_extract
 from touchline.llm.lm_scoring import op1_lm_scoring
 from touchline.llm.packing import op5_packing
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
