@@ -110,3 +110,13 @@ def test_words_of_pieces(monkeypatch):
     text = b" ab cde\tf \n" * 20 + b"x" * 50 + b" y"
     monkeypatch.setattr(shards, "PIECE", 7)
     assert sum(shards.words(text), []) == text.split() and list(shards.words(b"")) == [[]]
+
+
+def test_query_equals_its_sql(spark):
+    import duckdb
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from read_parquet('/root/testdata/sf0.01/{t}.parquet')")
+    want = con.execute(fa.ORACLE_SQL)
+    assert [c[0] for c in want.description] == COLUMNS
+    assert rows_of(op12_filter_audit(spark, "/root/testdata/sf0.01")) == sorted(map(tuple, want.fetchall()))

@@ -221,3 +221,50 @@ def audit(docs: DataFrame, labels: DataFrame, part: str = "source") -> DataFrame
 
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: The same rows as DuckDB SQL over the raw tables.
+ORACLE_SQL = r"""
+with words as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as t,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+  from documents),
+lowest as (select coalesce(text, '') as t, min(doc_id) as lo from documents group by 1),
+flags as (
+  select words.doc_id, part,
+         case when len(w) < 50 then 1 else 0 end as a,
+         case when 100 * len(list_distinct(w)) < 65 * len(w) then 1 else 0 end as b,
+         case when 100 * (length(words.t) - length(regexp_replace(words.t, '[A-Z]', '', 'g'))) > 5 * length(words.t) then 1 else 0 end as c,
+         case when regexp_matches(words.t, '[#$%&*|]') then 1 else 0 end as d,
+         case when words.doc_id > lo then 1 else 0 end as e
+  from words join lowest on words.t = lowest.t),
+truth as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic
+          from labels group by doc_id),
+cells as (
+  select part, a + 2 * b + 4 * c + 8 * d + 16 * e as mask, count(*) as n, sum(coalesce(good, 0)) as good, sum(coalesce(toxic, 0)) as toxic
+  from flags left join truth on flags.doc_id = truth.doc_id group by 1, 2),
+letters(x, own) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders as (
+  select p.x || q.x || r.x || s.x || t.x as filter_order, p.own as o1, q.own as o2, r.own as o3, s.own as o4, t.own as o5
+  from letters p, letters q, letters r, letters s, letters t
+  where p.own + q.own + r.own + s.own + t.own = 31 and p.own | q.own | r.own | s.own | t.own = 31),
+steps as (
+  select filter_order, 1 as step, o1 as own, 0 as before from orders union all
+  select filter_order, 2, o2, o1 from orders union all
+  select filter_order, 3, o3, o1 | o2 from orders union all
+  select filter_order, 4, o4, o1 | o2 | o3 from orders union all
+  select filter_order, 5, o5, o1 | o2 | o3 | o4 from orders),
+counts as (
+  select part, filter_order, step, own,
+         sum(case when mask & (own | before) = 0 then n else 0 end) as kept,
+         sum(case when mask & own <> 0 and mask & before = 0 then n else 0 end) as removed,
+         sum(case when mask & own <> 0 and mask & before <> 0 then n else 0 end) as redundant,
+         sum(case when mask = own then n else 0 end) as unique_fails,
+         sum(case when mask & own <> 0 and mask & before = 0 then good else 0 end) as good_lost,
+         sum(case when mask & own <> 0 and mask & before = 0 then toxic else 0 end) as toxic_lost
+  from cells, steps group by 1, 2, 3, 4)
+select part, filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+       cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+       cast(sum(removed) over (partition by part, own) as bigint) as shapley
+from counts
+"""

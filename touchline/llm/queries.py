@@ -1,6 +1,7 @@
 """Registered queries of this subpackage; ``ORACLE_SQL`` holds those that DuckDB can express."""
 
 import corpus_pipeline
+from touchline.llm import filter_audit
 from touchline.llm.decontamination import op2_decontamination
 from touchline.llm.filter_audit import op12_filter_audit
 from touchline.llm.html_extract import op8_html_extract
@@ -28,4 +29,5 @@ QUERIES = {
     "op12_filter_audit": op12_filter_audit,
 }
 
-ORACLE_SQL: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op12_filter_audit": filter_audit.ORACLE_SQL}
+ORACLE_SQL |= {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}
