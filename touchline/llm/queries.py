@@ -2,6 +2,7 @@
 
 import corpus_pipeline
 from touchline.llm import filter_audit
+from touchline.llm.block_dedup import op11_block_dedup
 from touchline.llm.decontamination import op2_decontamination
 from touchline.llm.filter_audit import op12_filter_audit
 from touchline.llm.html_extract import op8_html_extract
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_token_counts": op9_token_counts,
     "op10_simhash_dedup": op10_simhash_dedup,
+    "op11_block_dedup": op11_block_dedup,
     "op12_filter_audit": op12_filter_audit,
 }
 
