@@ -8,6 +8,7 @@ from touchline.llm.filter_audit import op12_filter_audit
 from touchline.llm.html_extract import op8_html_extract
 from touchline.llm.lm_scoring import op1_lm_scoring
 from touchline.llm.packing import op5_packing
+from touchline.llm.prefix_trie import op13_prefix_trie
 from touchline.llm.quality_classifier import op3_quality_classifier
 from touchline.llm.quality_rules import op7_quality_rules
 from touchline.llm.simhash_dedup import op10_simhash_dedup
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_simhash_dedup": op10_simhash_dedup,
     "op11_block_dedup": op11_block_dedup,
     "op12_filter_audit": op12_filter_audit,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL: dict[str, str] = {"op12_filter_audit": filter_audit.ORACLE_SQL}
