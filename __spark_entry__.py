@@ -504,6 +504,117 @@ def q_incremental_upsert(spark, sf_dir):
         .select("fixture_id", "home_team_id", "away_team_id", "status", "home_score", "away_score", "league_id")
 
 
+# --------------------------------------------------------------------------- through the writers
+
+def _store(spark):
+    """An empty store in the session's shared folder."""
+    import uuid
+
+    from touchline.session import ensure_checkpoint_dir
+    from touchline.sinks.store import Store
+    return Store(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}")
+
+
+def _lowered(fixtures):
+    return fixtures.filter(F.col("league_id") == "A").withColumn("status", F.lower("status"))
+
+
+def q_written_keyed_replace(spark, sf_dir):
+    """Fixtures stored by fixture, buckets split, then league A's rows replaced by key."""
+    f = Testbed(spark, sf_dir).silver_fixtures.select(*SILVER_COLS)
+    store = _store(spark)
+    with store.commit() as c:
+        c.append("fixtures", f, ["fixture_id"], 8)
+    with store.commit() as c:
+        c.split_buckets("fixtures")
+    with store.commit() as c:
+        c.replace_keys("fixtures", _lowered(store.read("fixtures")), ["league_id"], 3)
+    return store.read("fixtures").select(*SILVER_COLS)
+
+
+def q_written_where_replace(spark, sf_dir):
+    """B1, B1e: rows of league A deleted by predicate and loaded anew; an empty batch."""
+    f = Testbed(spark, sf_dir).silver_fixtures.select(*SILVER_COLS)
+    store = _store(spark)
+    with store.commit() as c:
+        c.replace_where("fixtures", f, F.col("league_id") == "A", ["fixture_id"], 8)
+    with store.commit() as c:
+        c.replace_where("fixtures", _lowered(store.read("fixtures")), F.col("league_id") == "A", ["fixture_id"])
+        c.replace_where("fixtures", f.limit(0), None)
+    return store.read("fixtures").select(*SILVER_COLS)
+
+
+def q_written_league_replace(spark, sf_dir):
+    """B1a, B1e: a table by league, one league replaced, then an empty batch."""
+    f = Testbed(spark, sf_dir).silver_fixtures.select(*SILVER_COLS)
+    store = _store(spark)
+    with store.commit() as c:
+        c.replace_partitions("fixtures", f, ["league_id"])
+    with store.commit() as c:
+        c.replace_partitions("fixtures", _lowered(store.read("fixtures")), ["league_id"])
+        c.replace_partitions("fixtures", f.limit(0), ["league_id"])
+    return store.read("fixtures").select(*SILVER_COLS)
+
+
+def q_written_delete(spark, sf_dir):
+    f = Testbed(spark, sf_dir).silver_fixtures.select(*SILVER_COLS)
+    store = _store(spark)
+    with store.commit() as c:
+        c.append("fixtures", f, ["fixture_id"], 8)
+    with store.commit() as c:
+        c.delete_where("fixtures", F.col("away_score") > 3)
+    return store.read("fixtures").select(*SILVER_COLS)
+
+
+def q_written_squads(spark, sf_dir):
+    """Squad and player rows of all teams, then new members for every third team, in one commit each."""
+    from touchline.sinks.tables import write_squad_batch
+    p = Testbed(spark, sf_dir).bronze_players
+    members = p.select(F.col("player_id").alias("id"), "team_id", "team_name", "name", F.col("position").alias("positionIdsDesc"),
+                       F.col("age").cast("string").alias("age"), F.col("jersey_number").cast("string").alias("shirtNumber"),
+                       F.lit("{}").alias("raw_json"))
+    store = _store(spark)
+    squads, players = f"{store.base}/bronze_team_squads", f"{store.base}/bronze_players"
+    write_squad_batch(members, squads, players, 8)
+    third = members.filter(F.col("team_id").cast("bigint") % 3 == 0).withColumn("id", F.concat(F.lit("n"), "id"))
+    write_squad_batch(third.filter(F.col("age").isNotNull()), squads, players, 5)
+    now = store.snapshot()
+    return now.read("bronze_team_squads").select("player_id", "team_id", "player_name", "position").join(
+        now.read("bronze_players").select("player_id", "team_id", "age", "jersey_number"), ["player_id", "team_id"], "full")
+
+
+def q_written_append(spark, sf_dir):
+    """Two batches appended."""
+    f = Testbed(spark, sf_dir).silver_fixtures.select(*SILVER_COLS)
+    store = _store(spark)
+    for batch in (f.filter("is_completed"), f.filter("not is_completed"), f.filter("league_id = 'A'")):
+        with store.commit() as c:
+            c.append("fixtures", batch)
+    return store.read("fixtures").select(*SILVER_COLS)
+
+
+def q_written_rebuild(spark, sf_dir):
+    """B1d, B4, L1: Silver and Gold rebuilt twice from Bronze, the first time with all rows in one league."""
+    tb = Testbed(spark, sf_dir)
+    fixtures = tb.bronze_fixtures.withColumn("match_date", F.col("match_ts").cast("string"))
+    players = tb.bronze_players.withColumn("ingested_at", F.lit("2024-01-01").cast("timestamp"))
+    store = _store(spark)
+    for f in (fixtures.withColumn("league_id", F.lit("Q")), fixtures):
+        M.run_all({"bronze_fixtures": f, "bronze_players": players}, store.base, FIXTURE_ORDER)
+    return store.read("gold_team_summary")
+
+
+def q_written_upsert(spark, sf_dir):
+    """Three micro-batches merged, the second delivered twice."""
+    from touchline.streaming.upsert import merge_batch
+    b = Testbed(spark, sf_dir).bronze_fixtures
+    store = _store(spark)
+    order = F.col("fixture_id").cast("bigint") % 3
+    for k in (0, 1, 1, 2):
+        merge_batch(b.filter(order == k), f"{store.base}/fixtures", ["fixture_id"], FIXTURE_ORDER, buckets=8)
+    return store.read("fixtures").select("fixture_id", "home_team_id", "away_team_id", "status", "home_score", "away_score", "league_id")
+
+
 _QUERIES = {
     "latest_snapshot": q_latest_snapshot,
     "best_snapshot": q_best_snapshot,
@@ -575,6 +686,14 @@ _QUERIES = {
     "league_demand": q_league_demand,
     "player_demand": q_player_demand,
     "incremental_upsert": q_incremental_upsert,
+    "written_keyed_replace": q_written_keyed_replace,
+    "written_where_replace": q_written_where_replace,
+    "written_league_replace": q_written_league_replace,
+    "written_delete": q_written_delete,
+    "written_squads": q_written_squads,
+    "written_append": q_written_append,
+    "written_rebuild": q_written_rebuild,
+    "written_upsert": q_written_upsert,
 }
 
 
@@ -1090,5 +1209,16 @@ group by name, b.player_id""", "v_questions", "v_bronze_performers"),
         "incremental_upsert": W("select fixture_id, home_team_id, away_team_id, status, home_score, away_score, league_id "
                                 "from v_silver_fixtures", "v_silver_fixtures"),
     }
+    for written, same in (("written_keyed_replace", "keyed_replace"), ("written_where_replace", "keyed_replace"),
+                          ("written_league_replace", "keyed_replace"), ("written_delete", "keyed_delete"),
+                          ("written_rebuild", "standings"), ("written_upsert", "incremental_upsert")):
+        out[written] = out[same]
+    out["written_append"] = W(f"select {_SILVER_COLS} from v_silver_fixtures union all select {_SILVER_COLS} from v_silver_fixtures where league_id = 'A'",
+                              "v_silver_fixtures")
+    out["written_squads"] = W(""", kept as (select player_id, team_id, name, position, age, jersey_number from v_bronze_players
+where cast(team_id as bigint) % 3 <> 0
+union all select concat('n', player_id), team_id, name, position, age, jersey_number from v_bronze_players
+where cast(team_id as bigint) % 3 = 0 and age is not null)
+select player_id, team_id, name as player_name, position, age, jersey_number from kept""", "v_bronze_players")
     out.update(_corpus("ORACLE_SQL"))
     return out

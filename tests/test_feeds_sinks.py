@@ -192,9 +192,9 @@ def test_replace_partitions_dynamic_and_empty_skip(spark, scratch):
     path = f"{scratch}/fx"
     replace_partitions(spark.createDataFrame([("a", "L1"), ("b", "L2")], "id string, league_id string"), path, ["league_id"])
     replace_partitions(spark.createDataFrame([("c", "L1")], "id string, league_id string"), path, ["league_id"])
-    assert sorted(r.id for r in spark.read.parquet(path).collect()) == ["b", "c"]
+    assert sorted(r.id for r in read_table(spark, path).collect()) == ["b", "c"]
     replace_partitions(spark.createDataFrame([], "id string, league_id string"), path, ["league_id"])
-    assert spark.read.parquet(path).count() == 2
+    assert read_table(spark, path).count() == 2
 
 
 def test_create_tables_idempotent(spark):
@@ -236,7 +236,7 @@ def test_merge_batch_latest_wins_and_idempotent(spark, scratch):
                                   ("f2", "FT", TS + dt.timedelta(hours=2), "M")], SCHEMA)
     merge_batch(late, path, ["fixture_id"], ["ingested_at"], buckets=4)
     merge_batch(late, path, ["fixture_id"], ["ingested_at"], buckets=4)  # re-delivery
-    got = {r.fixture_id: (r.status, r.league_id) for r in spark.read.parquet(path).collect()}
+    got = {r.fixture_id: (r.status, r.league_id) for r in read_table(spark, path).collect()}
     assert got == {"f1": ("NS", "L"), "f2": ("FT", "M")}
 
 
@@ -249,9 +249,9 @@ def test_merge_batch_writes_one_file_per_bucket(spark, scratch):
     batch = spark.createDataFrame(rows, SCHEMA).repartition(8)
     merge_batch(batch, path, ["fixture_id"], ["ingested_at"], buckets=6)
     merge_batch(batch, path, ["fixture_id"], ["ingested_at"], buckets=6)
-    dirs = glob.glob(f"{path}/_bucket=*")
-    assert all(len(glob.glob(f"{d}/*.parquet")) == 1 for d in dirs)
-    got = {r.fixture_id: r.ingested_at for r in spark.read.parquet(path).collect()}
+    dirs = glob.glob(f"{path}/_version=*/_bucket=*")
+    assert len(dirs) == 12 and all(len(glob.glob(f"{d}/*.parquet")) == 1 for d in dirs)
+    got = {r.fixture_id: r.ingested_at for r in read_table(spark, path).collect()}
     assert len(got) == 41 and got["hot"] == TS + dt.timedelta(seconds=597)
 
 
@@ -264,18 +264,18 @@ def test_partitioned_write_is_rebalanced(spark, scratch):
     rows = spark.range(4000).select((F.col("id") % 5).cast("string").alias("team_id"),
                                     F.col("id").alias("v")).repartition(12)
     assert replace_partitions(rows, f"{scratch}/squads", ["team_id"])
-    dirs = glob.glob(f"{scratch}/squads/team_id=*")
+    dirs = glob.glob(f"{scratch}/squads/_version=*/team_id=*")
     assert len(dirs) == 5 and all(len(glob.glob(f"{d}/*.parquet")) == 1 for d in dirs)
-    assert spark.read.parquet(f"{scratch}/squads").count() == 4000
+    assert read_table(spark, f"{scratch}/squads").count() == 4000
 
 
 def test_one_teams_replace_touches_one_bucket(spark, scratch):
     import glob
     path = f"{scratch}/t"
     replace_keys(spark, path, _rows(spark, [(str(i), i) for i in range(300)]), ["team_id"], buckets=8)
-    before = {f: __import__("os").stat(f).st_mtime_ns for f in glob.glob(f"{path}/_bucket=*/*.parquet")}
+    before = {f: __import__("os").stat(f).st_mtime_ns for f in glob.glob(f"{path}/_version=*/_bucket=*/*.parquet")}
     assert replace_keys(spark, path, _rows(spark, [("7", 70), ("7", 71)]), ["team_id"], buckets=8) == {"deleted": 1, "written": True}
-    after = {f: __import__("os").stat(f).st_mtime_ns for f in glob.glob(f"{path}/_bucket=*/*.parquet")}
+    after = {f: __import__("os").stat(f).st_mtime_ns for f in glob.glob(f"{path}/_version=*/_bucket=*/*.parquet")}
     assert len({f.rsplit("/", 1)[0] for f in set(before.items()) ^ set(after.items()) for f in [f[0]]}) == 1
     assert sorted(r.v for r in read_table(spark, path).collect() if r.team_id == "7") == [70, 71]
     assert read_table(spark, path).count() == 301
@@ -320,7 +320,7 @@ def test_upsert_stream_available_now_twice(spark, scratch):
     upsert_stream(stream, table, ["fixture_id"], ["ingested_at"], ckpt, buckets=4).awaitTermination()
     stream = spark.readStream.schema(SCHEMA).parquet(landing)  # nothing new: no change
     upsert_stream(stream, table, ["fixture_id"], ["ingested_at"], ckpt, buckets=4).awaitTermination()
-    rows = spark.read.parquet(table).collect()
+    rows = read_table(spark, table).collect()
     assert sorted((r.fixture_id, r.status) for r in rows) == [("f1", "FT"), ("f3", "NS")]
 
 

@@ -87,16 +87,16 @@ def _bronze(spark):
 def test_run_all_rebuilds_silver_and_gold(spark, scratch):
     status = M.run_all(_bronze(spark), scratch)
     assert set(status.values()) == {"ok"}
-    sf = {r.fixture_id: r for r in spark.read.parquet(f"{scratch}/silver_fixtures").collect()}
+    sf = {r.fixture_id: r for r in read_table(spark, f"{scratch}/silver_fixtures").collect()}
     assert sf["f1"].status == "FT" and sf["f1"].is_completed and sf["f1"].match_date == dt.date(2024, 1, 5)
     assert sf["f2"].match_date is None
-    sp = spark.read.parquet(f"{scratch}/silver_players").collect()
+    sp = read_table(spark, f"{scratch}/silver_players").collect()
     assert [(r.player_id, r.position) for r in sp] == [("p1", "DEF")]
-    gp = spark.read.parquet(f"{scratch}/gold_player_stats").collect()
+    gp = read_table(spark, f"{scratch}/gold_player_stats").collect()
     assert [r.league_id for r in gp] == ["L1"]
-    tp = spark.read.parquet(f"{scratch}/gold_top_performers").collect()
+    tp = read_table(spark, f"{scratch}/gold_top_performers").collect()
     assert [(r.goals, r["rank"]) for r in tp] == [(5, 1)]
-    ts = {r.team_id: r.points for r in spark.read.parquet(f"{scratch}/gold_team_summary").collect()}
+    ts = {r.team_id: r.points for r in read_table(spark, f"{scratch}/gold_team_summary").collect()}
     assert ts == {"1": 3, "2": 0}
 
 
@@ -131,7 +131,7 @@ def test_ingest_landed_feeds(spark, scratch):
     status = ingest(spark, {"matches": f"{land}/matches", "squads": f"{land}/squads", "scorers": f"{land}/scorers"},
                     bronze, league_id=42, season=2024)
     assert status == {"fixtures": "ok", "squads": "ok", "performers": "ok"}
-    fx = spark.read.parquet(f"{bronze}/bronze_fixtures").collect()
+    fx = read_table(spark, f"{bronze}/bronze_fixtures").collect()
     assert [(r.fixture_id, r.league_id) for r in fx] == [("1", "42")]
     pl = read_table(spark, f"{bronze}/bronze_players").collect()
     assert [(r.player_id, r.team_id) for r in pl] == [("5", "10")]   # team 99 not discovered
@@ -148,7 +148,7 @@ def test_leagues_needing_load(spark):
 
 def test_catalogue_on_written_gold_prunes_partitions(spark, scratch):
     M.run_all(_bronze(spark), scratch)
-    players = spark.read.parquet(f"{scratch}/gold_player_stats")
+    players = read_table(spark, f"{scratch}/gold_player_stats")
     q = C.team_roster(players, "L1", "a")
     plan = q._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(league_id" in plan and "(league_id" in plan
@@ -167,7 +167,7 @@ def test_ingest_loads_every_team_and_keeps_whole_records(spark, scratch):
         for t in range(2, 62)])
     status = ingest(spark, {"matches": f"{land}/matches", "squads": f"{land}/squads"}, bronze, league_id=1, season=2024)
     assert status == {"fixtures": "ok", "squads": "ok"}
-    fx = spark.read.parquet(f"{bronze}/bronze_fixtures").collect()
+    fx = read_table(spark, f"{bronze}/bronze_fixtures").collect()
     assert len(fx) == 30 and all(json.loads(r.raw_json)["pageUrl"] == f"/m/{r.fixture_id}" for r in fx)
     players = read_table(spark, f"{bronze}/bronze_players").collect()
     assert {r.team_id for r in players} == {str(t) for t in range(2, 62)} and len(players) == 60
@@ -181,7 +181,7 @@ def test_rebuild_after_a_league_moves_equals_a_fresh_build(spark, scratch):
     M.run_all(moved, f"{scratch}/twice")
     M.run_all(moved, f"{scratch}/fresh")
     for t in ("gold_player_stats", "gold_team_summary", "gold_match_results"):
-        a, b = (sorted(map(str, spark.read.parquet(f"{scratch}/{d}/{t}").collect())) for d in ("twice", "fresh"))
+        a, b = (sorted(map(str, read_table(spark, f"{scratch}/{d}/{t}").collect())) for d in ("twice", "fresh"))
         assert a == b and a
 
 

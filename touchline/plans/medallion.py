@@ -13,7 +13,7 @@ from touchline.functions.positions import position_code
 from touchline.operators.rank import rank_by_metric
 from touchline.operators.snapshot import best_per_key, latest_per_key
 from touchline.operators.standings import side_pairs, two_sided_standings
-from touchline.sinks.tables import clustered
+from touchline.sinks.store import Store
 
 log = logging.getLogger(__name__)
 
@@ -114,30 +114,31 @@ PARTITION_BY = {"gold_player_stats": ["league_id"], "gold_team_summary": ["leagu
 
 def run_all(bronze: Mapping[str, DataFrame], base_path: str,
             fixture_order: Sequence[str] = ("ingested_at",)) -> dict[str, str]:
-    """Rebuild Silver, then Gold, written under ``base_path``; top performers last and
-    non-fatal. A rebuild replaces whole tables (static overwrite, also where the session's mode is
-    dynamic): a partition whose rows moved away does not stay behind. Silver is read back from storage for Gold, which also cuts the lineage.
+    """Rebuild Silver, then Gold, as tables of the store at ``base_path``, each layer in one commit: a reader
+    sees a layer before or after its rebuild. Top performers come last and are not fatal: if they fail, the
+    stored ones stay. A rebuild replaces whole tables, so a partition whose rows moved away does not stay
+    behind. Silver is read back for Gold, which also cuts the lineage.
     Returns a status per table ("ok" or the error text)."""
     spark = next(iter(bronze.values())).sparkSession
-    status: dict[str, str] = {}
-    silver = build_silver(bronze, fixture_order)
-    for name, df in silver.items():
-        df.write.mode("overwrite").parquet(f"{base_path}/{name}")
-        status[name] = "ok"
-    stored = {n: spark.read.parquet(f"{base_path}/{n}") for n in silver}
-    for name, df in build_gold(stored).items():
-        parts = PARTITION_BY.get(name, [])
-        w = clustered(df, parts).write.mode("overwrite").option("partitionOverwriteMode", "static")
-        if parts:
-            w = w.partitionBy(*parts)
-        w.parquet(f"{base_path}/{name}")
-        status[name] = "ok"
-    if "bronze_top_performers" in bronze:
-        try:
-            gold_top_performers(bronze["bronze_top_performers"]).write.mode("overwrite") \
-                .parquet(f"{base_path}/gold_top_performers")
-            status["gold_top_performers"] = "ok"
-        except Exception as exc:  # optional step, as in the reference pipeline
-            log.warning("gold_top_performers failed: %s", exc)
-            status["gold_top_performers"] = f"error: {exc}"
+    store, status = Store(spark, base_path), {}
+    with store.commit() as c:
+        for name, df in build_silver(bronze, fixture_order).items():
+            c.overwrite(name, df)
+            status[name] = "ok"
+    silver = store.snapshot()
+    with store.commit() as c:
+        for name, df in build_gold({n: silver.read(n) for n in status}).items():
+            c.overwrite(name, df, PARTITION_BY.get(name, []))
+            status[name] = "ok"
+        if "bronze_top_performers" in bronze:
+            before = c.tables.get("gold_top_performers")
+            try:
+                c.overwrite("gold_top_performers", gold_top_performers(bronze["bronze_top_performers"]))
+                status["gold_top_performers"] = "ok"
+            except Exception as exc:  # optional step, as in the reference pipeline
+                log.warning("gold_top_performers failed: %s", exc)
+                status["gold_top_performers"] = f"error: {exc}"
+                c.tables.pop("gold_top_performers", None)
+                if before is not None:
+                    c.tables["gold_top_performers"] = before
     return status

@@ -1,45 +1,27 @@
 """Table writers: keyed replace, delete with a count, append, idempotent DDL.
 
-A table that is replaced by key is plain partitioned Parquet. It is partitioned by a hash bucket of
-its key (or by a low-cardinality column such as the league), so a replace or delete reads and
-rewrites only the buckets that hold touched rows: dynamic partition overwrite with the kept rows plus
-the batch. Rows that are read and overwritten in one step go through a checkpoint in the shared
-folder first. A bucket that a delete empties is overwritten by an empty one. One job commits all
-its partitions together at its end.
+A path names a table of the store in its parent folder (:mod:`touchline.sinks.store`): a write goes to
+new folders of the touched cells, then the store's pointer is replaced. Each function here is a commit of
+its own; several changes that readers must see together go through one :class:`Commit`.
 """
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchline.session import ensure_checkpoint_dir
+from touchline.sinks.store import BUCKETS, Store, clustered
 
-log = logging.getLogger(__name__)
 
-BUCKET = "_bucket"
-BUCKETS = 64
-
-
-def clustered(df: DataFrame, partition_cols: Sequence[str]) -> DataFrame:
-    """Rows grouped by partition value before a partitioned write (AQE ``rebalance``).
-
-    Written straight from an upstream shuffle, every task writes a file into every partition
-    it holds rows for (tasks x partitions small files). Rebalanced, a partition value goes to
-    one task; small ones are packed together and a value holding a large share of the rows
-    is split over several tasks, so no single writer gets a hot partition.
-    """
-    return df.hint("rebalance", *partition_cols) if partition_cols else df
-
-
-def with_bucket(df: DataFrame, keys: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
-    """Partition column derived from the key, so all rows of a key share a partition."""
-    return df.withColumn(BUCKET, F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(buckets)).cast("int"))
+def located(spark: SparkSession, path: str) -> tuple[Store, str]:
+    """The store that a table's path lies in, and the table's name."""
+    base, _, name = path.rstrip("/").rpartition("/")
+    return Store(spark, base), name
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
@@ -52,93 +34,30 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The bucketed table at ``path`` without its bucket column (None when it has no rows yet)."""
-    t = _stored(spark, path)
-    return None if t is None else t.drop(BUCKET)
-
-
-def _publish(rows: DataFrame, path: str, partition_cols: Sequence[str]) -> None:
-    (clustered(rows, partition_cols).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*partition_cols).parquet(path))
-
-
-def _rewrite(spark: SparkSession, path: str, out: DataFrame, touched: Sequence[int]) -> None:
-    """Replace the ``touched`` buckets by ``out`` (already cut off from the table by a checkpoint)."""
-    left = {r[0] for r in out.select(BUCKET).distinct().collect()}  # at most the number of buckets
-    _publish(out, path, [BUCKET])
-    view = f"_empty_{abs(hash(path))}"
-    for b in touched:
-        if b not in left:
-            out.drop(BUCKET).limit(0).createOrReplaceTempView(view)
-            spark.sql(f"INSERT OVERWRITE DIRECTORY '{path}/{BUCKET}={b}' USING parquet SELECT * FROM {view}")
-            spark.catalog.dropTempView(view)
+    """The table at ``path`` as its store's pointer has it now, else a plain Parquet folder (None: neither)."""
+    store, name = located(spark, path)
+    t = store.read(name)
+    return _stored(spark, path) if t is None else t
 
 
 def replace_where(spark: SparkSession, path: str, rows: DataFrame | None, predicate: Column | None = None,
                   keys: Sequence[str] = ("team_id",), buckets: int = BUCKETS) -> dict:
-    """B1: delete rows where ``predicate`` is TRUE, then append ``rows`` (bucketed by ``keys``).
-
-    Truth table: rows + predicate -> delete then load; rows only -> load; predicate only ->
-    delete; neither -> nothing. A delete that fails, while it is planned or on the data, is logged
-    and the load still runs. An empty ``rows`` counts as no rows. Only buckets with hits are rewritten.
-    """
-    has_rows = rows is not None and not rows.isEmpty()
-    deleted, written = 0, False
-    stored = _stored(spark, path) if predicate is not None else None
-    if stored is not None:
-        try:
-            hit = F.coalesce(predicate, F.lit(False))
-            per = stored.filter(hit).groupBy(BUCKET).agg(F.count(F.lit(1)).alias("n")).collect()  # a row a bucket at most
-            touched = [r[BUCKET] for r in per]
-            if touched:
-                ensure_checkpoint_dir(spark)
-                kept = stored.filter(F.col(BUCKET).isin(touched)).filter(~hit).checkpoint(eager=True)
-                _rewrite(spark, path, kept, touched)
-                deleted, written = sum(r["n"] for r in per), True
-        except Exception as exc:  # noqa: BLE001 - a bad predicate must not block the load
-            log.warning("delete failed, appending anyway: %s", exc)
-    if has_rows:
-        append_keyed(rows, path, keys, buckets)
-        written = True
-    return {"deleted": int(deleted), "written": written}
+    """B1: :meth:`Commit.replace_where` as a commit of its own."""
+    store, name = located(spark, path)
+    with store.commit() as c:
+        return c.replace_where(name, rows, predicate, keys, buckets)
 
 
 def delete_where(spark: SparkSession, path: str, predicate: Column) -> int:
-    """B2: delete rows where the predicate is TRUE (null keeps the row); returns the count."""
+    """B2: :meth:`Commit.delete_where` as a commit of its own."""
     return replace_where(spark, path, None, predicate)["deleted"]
 
 
-def append_keyed(rows: DataFrame, path: str, keys: Sequence[str], buckets: int = BUCKETS) -> None:
-    """Append to a bucketed table."""
-    clustered(with_bucket(rows, keys, buckets), [BUCKET]).write.mode("append").partitionBy(BUCKET).parquet(path)
-
-
 def replace_keys(spark: SparkSession, path: str, rows: DataFrame, keys: Sequence[str], buckets: int = BUCKETS) -> dict:
-    """Replace every stored row whose key values appear in ``rows``, in the buckets
-    of those keys only. A blank or null key replaces nothing (its rows are appended); a batch
-    without any other key replaces the whole table. An empty batch is skipped."""
-    batch = with_bucket(rows, keys, buckets)
-    usable = F.lit(True)
-    for k in keys:
-        usable = usable & F.col(k).isNotNull() & (F.col(k).cast("string") != "")
-    ensure_checkpoint_dir(spark)
-    batch = batch.checkpoint(eager=True)  # read three times below
-    named = batch.filter(usable).select(BUCKET, *keys).distinct()
-    some = batch.agg(F.count(F.lit(1)).alias("n"), F.count_if(usable).alias("named")).first()
-    if not some["n"]:
-        return {"deleted": 0, "written": False}
-    stored = _stored(spark, path)
-    if stored is None or not some["named"]:
-        deleted = 0 if stored is None else stored.count()
-        clustered(batch, [BUCKET]).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(BUCKET).parquet(path)
-        return {"deleted": deleted, "written": True}
-    touched = [r[0] for r in batch.select(BUCKET).distinct().collect()]  # at most the number of buckets
-    obs = Observation("replace_keys")
-    tagged = (stored.filter(F.col(BUCKET).isin(touched)).join(named.withColumn("_hit", F.lit(True)), [BUCKET, *keys], "left")
-              .observe(obs, F.count_if(F.col("_hit").isNotNull()).alias("deleted")))
-    out = tagged.filter(F.col("_hit").isNull()).drop("_hit").unionByName(batch, allowMissingColumns=True).checkpoint(eager=True)
-    _publish(out, path, [BUCKET])
-    return {"deleted": int(obs.get.get("deleted", 0)), "written": True}
+    """:meth:`Commit.replace_keys` as a commit of its own."""
+    store, name = located(spark, path)
+    with store.commit() as c:
+        return c.replace_keys(name, rows, keys, buckets)
 
 
 def keyed_replace_frame(existing: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -164,25 +83,25 @@ def last_batch_wins(batches: DataFrame, key: str, batch_col: str) -> DataFrame:
 
 
 def replace_partitions(rows: DataFrame, path: str, partition_cols: Sequence[str]) -> bool:
-    """Overwrite just the partitions (leagues) present in ``rows``. An empty batch has no
-    partition, so it leaves the table untouched (B1e) without a test for rows."""
-    try:
-        _publish(rows, path, partition_cols)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-    return True
+    """:meth:`Commit.replace_partitions` as a commit of its own."""
+    store, name = located(rows.sparkSession, path)
+    with store.commit() as c:
+        return c.replace_partitions(name, rows, partition_cols)
 
 
 def write_squad_batch(members: DataFrame, squads_path: str, players_path: str, buckets: int = BUCKETS) -> bool:
     """One batch of squad members (:func:`touchline.sources.feeds.read_members`) written to both
-    the squad and the player table, each replaced per team in the buckets of its teams."""
+    the squad and the player table of a store, each replaced per team, in one commit."""
     from touchline.sources.feeds import members_to_rows
     ensure_checkpoint_dir(members.sparkSession)
     members = members.checkpoint(eager=True)  # the feed is parsed once for both
     compact, players = members_to_rows(members)
-    a = replace_keys(members.sparkSession, squads_path, compact, ["team_id"], buckets)
-    b = replace_keys(members.sparkSession, players_path, players, ["team_id"], buckets)
+    (store, squads), (other, name) = (located(members.sparkSession, p) for p in (squads_path, players_path))
+    if store.base != other.base:
+        raise ValueError("both tables must lie in one store")
+    with store.commit() as c:
+        a = c.replace_keys(squads, compact, ["team_id"], buckets)
+        b = c.replace_keys(name, players, ["team_id"], buckets)
     return a["written"] and b["written"]
 
 
@@ -223,7 +142,7 @@ def qualified(name: str, catalog: str | None = None, database: str | None = None
 def table_exists(spark: SparkSession, name_or_path: str) -> bool:
     """Does a catalog table of this name, or a written table at this path, exist?"""
     if "/" in name_or_path:
-        return _stored(spark, name_or_path) is not None
+        return read_table(spark, name_or_path) is not None
     return spark.catalog.tableExists(name_or_path)
 
 

@@ -1,12 +1,12 @@
 """Incremental keyed upsert on Structured Streaming.
 
 Each micro-batch is reduced to its latest row per key, merged with the stored rows of the hash
-buckets it touches, reduced again, and written back with dynamic partition overwrite in one commit.
-"Latest" is by the order columns (``ingested_at`` first), so a late, older record never
-replaces a newer one, and replaying a batch id rewrites the same rows (idempotent). The
-stream's checkpoint is the durable cursor. Choose ``buckets`` so that one holds what a batch may
-rewrite (a table of 100 TB wants tens of thousands); a bucket's merge is a shuffle by key and its
-write is rebalanced, so no bucket is bound to one task.
+buckets it touches, reduced again, and published as one commit of the table's store: readers see the
+table before or after a batch. "Latest" is by the order columns (``ingested_at`` first), so a late, older
+record never replaces a newer one, and replaying a batch id gives the same rows (idempotent). The
+stream's checkpoint is the durable cursor. ``buckets`` counts for a new table; a stored table keeps its own
+(:meth:`Commit.split_buckets` raises it). A bucket's merge is a shuffle by key and its write is
+rebalanced, so no bucket is bound to one task.
 """
 
 from __future__ import annotations
@@ -14,13 +14,11 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from touchline.operators.snapshot import latest_per_key
-from touchline.session import ensure_checkpoint_dir
-from touchline.sinks.tables import BUCKET, _publish, _stored, with_bucket
+from touchline.sinks.tables import located
 
 
 def merge_frame(stored: DataFrame | None, batch: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -31,20 +29,10 @@ def merge_frame(stored: DataFrame | None, batch: DataFrame, keys: Sequence[str],
 
 
 def merge_batch(batch: DataFrame, path: str, keys: Sequence[str], order: Sequence[str], buckets: int = 64) -> bool:
-    """Upsert one batch into the Parquet table at ``path``, bucketed by key."""
-    spark = batch.sparkSession
-    ensure_checkpoint_dir(spark)
-    incoming = latest_per_key(with_bucket(batch, keys, buckets), keys, order).checkpoint(eager=True)
-    # the touched buckets: at most ``buckets``; the filter prunes the scan to them, none means an empty batch
-    touched = [r[0] for r in incoming.select(BUCKET).distinct().collect()]
-    if not touched:
-        return False
-    stored = _stored(spark, path)
-    if stored is not None:
-        stored = stored.filter(F.col(BUCKET).isin(touched))
-    # cut off from the table before its buckets are overwritten
-    _publish(merge_frame(stored, incoming, keys, order).checkpoint(eager=True), path, [BUCKET])
-    return True
+    """Upsert one batch into the table at ``path``, bucketed by key; an empty batch commits nothing."""
+    store, name = located(batch.sparkSession, path)
+    with store.commit() as c:
+        return c.merge(name, batch, keys, order, buckets)
 
 
 def upsert_stream(stream_df: DataFrame, path: str, keys: Sequence[str], order: Sequence[str],
