@@ -215,3 +215,88 @@ def test_match_buckets_hold_every_match_and_page_on_request(spark):
     assert {r.fixture_id: r.league_name for r in got if r.bucket == "recent"} == {"r49": "One", "old": "League L2"}
     page = C.match_buckets(f, leagues, as_of="2024-05-20", limit=1).collect()
     assert sorted((r.bucket, r.fixture_id) for r in page) == [("live", "l0"), ("recent", "r49"), ("upcoming", "u0")]
+
+
+def _squad(team, *players, **more):
+    return {"team_id": team, "team_name": f"T{team}", "response": {"list": {"squad": [{"title": "x", "members": [{"id": p, "name": f"P{p}"} for p in players]}]}}, **more}
+
+
+def _lines(path, lines):
+    import os
+    os.makedirs(path, exist_ok=True)
+    with open(f"{path}/part-0.json", "w") as f:
+        f.writelines((x if isinstance(x, str) else json.dumps(x)) + "\n" for x in lines)
+
+
+def _match(i, home, away):
+    return {"id": i, "home": {"id": home, "name": f"T{home}"}, "away": {"id": away, "name": f"T{away}"}}
+
+
+def test_what_cannot_be_read_is_set_aside_and_the_rest_is_written(spark, scratch):
+    land, bronze = f"{scratch}/landing", f"{scratch}/bronze"
+    _lines(f"{land}/matches", [{"response": {"matches": [_match(1, 10, 20), "odd", None]}}, '{"response": {"matches"', "", {"message": "limit reached"},
+                               {"response": {"matches": [_match(2, 10, 30)]}}, {"response": {"matches": []}}])
+    _lines(f"{land}/squads", [_squad("10", 1, 2), '{"team_id": "20", broken', _squad("30", 3), {"team_id": "40", "message": "error"}, _squad("", 9),
+                              {"team_id": "30", "response": {"list": {"squad": [7, {"title": "no members"}]}}}])
+    _lines(f"{land}/scorers", [{"id": 1, "name": "P1", "teamName": "T10", "goals": 3}, "not json", {"response": {"players": [{"id": 2, "name": "P2", "teamName": "T10", "goals": 1}]}}])
+    counts = {}
+    status = ingest(spark, {"matches": f"{land}/matches", "squads": f"{land}/squads", "scorers": f"{land}/scorers"}, bronze, 7, 2024, counts=counts)
+    assert set(status.values()) == {"ok"}
+    assert counts == {"matches": {"records": 6, "kept": 2, "set_aside": 4}, "squads": {"records": 7, "kept": 3, "set_aside": 4},
+                      "performers": {"records": 3, "kept": 2, "set_aside": 1}}
+    assert sorted(r.fixture_id for r in read_table(spark, f"{bronze}/bronze_fixtures").collect()) == ["1", "2"]
+    assert sorted((r.team_id, r.player_id) for r in read_table(spark, f"{bronze}/bronze_players").collect()) == [("10", "1"), ("10", "2"), ("30", "3")]
+    assert sorted(r.goals for r in read_table(spark, f"{bronze}/bronze_top_performers").collect()) == [1, 3]
+    aside = read_table(spark, f"{bronze}/quarantine").collect()
+    assert sorted((r.feed, r.reason) for r in aside) == sorted([
+        ("matches", "not an object"), ("matches", "not an object"), ("matches", "not JSON"), ("matches", "no list at $.response.matches"),
+        ("squads", "not JSON"), ("squads", "no list at $.response.list.squad"), ("squads", "no team id"), ("squads", "not an object"), ("performers", "not JSON")])
+    assert all(r.file.endswith("part-0.json") and r.text and r.league_id == "7" for r in aside)
+    assert '{"response": {"matches"' in [r.text for r in aside]
+
+
+def test_a_stored_squad_stands_in_for_a_missing_one(spark, scratch):
+    land, bronze = f"{scratch}/landing", f"{scratch}/bronze"
+    _lines(f"{land}/matches", [{"response": {"matches": [_match(1, 10, 20), _match(2, 10, 30)]}}])
+    _lines(f"{land}/first", [_squad("10", 1), _squad("20", 2, 22), _squad("99", 9)])
+    assert set(ingest(spark, {"matches": f"{land}/matches", "squads": f"{land}/first"}, bronze, 7, 2024).values()) == {"ok"}
+    _lines(f"{land}/second", [_squad("10", 11), '{"team_id": "20", broken'])
+    assert set(ingest(spark, {"matches": f"{land}/matches", "squads": f"{land}/second"}, bronze, 7, 2024).values()) == {"ok"}
+    for t in ("bronze_players", "bronze_team_squads"):
+        got = read_table(spark, f"{bronze}/{t}").collect()
+        assert sorted((r.team_id, r.player_id) for r in got) == [("10", "11"), ("20", "2"), ("20", "22")]
+        assert all(json.loads(r.raw_json)["id"] == int(r.player_id) for r in got)
+
+
+def test_performers_replace_their_own_league_only(spark, scratch):
+    land, bronze = f"{scratch}/landing", f"{scratch}/bronze"
+
+    def load(league, *goals):
+        _lines(f"{land}/{league}{goals}", [{"id": g, "name": f"P{g}", "teamName": "Rovers", "goals": g} for g in goals])
+        _lines(f"{land}/none", [{"response": {"matches": []}}])
+        return ingest(spark, {"matches": f"{land}/none", "squads": f"{land}/none", "scorers": f"{land}/{league}{goals}"}, bronze, league, 2024)
+    load("A", 1, 2)
+    load("B", 3)
+    load("A", 4)
+    got = read_table(spark, f"{bronze}/bronze_top_performers").collect()
+    assert sorted((r.league_id, r.goals) for r in got) == [("A", 4), ("B", 3)]
+
+
+def test_a_second_run_goes_on_after_the_failed_step(spark, scratch, monkeypatch):
+    from touchline.plans import pipelines
+    land, bronze = f"{scratch}/landing", f"{scratch}/bronze"
+    _lines(f"{land}/matches", [{"response": {"matches": [_match(1, 10, 20)]}}])
+    _lines(f"{land}/squads", [_squad("10", 1), _squad("20", 2)])
+    feeds = {"matches": f"{land}/matches", "squads": f"{land}/squads"}
+
+    def broken(*a, **k):
+        raise OSError("squads down")
+    monkeypatch.setattr(pipelines, "member_records", broken)
+    first = ingest(spark, feeds, bronze, 7, 2024, run="monday")
+    assert first["fixtures"] == "ok" and first["squads"].startswith("error")
+    monkeypatch.undo()
+    monkeypatch.setattr(pipelines, "match_records", broken)  # the second run must not read the match feed
+    assert ingest(spark, feeds, bronze, 7, 2024, run="monday") == {"fixtures": "ok", "squads": "ok"}
+    assert sorted(r.player_id for r in read_table(spark, f"{bronze}/bronze_players").collect()) == ["1", "2"]
+    assert sorted((r.run, r.step) for r in read_table(spark, f"{bronze}/ingest_steps").collect()) == [("monday", "fixtures"), ("monday", "squads")]
+    assert ingest(spark, feeds, bronze, 7, 2024, run="tuesday")["fixtures"].startswith("error")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from touchline.session import ensure_checkpoint_dir
-from touchline.sinks.store import BUCKETS, Store, clustered
+from touchline.sinks.store import BUCKETS, Commit, Store, clustered
 
 
 def located(spark: SparkSession, path: str) -> tuple[Store, str]:
@@ -89,20 +89,26 @@ def replace_partitions(rows: DataFrame, path: str, partition_cols: Sequence[str]
         return c.replace_partitions(name, rows, partition_cols)
 
 
-def write_squad_batch(members: DataFrame, squads_path: str, players_path: str, buckets: int = BUCKETS) -> bool:
-    """One batch of squad members (:func:`touchline.sources.feeds.read_members`) written to both
-    the squad and the player table of a store, each replaced per team, in one commit."""
+def replace_squads(c: Commit, members: DataFrame, squads: str = "bronze_team_squads", players: str = "bronze_players",
+                   buckets: int = BUCKETS) -> bool:
+    """One batch of squad members (:func:`touchline.sources.feeds.read_members`) in both the squad and the
+    player table, each replaced per team, in one commit."""
     from touchline.sources.feeds import members_to_rows
     ensure_checkpoint_dir(members.sparkSession)
     members = members.checkpoint(eager=True)  # the feed is parsed once for both
-    compact, players = members_to_rows(members)
-    (store, squads), (other, name) = (located(members.sparkSession, p) for p in (squads_path, players_path))
+    compact, rows = members_to_rows(members)
+    a = c.replace_keys(squads, compact, ["team_id"], buckets)
+    b = c.replace_keys(players, rows, ["team_id"], buckets)
+    return a["written"] and b["written"]
+
+
+def write_squad_batch(members: DataFrame, squads_path: str, players_path: str, buckets: int = BUCKETS) -> bool:
+    """:func:`replace_squads` as a commit of its own; both tables lie in one store."""
+    (store, squads), (other, players) = (located(members.sparkSession, p) for p in (squads_path, players_path))
     if store.base != other.base:
         raise ValueError("both tables must lie in one store")
     with store.commit() as c:
-        a = c.replace_keys(squads, compact, ["team_id"], buckets)
-        b = c.replace_keys(name, players, ["team_id"], buckets)
-    return a["written"] and b["written"]
+        return replace_squads(c, members, squads, players, buckets)
 
 
 def append_rows(rows: DataFrame, path: str) -> None:

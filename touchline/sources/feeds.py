@@ -73,37 +73,90 @@ def read_json(spark: SparkSession, path: str | Sequence[str], schema: T.StructTy
     return spark.read.schema(schema).option("multiLine", str(whole_document).lower()).json(path)
 
 
-def read_records(spark: SparkSession, path: str | Sequence[str], whole_document: bool = False) -> DataFrame:
-    """Landed JSON as one variant ``v`` a record (top-level arrays exploded); bad records give no row."""
-    text = spark.read.text(path, wholetext=whole_document)
-    v = text.select(F.try_parse_json("value").alias("v")).where("v is not null")
+def landed(spark: SparkSession, path: str | Sequence[str], whole_document: bool = False) -> DataFrame:
+    """Landed JSON as one record a row: variant ``v`` (null: not JSON), the ``text`` and ``file`` it came from
+    (top-level arrays exploded; blank lines are no records)."""
+    text = spark.read.text(path, wholetext=whole_document).select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"))
+    parsed = text.filter(F.trim("text") != "").select("*", F.try_parse_json("text").alias("v"))
     many = F.try_variant_get("v", "$", "array<variant>")
-    return v.select(F.explode(F.coalesce(many, F.array("v"))).alias("v"))
+    return parsed.select("text", "file", F.explode(F.coalesce(many, F.array("v"))).alias("v"))
+
+
+def read_records(spark: SparkSession, path: str | Sequence[str], whole_document: bool = False) -> DataFrame:
+    """Landed JSON as one variant ``v`` a record; records that are not JSON give no row (:func:`landed` has them)."""
+    return landed(spark, path, whole_document).select("v").where("v is not null")
+
+
+def elements(records: DataFrame, path: str, name: str = "m", keep: Sequence[str] = ()) -> DataFrame:
+    """Each landed record's list at ``path``, an element a row as variant ``name``, and why a record or an
+    element cannot be used as ``reason`` (null: it can). A record without that list gives one row with a
+    reason; an empty list gives none."""
+    found = F.try_variant_get("v", path, "array<variant>")
+    why = F.when(F.col("v").isNull(), F.lit("not JSON")).when(found.isNull(), F.lit(f"no list at {path}"))
+    rows = records.select(*keep, "text", "file", why.alias("_why"), F.explode(
+        F.when(why.isNull(), found).otherwise(F.array(F.lit(None).cast("variant")))).alias(name))
+    return rows.select(*keep, "text", "file", name, F.coalesce("_why", F.when(
+        F.try_variant_get(name, "$", "map<string,variant>").isNull(), F.lit("not an object"))).alias("reason"))
+
+
+def set_aside(rows: DataFrame) -> DataFrame:
+    """The quarantine's rows (``text, file, reason``) of what :func:`elements` or a reader could not use."""
+    return rows.filter(F.col("reason").isNotNull()).select("text", "file", "reason")
 
 
 def typed(records: DataFrame, schema: T.StructType, col: str = "v", keep: Sequence[str] = ()) -> DataFrame:
-    """The schema's fields of each variant record, and the whole record as ``raw_json``."""
-    raw = records.select(*keep, F.to_json(col).alias("raw_json"))
-    return raw.select(*keep, F.from_json("raw_json", schema).alias("_r"), "raw_json").select(*keep, "_r.*", "raw_json")
+    """The schema's fields of each variant record, and the whole record as ``raw_json``: both come from the
+    variant, and the text is written only where ``raw_json`` is used."""
+    found = records.select(*keep, F.try_variant_get(col, "$", schema.simpleString()).alias("_r"), F.to_json(col).alias("raw_json"))
+    return found.select(*keep, "_r.*", "raw_json")
 
 
 def read_matches(spark: SparkSession, path: str | Sequence[str], whole_document: bool = False) -> DataFrame:
     """A1: match records of landed envelopes, with their whole text."""
-    found = F.explode(F.try_variant_get("v", "$.response.matches", "array<variant>")).alias("m")
-    return typed(read_records(spark, path, whole_document).select(found), MATCH, "m")
+    return good(match_records(spark, path, whole_document))
+
+
+def match_records(spark: SparkSession, path: str | Sequence[str], whole_document: bool = False) -> DataFrame:
+    """A1 with what cannot be read: typed match records and, with a ``reason``, the others' text and file."""
+    return typed(elements(landed(spark, path, whole_document), "$.response.matches"), MATCH, "m", ("text", "file", "reason"))
+
+
+def good(rows: DataFrame) -> DataFrame:
+    """The records that could be read, without the columns of the quarantine."""
+    return rows.filter(F.col("reason").isNull()).drop("text", "file", "reason")
 
 
 def read_members(spark: SparkSession, path: str | Sequence[str], whole_document: bool = False) -> DataFrame:
     """A2: squad members of landed envelopes (flagged ones dropped), with their whole text. The
     team's name in the response comes before the caller's."""
+    return ranked(good(member_records(spark, path, whole_document)))
+
+
+def member_records(spark: SparkSession, path: str | Sequence[str], whole_document: bool = False) -> DataFrame:
+    """A2 with what cannot be read: typed members (flagged ones too) and, with a ``reason``, envelopes without
+    JSON, a squad list or a team id, and groups or members that are no objects. A group without members is empty."""
     def text(p):
         return F.try_variant_get("v", p, "string")
-    groups = read_records(spark, path, whole_document).select(
-        text("$.team_id").alias("team_id"),
-        F.coalesce(F.nullif(text("$.response.list.name"), F.lit("")), text("$.team_name")).alias("team_name"),
-        F.explode(F.try_variant_get("v", "$.response.list.squad", "array<variant>")).alias("g"))
-    members = groups.select("team_id", "team_name", F.explode(F.try_variant_get("g", "$.members", "array<variant>")).alias("m"))
-    return _ranked(typed(members, MEMBER, "m", ("team_id", "team_name")))
+    team = ("team_id", "team_name")
+    named = landed(spark, path, whole_document).select("*", text("$.team_id").alias("team_id"), F.coalesce(
+        F.nullif(text("$.response.list.name"), F.lit("")), text("$.team_name")).alias("team_name"))
+    groups = elements(named, "$.response.list.squad", "g", team)
+    groups = groups.withColumn("reason", F.when(F.col("reason").isNull() & (F.coalesce("team_id", F.lit("")) == ""), F.lit("no team id")).otherwise(F.col("reason")))
+    found = F.try_variant_get("g", "$.members", "array<variant>")
+    rows = groups.select(*team, "text", "file", F.col("reason").alias("_why"), F.explode(F.when(F.col("reason").isNull(), F.coalesce(
+        found, F.array().cast("array<variant>"))).otherwise(F.array(F.lit(None).cast("variant")))).alias("m"))
+    rows = rows.select(*team, "text", "file", "m", F.coalesce("_why", F.when(
+        F.try_variant_get("m", "$", "map<string,variant>").isNull(), F.lit("not an object"))).alias("reason"))
+    return typed(rows, MEMBER, "m", (*team, "text", "file", "reason"))
+
+
+def performer_records(spark: SparkSession, path: str | Sequence[str], whole_document: bool = False) -> DataFrame:
+    """Performers of landed lists (a record each, or ``response.players`` of an envelope), with what
+    cannot be read as :func:`elements` gives it."""
+    listed = F.try_variant_get("v", "$.response.players", "array<variant>")
+    rows = landed(spark, path, whole_document).select("text", "file", F.explode(F.coalesce(listed, F.array("v"))).alias("m"), F.col("v").isNull().alias("_bad"))
+    why = F.when(F.col("_bad"), F.lit("not JSON")).when(F.try_variant_get("m", "$", "map<string,variant>").isNull(), F.lit("not an object"))
+    return typed(rows.withColumn("reason", why), PERFORMER, "m", ("text", "file", "reason")).drop("raw_json")
 
 
 def first_nonempty_array(*arrays: Column) -> Column:
@@ -149,7 +202,8 @@ def truthy(flag: Column) -> Column:
     return ~F.lower(F.trim(F.coalesce(flag, F.lit("")))).isin("", "false", "0", "0.0", "null", "[]", "{}")
 
 
-def _ranked(members: DataFrame) -> DataFrame:
+def ranked(members: DataFrame) -> DataFrame:
+    """Members that are not flagged (coaches are)."""
     return members.filter(~truthy(F.col("excludeFromRanking")))
 
 
@@ -159,7 +213,7 @@ def squad_members(squads: DataFrame) -> DataFrame:
     name = F.coalesce(F.nullif(F.col("response.list.name"), F.lit("")), F.col("team_name")) \
         if "name" in squads.select("response.list.*").columns else F.col("team_name")
     g = squads.select("team_id", name.alias("team_name"), F.explode("response.list.squad").alias("g"))
-    return _ranked(g.select("team_id", "team_name", F.explode("g.members").alias("m"))
+    return ranked(g.select("team_id", "team_name", F.explode("g.members").alias("m"))
                    .select("team_id", "team_name", "m.*"))
 
 

@@ -14,7 +14,7 @@ TABLE_DDL = {
     "bronze_team_squads": """team_id string, team_name string, player_id string, player_name string, position string, raw_json string,
         ingested_at timestamp, source string""",
     "bronze_top_performers": """player_id string, player_name string, team_id string, team_name string, goals bigint, assists bigint,
-        rating double, stat_type string, ingested_at timestamp, source string""",
+        rating double, stat_type string, league_id string, ingested_at timestamp, source string""",
     "silver_fixtures": """fixture_id string, home_team_id string, home_team_name string, away_team_id string, away_team_name string,
         match_date date, status string, home_score bigint, away_score bigint, league_id string, season bigint, source string,
         ingested_at timestamp, is_completed boolean""",
