@@ -615,6 +615,70 @@ def q_written_upsert(spark, sf_dir):
     return store.read("fixtures").select("fixture_id", "home_team_id", "away_team_id", "status", "home_score", "away_score", "league_id")
 
 
+def q_league_loaded_from_partitions(spark, sf_dir):
+    """Q20 on stored Gold: the flags from partition names alone."""
+    g = _Gold(spark, sf_dir)
+    store = _store(spark)
+    with store.commit() as c:
+        c.overwrite("gold_player_stats", g.players, ["league_id"])
+    return C.loaded_flags(g.tb.leagues, C.loaded_leagues(store.snapshot()))
+
+
+def q_stored_squads_stand_in(spark, sf_dir):
+    """Squads of the fixtures' teams; those of teams 0 to 9 have landed (odd players), the others are stored."""
+    from touchline.plans.pipelines import squads_or_stored
+    tb = Testbed(spark, sf_dir)
+    p = tb.bronze_players
+    team = F.col("team_id").cast("bigint")
+    record = F.to_json(F.struct(F.col("player_id").alias("id"), "name", F.col("position").alias("positionIdsDesc"), F.col("age").cast("string").alias("age")))
+    landed = p.filter((team < 10) & (F.col("player_id").cast("bigint") % 2 == 1)).select("team_id", "team_name", F.from_json(record, FD.MEMBER).alias("m"), record.alias("raw_json"))
+    landed = landed.select("team_id", "team_name", "m.*", "raw_json")
+    teams = discover_entities(tb.silver_fixtures, order=("ingested_at", "fixture_id")).select(F.col("id").alias("team_id"))
+    got = squads_or_stored(teams, landed, p.select("team_id", "team_name", record.alias("raw_json")))
+    return got.select("team_id", F.col("id").alias("player_id"), "name", "age", "replayed")
+
+
+def q_feed_quarantine(spark, sf_dir):
+    """A1: order envelopes landed as text, every seventh cut short, every eleventh without its list: matches written and records set
+    aside, counted by league or reason after a read back."""
+    from touchline.plans.pipelines import ingest
+    tb = Testbed(spark, sf_dir)
+    b = tb.bronze_fixtures.withColumn("order", F.col("fixture_id").cast("bigint"))
+    match = F.struct(F.concat_ws("-", "fixture_id", F.col("l_linenumber").cast("string")).alias("id"),
+                     F.struct(F.col("home_team_id").alias("id")).alias("home"), F.struct(F.col("away_team_id").alias("id")).alias("away"))
+    envelope = F.to_json(F.struct(F.struct(F.collect_list(match).alias("matches")).alias("response")))
+    lines = b.groupBy("order").agg(envelope.alias("value"))
+    lines = lines.select(F.when(F.col("order") % 7 == 0, F.expr("substring(value, 1, length(value) - 3)"))
+                         .when(F.col("order") % 11 == 0, F.lit('{"message": "limit"}')).otherwise(F.col("value")).alias("value"))
+    store = _store(spark)
+    lines.write.text(f"{store.base}/landed")
+    ingest(spark, {"matches": f"{store.base}/landed", "squads": f"{store.base}/landed"}, store.base, "A", 2024)
+    now = store.snapshot()
+    good = now.read("bronze_fixtures").groupBy("league_id").agg(F.count(F.lit(1)).alias("n")).select(F.lit("matches").alias("feed"), F.lit("read").alias("reason"), "n")
+    return good.unionByName(now.read("quarantine").groupBy("feed", "reason").agg(F.count(F.lit(1)).alias("n")))
+
+
+def q_performers_by_league(spark, sf_dir):
+    """Performers of two leagues with the same teams; a later batch of league 1 replaces its own teams only."""
+    m = Testbed(spark, sf_dir).bronze_performers.withColumn("league_id", (F.col("event_id") % 2).cast("string"))
+    store = _store(spark)
+    cols = ["event_id", "league_id", "team_name", "player_id", "stat_type"]
+    later = m.filter((F.col("league_id") == "1") & F.col("team_name").isin("T1", "T2", "T3") & (F.col("stat_type") == "goals"))
+    for batch in (m, later.withColumn("player_id", F.concat(F.lit("n"), "player_id"))):
+        with store.commit() as c:
+            c.replace_keys("bronze_top_performers", batch.select(*cols), ["league_id", "team_name"], 8)
+    return store.read("bronze_top_performers").select(*cols)
+
+
+def q_distinct_players_sketched(spark, sf_dir):
+    """Distinct players per stat, exact and whether the merged sketches of the teams come within six per cent."""
+    from touchline.operators.distinct import distinct_estimates, distinct_sketches
+    m = Testbed(spark, sf_dir).bronze_performers
+    estimate = distinct_estimates(distinct_sketches(m, ["stat_type", "team_name"], "player_id"), ["stat_type"], "estimate")
+    exact = m.groupBy("stat_type").agg(F.count_distinct("player_id").alias("players"))
+    return exact.join(estimate, "stat_type").select("stat_type", "players", (F.abs(F.col("estimate") - F.col("players")) <= 0.06 * F.col("players")).alias("close"))
+
+
 _QUERIES = {
     "latest_snapshot": q_latest_snapshot,
     "best_snapshot": q_best_snapshot,
@@ -694,6 +758,11 @@ _QUERIES = {
     "written_append": q_written_append,
     "written_rebuild": q_written_rebuild,
     "written_upsert": q_written_upsert,
+    "league_loaded_from_partitions": q_league_loaded_from_partitions,
+    "stored_squads_stand_in": q_stored_squads_stand_in,
+    "feed_quarantine": q_feed_quarantine,
+    "performers_by_league": q_performers_by_league,
+    "distinct_players_sketched": q_distinct_players_sketched,
 }
 
 
@@ -1211,10 +1280,28 @@ group by name, b.player_id""", "v_questions", "v_bronze_performers"),
     }
     for written, same in (("written_keyed_replace", "keyed_replace"), ("written_where_replace", "keyed_replace"),
                           ("written_league_replace", "keyed_replace"), ("written_delete", "keyed_delete"),
-                          ("written_rebuild", "standings"), ("written_upsert", "incremental_upsert")):
+                          ("written_rebuild", "standings"), ("written_upsert", "incremental_upsert"),
+                          ("league_loaded_from_partitions", "league_loaded_flags")):
         out[written] = out[same]
     out["written_append"] = W(f"select {_SILVER_COLS} from v_silver_fixtures union all select {_SILVER_COLS} from v_silver_fixtures where league_id = 'A'",
                               "v_silver_fixtures")
+    out["stored_squads_stand_in"] = W(""", wanted as (select home_team_id as team_id from v_silver_fixtures union select away_team_id from v_silver_fixtures),
+landed as (select * from v_bronze_players where cast(team_id as bigint) < 10 and cast(player_id as bigint) % 2 = 1)
+select team_id, player_id, name, cast(age as varchar) as age, false as replayed from landed where team_id in (select team_id from wanted)
+union all
+select team_id, player_id, name, cast(age as varchar) as age, true from v_bronze_players
+where team_id in (select team_id from wanted) and team_id not in (select team_id from landed)""", "v_silver_fixtures", "v_bronze_players")
+    out["feed_quarantine"] = W(""", o as (select cast(fixture_id as bigint) as o, count(*) as n from v_bronze_fixtures group by 1)
+select 'matches' as feed, 'read' as reason, cast(sum(n) as bigint) as n from o where o % 7 <> 0 and o % 11 <> 0
+union all select f, 'not JSON', count(*) from o, (values ('matches'), ('squads')) t(f) where o % 7 = 0 group by f
+union all select 'matches', 'no list at $.response.matches', count(*) from o where o % 7 <> 0 and o % 11 = 0
+union all select 'squads', 'no list at $.response.list.squad', count(*) from o where o % 7 <> 0""", "v_bronze_fixtures")
+    out["performers_by_league"] = W(""", m as (select event_id, cast(event_id % 2 as varchar) as league_id, team_name, player_id, stat_type from v_bronze_performers),
+later as (select * from m where league_id = '1' and team_name in ('T1', 'T2', 'T3') and stat_type = 'goals')
+select * from m where not exists (select 1 from later l where l.league_id = m.league_id and l.team_name = m.team_name)
+union all select event_id, league_id, team_name, concat('n', player_id), stat_type from later""", "v_bronze_performers")
+    out["distinct_players_sketched"] = W("select stat_type, count(distinct player_id) as players, true as close from v_bronze_performers group by 1",
+                                         "v_bronze_performers")
     out["written_squads"] = W(""", kept as (select player_id, team_id, name, position, age, jersey_number from v_bronze_players
 where cast(team_id as bigint) % 3 <> 0
 union all select concat('n', player_id), team_id, name, position, age, jersey_number from v_bronze_players

@@ -279,3 +279,39 @@ def test_global_row_number_consistent_across_many_partitions(spark):
     exp = df.withColumn("rk2", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
     assert got.join(exp, "id").filter(F.col("rk") != F.col("rk2")).count() == 0
     assert got.agg(F.min("rk")).collect()[0][0] == 1
+
+
+def test_histogram_rank_matches_a_window(spark):
+    """Ties by the thousand, outliers, negative, zero, infinite and NaN metrics, null tie-breakers."""
+    import random
+
+    from pyspark.sql import Window
+    from touchline.operators.rank import histogram_rank
+    rnd = random.Random(3)
+    values = [0.0, -0.0, 1.0, 1.0, 2.0, -3.5, 1e300, -1e300, 5e-324, float("inf"), float("-inf"), float("nan")]
+    rows = [(rnd.choice("ab"), rnd.choice(values) if i % 3 else rnd.choice([7.0, rnd.uniform(6, 9), rnd.uniform(-1e9, 1e9)]), f"p{i:05d}" if i else None)
+            for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, m double, id string").repartition(7)
+    want = df.withColumn("rk", F.row_number().over(Window.partitionBy("g").orderBy(F.col("m").desc(), F.col("id").asc())))
+    got = histogram_rank(df, "g", "m", ["id"], "rk")
+    assert sorted((r.id or "", r.rk) for r in got.collect()) == sorted((r.id or "", r.rk) for r in want.collect())
+    by_number = histogram_rank(df.withColumn("k", F.hash("id").cast("bigint")), "g", "m", ["k", "id"], "rk")
+    assert sorted(r.rk for r in by_number.where("g = 'a'").collect()) == list(range(1, 1 + sum(r[0] == "a" for r in rows)))
+
+
+def test_bins_fall_as_the_metric_rises(spark):
+    from touchline.operators.rank import metric_bin
+    rows = spark.range(4000).select(((F.col("id") - 2000) * F.col("id") / 977.0).alias("m"))
+    got = rows.select("m", metric_bin(F.col("m")).alias("b")).orderBy("m").collect()
+    assert all(x.b >= y.b for x, y in zip(got, got[1:])) and len({r.b for r in got}) > 1000
+
+
+def test_distinct_sketches_merge(spark):
+    from touchline.operators.distinct import distinct_estimates, distinct_sketches
+    df = spark.range(60000).select((F.col("id") % 3).alias("league"), (F.col("id") % 20011).alias("player")).withColumn(
+        "player", F.when(F.col("player") > 0, F.col("player")))
+    parts = distinct_sketches(df, ["league"], "player")
+    per = {r.league: r["distinct"] for r in distinct_estimates(parts, ["league"]).collect()}
+    exact = {r.league: r.n for r in df.groupBy("league").agg(F.count_distinct("player").alias("n")).collect()}
+    assert all(abs(per[k] - n) < 0.06 * n for k, n in exact.items())
+    assert abs(distinct_estimates(parts).first()["distinct"] - 20010) < 0.06 * 20010

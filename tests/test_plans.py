@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as E
+from touchline.sources.testbed import Testbed
 
 from testpaths import SF_SMALL
 
@@ -73,8 +74,7 @@ def test_standings_partial_hash_aggregate(spark):
 
 def test_global_rank_has_no_single_partition_sort(spark):
     plan = _plan(E.queries()["leaderboard_rank"](spark, SF_SMALL))
-    # the range-partitioned numbering ran in the checkpoint job; the plan reads its output
-    assert "Scan ExistingRDD" in plan
+    assert "ExistingRDD" not in plan  # nothing was run to build the plan
     assert "Exchange SinglePartition" not in plan
 
 
@@ -124,3 +124,29 @@ def test_no_broadcast_or_nested_loop_of_our_own(spark):
             assert "ExistingRDD" not in _plan(E.queries()[q](spark, SF_SMALL))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", prev)
+
+
+def test_league_overview_is_one_aggregate_over_the_players(spark):
+    import re
+    from pyspark.sql import functions as F
+    from touchline.plans.catalogue import league_overview
+    players = Testbed(spark, SF_SMALL).table("customer").select(
+        F.lit("A").alias("league_id"), F.col("c_mktsegment").alias("position"), F.col("c_name").alias("team_name"),
+        F.col("c_nationkey").cast("string").alias("nationality"))
+    plan = _plan(league_overview(players, "A"))
+    assert plan.count("FileScan parquet") == 1 and len(re.findall("Expand", plan)) == 1 and "Subquery" not in plan
+
+
+def test_loaded_leagues_read_no_data_file(spark, scratch):
+    from pyspark.sql import functions as F
+    from touchline.plans.catalogue import loaded_flags, loaded_leagues
+    from touchline.sinks.store import Store
+    store = Store(spark, scratch)
+    with store.commit() as c:
+        c.overwrite("gold_player_stats", spark.createDataFrame([("1", "A"), ("2", "B/x"), ("3", "C"), ("4", None)], "player_id string, league_id string"), ["league_id"])
+    with store.commit() as c:
+        c.delete_where("gold_player_stats", F.col("league_id") == "C")  # its partition stays without rows
+    leagues = spark.createDataFrame([("A",), ("B/x",), ("C",)], "league_id string")
+    out = loaded_flags(leagues, loaded_leagues(store.snapshot()))
+    assert "FileScan" not in _plan(out)
+    assert sorted(map(tuple, out.collect())) == [("A", True), ("B/x", True), ("C", False)]

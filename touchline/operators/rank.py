@@ -5,9 +5,13 @@ forms scale instead:
 
 * ``top_k``: ``row_number() <= k`` per tag plans as a partial ``WindowGroupLimit`` before the
   shuffle, so each map task sends at most k rows per tag.
-* full rank: range-partition on (tag, metric desc, tie), number rows inside each sorted
-  partition, materialise that once (checkpoint), then add the row count of the earlier
-  partitions of the same tag, in a join that the planner sizes. Null groups are numbered too.
+* full rank (:func:`histogram_rank`): a histogram of the metric per tag gives the ranks taken before
+  each bin, and rows are only ordered inside their bin; a bin of one value is dealt on by the
+  tie-breaker. It is lazy: an aggregate, joins on the bins and a window per bin, no action.
+
+:func:`global_row_number` numbers rows by any order: range-partition, number rows inside each sorted
+partition, materialise that once (checkpoint), then add the row count of the earlier partitions of the
+same group, in a join that the planner sizes. Null groups are numbered too.
 """
 
 from __future__ import annotations
@@ -56,6 +60,41 @@ def global_row_number(df: DataFrame, order: Sequence[Column], group: str | None
     return out.drop(g) if group is None else out
 
 
+#: Bins per factor e of a metric, and leading characters of the tie-breaker that divide a bin of one value.
+BINS_PER_E, TIE_PREFIX = 4096, 4
+
+
+def metric_bin(metric: Column) -> Column:
+    """Bin of a double, larger metrics in smaller bins (as wide as a 4096th part of a factor e; a result of
+    ``ln`` never falls where its argument rises, so neither does the bin); NaN first, as in a descending sort."""
+    def size(x):
+        return F.floor(F.ln(x) * BINS_PER_E) + F.lit(745 * BINS_PER_E)  # ln of the smallest double is above -745
+    most = F.lit(711 * BINS_PER_E + 745 * BINS_PER_E)
+    return (F.when(F.isnan(metric), -most - 2).when(metric == float("inf"), -most - 1).when(metric == float("-inf"), most + 1)
+            .when(metric > 0, -size(metric) - 1).when(metric < 0, size(-metric) + 1).otherwise(F.lit(0)).cast("bigint"))
+
+
+def histogram_rank(df: DataFrame, group: str, metric: str, tie: Sequence[str], name: str = "rank") -> DataFrame:
+    """1-based rank within ``group`` by ``metric`` (a double, descending), then ``tie`` ascending (a total order).
+
+    The histogram has a row per group and bin (at most twelve million bins a group, whatever the rows; a few
+    thousand as metrics go). A bin of one value, as many ties make it, is divided by the first characters of a
+    text tie-breaker, which order as it does, so such a group of ties spreads over tasks as well."""
+    rows = df.withColumn("_bin", metric_bin(F.col(metric)))
+    bins = rows.groupBy(group, "_bin").agg(F.count(F.lit(1)).alias("_n"), (F.min(metric) == F.max(metric)).alias("_one"))
+    earlier = Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = bins.select(group, "_bin", "_one", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_above"))
+    text = dict(df.dtypes)[tie[0]] == "string"
+    part = F.when(F.col("_one"), F.substring(tie[0], 1, TIE_PREFIX)) if text else F.lit("")
+    rows = rows.join(bins, [group, "_bin"]).withColumn("_part", F.coalesce(part, F.lit("")))
+    cells = rows.groupBy(group, "_bin", "_part").agg(F.count(F.lit(1)).alias("_n"))
+    inside = Window.partitionBy(group, "_bin").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(group, "_bin", "_part", F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_left"))
+    cell = Window.partitionBy(group, "_bin", "_part").orderBy(F.col(metric).desc(), *[F.col(t).asc() for t in tie])
+    out = rows.join(cells, [group, "_bin", "_part"]).withColumn(name, (F.col("_above") + F.col("_left") + F.row_number().over(cell)).cast("bigint"))
+    return out.drop("_bin", "_one", "_above", "_part", "_left")
+
+
 def rank_by_metric(df: DataFrame, tag_col: str, metric_by_tag: Mapping[str, str],
                    tie: Sequence[str] = ("player_id",), top_k: int | None = None,
                    name: str = "rank") -> DataFrame:
@@ -75,7 +114,7 @@ def rank_by_metric(df: DataFrame, tag_col: str, metric_by_tag: Mapping[str, str]
         w = Window.partitionBy(tag_col).orderBy(*order)
         out = base.withColumn(name, F.row_number().over(w).cast("bigint")).filter(F.col(name) <= top_k)
     else:
-        out = global_row_number(base, order, group=tag_col, name=name)
+        out = histogram_rank(base, tag_col, "_metric", tie, name)
     return out.drop("_metric")
 
 

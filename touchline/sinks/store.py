@@ -83,6 +83,12 @@ class Snapshot:
             return None
         return self._stored(name, cells).drop(BUCKET)
 
+    def partition_values(self, name: str, column: str) -> list[str | None]:
+        """Values of a partition column that hold rows, as the pointer names them."""
+        names = [part.partition("=") for c in self.tables[name].cells for part in c.split("/")] if name in self.tables else []
+        found = {unquote(v) for k, _, v in names if k == column}
+        return sorted((None if v == "__HIVE_DEFAULT_PARTITION__" else v for v in found), key=lambda v: (v is None, v))
+
     def _stored(self, name: str, cells: Sequence[str] | None = None) -> DataFrame:
         t = self.tables[name]
         at = f"{self.base}/{name}"
