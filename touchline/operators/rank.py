@@ -80,19 +80,19 @@ def histogram_rank(df: DataFrame, group: str, metric: str, tie: Sequence[str], n
     The histogram has a row per group and bin (at most twelve million bins a group, whatever the rows; a few
     thousand as metrics go). A bin of one value, as many ties make it, is divided by the first characters of a
     text tie-breaker, which order as it does, so such a group of ties spreads over tasks as well."""
-    rows = df.withColumn("_bin", metric_bin(F.col(metric)))
-    bins = rows.groupBy(group, "_bin").agg(F.count(F.lit(1)).alias("_n"), (F.min(metric) == F.max(metric)).alias("_one"))
-    earlier = Window.partitionBy(group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select(group, "_bin", "_one", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_above"))
-    text = dict(df.dtypes)[tie[0]] == "string"
-    part = F.when(F.col("_one"), F.substring(tie[0], 1, TIE_PREFIX)) if text else F.lit("")
-    rows = rows.join(bins, [group, "_bin"]).withColumn("_part", F.coalesce(part, F.lit("")))
-    cells = rows.groupBy(group, "_bin", "_part").agg(F.count(F.lit(1)).alias("_n"))
-    inside = Window.partitionBy(group, "_bin").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(group, "_bin", "_part", F.coalesce(F.sum("_n").over(inside), F.lit(0)).alias("_left"))
+    prefix = F.substring(tie[0], 1, TIE_PREFIX) if dict(df.dtypes)[tie[0]] == "string" else F.lit("")
+    rows = df.select("*", metric_bin(F.col(metric)).alias("_bin"), F.coalesce(prefix, F.lit("")).alias("_prefix"))
+    cells = rows.groupBy(group, "_bin", "_prefix").agg(F.count(F.lit(1)).alias("_n"), F.min(metric).alias("_lo"), F.max(metric).alias("_hi"))
+    bins = cells.groupBy(group, "_bin").agg(F.sum("_n").alias("_all"), (F.min("_lo") == F.max("_hi")).alias("_one"))
+    before = (Window.unboundedPreceding, -1)
+    above = F.sum("_all").over(Window.partitionBy(group).orderBy("_bin").rowsBetween(*before))
+    left = F.sum("_n").over(Window.partitionBy(group, "_bin").orderBy("_prefix").rowsBetween(*before))
+    offset = F.coalesce("_above", F.lit(0)) + F.when(F.col("_one"), F.coalesce(left, F.lit(0))).otherwise(0)
+    cells = cells.join(bins.select(group, "_bin", "_one", above.alias("_above")), [group, "_bin"]).select(
+        group, "_bin", "_prefix", offset.alias("_before"), F.when(F.col("_one"), F.col("_prefix")).otherwise("").alias("_part"))
     cell = Window.partitionBy(group, "_bin", "_part").orderBy(F.col(metric).desc(), *[F.col(t).asc() for t in tie])
-    out = rows.join(cells, [group, "_bin", "_part"]).withColumn(name, (F.col("_above") + F.col("_left") + F.row_number().over(cell)).cast("bigint"))
-    return out.drop("_bin", "_one", "_above", "_part", "_left")
+    out = rows.join(cells, [group, "_bin", "_prefix"])
+    return out.select(*df.columns, (F.col("_before") + F.row_number().over(cell)).cast("bigint").alias(name))
 
 
 def rank_by_metric(df: DataFrame, tag_col: str, metric_by_tag: Mapping[str, str],
