@@ -670,6 +670,30 @@ def q_performers_by_league(spark, sf_dir):
     return store.read("bronze_top_performers").select(*cols)
 
 
+def _name_index(spark, tb):
+    """A store with the index of all names, a third of them first stored under other names and then changed."""
+    store = _store(spark)
+    d = tb.bronze_performers.select("player_id", "player_name").distinct()
+    third = F.col("player_id").cast("bigint") % 3 == 0
+    with store.commit() as c:
+        Q.index_names(c, d.withColumn("player_name", F.when(third, F.reverse("player_name")).otherwise(F.col("player_name"))))
+    with store.commit() as c:
+        Q.index_names(c, d.filter(third))
+    return store.snapshot()
+
+
+def q_name_candidates_indexed(spark, sf_dir):
+    """D9 by the kept index of names."""
+    tb = Testbed(spark, sf_dir)
+    return Q.name_candidates(tb.questions, tb.bronze_performers, index=_name_index(spark, tb))
+
+
+def q_player_demand_indexed(spark, sf_dir):
+    """T2 by the kept index of names."""
+    tb = Testbed(spark, sf_dir)
+    return Q.player_demand(tb.questions, tb.bronze_performers, index=_name_index(spark, tb))
+
+
 def q_distinct_players_sketched(spark, sf_dir):
     """Distinct players per stat, exact and whether the merged sketches of the teams come within six per cent."""
     from touchline.operators.distinct import distinct_estimates, distinct_sketches
@@ -763,6 +787,8 @@ _QUERIES = {
     "feed_quarantine": q_feed_quarantine,
     "performers_by_league": q_performers_by_league,
     "distinct_players_sketched": q_distinct_players_sketched,
+    "name_candidates_indexed": q_name_candidates_indexed,
+    "player_demand_indexed": q_player_demand_indexed,
 }
 
 
@@ -980,12 +1006,12 @@ from {src} s left join v_leagues l on s.league_id = l.league_id"""
 
 _SQL_LEAD = (r"(?i)^(?:(?:please|generate|create|show\s+me|show|make|build|download|get\s+me|get|view|display|produce|give\s+me|fetch|find|"
              r"pull|tell\s+me\s+about|about|for|on)\s+)+")
-_SQL_TAIL = r"(?is)(?:['’]s?)?\s+(?:scouting\s+)?(?:report|profile|details?|info|information)(?:[^a-z].*)?$"
+_SQL_TAIL = r"(?is)\s(?:scouting\s+)?(?:report|profile|details?|info|information)\b.*$"
+_SQL_EDGE = r"(?:['’]s)?[\s?.!,;:'’]*$"
 
 
 def _clean_sql(expr: str) -> str:
-    c = f"trim(regexp_replace(regexp_replace(trim({expr}), {_q(_SQL_LEAD)}, ''), {_q(_SQL_TAIL)}, ''))"
-    return f"trim(regexp_replace({c}, {_q(r"['’]s?\s*$")}, ''))"
+    return f"trim(regexp_replace(regexp_replace(regexp_replace(trim({expr}), {_q(_SQL_LEAD)}, ''), {_q(_SQL_TAIL)}, ''), {_q(_SQL_EDGE)}, ''))"
 
 
 def _report_name_sql(t: str) -> str:
@@ -994,7 +1020,7 @@ def _report_name_sql(t: str) -> str:
     before = r"(?is)^(.*?)(?:['’]s)?\s+(?:scouting\s+)?report(?:[^\p{L}\p{N}]|$)"
     lead = (r"(?i)^(?:(?:generate|create|make|show|download|get|build|produce|view|display|give|fetch|find|pull|save|export|me|an|a|the|please)"
             r"\s+)+")
-    edge = r"(?:['’]s)?[\s?.!,;:]*$"
+    edge = _SQL_EDGE
     c1 = f"trim(regexp_replace(regexp_replace(regexp_extract({t}, {_q(after)}, 1), {_q(ends)}, ''), {_q(edge)}, ''))"
     c2 = f"trim(regexp_replace(regexp_replace(concat(trim(regexp_extract({t}, {_q(before)}, 1)), ' '), {_q(lead)}, ''), {_q(edge)}, ''))"
     none = "('', 'a', 'an', 'the', 'any', 'all', 'me', 'report', 'scouting', 'pdf')"
@@ -1281,7 +1307,8 @@ group by name, b.player_id""", "v_questions", "v_bronze_performers"),
     for written, same in (("written_keyed_replace", "keyed_replace"), ("written_where_replace", "keyed_replace"),
                           ("written_league_replace", "keyed_replace"), ("written_delete", "keyed_delete"),
                           ("written_rebuild", "standings"), ("written_upsert", "incremental_upsert"),
-                          ("league_loaded_from_partitions", "league_loaded_flags")):
+                          ("league_loaded_from_partitions", "league_loaded_flags"),
+                          ("name_candidates_indexed", "name_candidates"), ("player_demand_indexed", "player_demand")):
         out[written] = out[same]
     out["written_append"] = W(f"select {_SILVER_COLS} from v_silver_fixtures union all select {_SILVER_COLS} from v_silver_fixtures where league_id = 'A'",
                               "v_silver_fixtures")

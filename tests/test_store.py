@@ -145,3 +145,37 @@ def test_pointer_text_is_replaced_as_a_whole(spark, scratch):
     for text in ("one", "zwei ü"):
         files.replace_text(spark, f"{scratch}/p.json", text)
         assert files.read_text(spark, f"{scratch}/p.json") == text
+
+
+def test_an_updated_name_index_equals_a_fresh_one(spark, scratch):
+    from touchline.operators.nameindex import COUNTS, GRAMS, NAMES, build_names, probe_names, update_names
+    from touchline.operators.resolve import substring_min
+
+    def names(data):
+        return spark.createDataFrame(data, "id string, text string")
+    first = [("1", "ana silva"), ("1", "a. silva"), ("2", "bo"), ("3", "silvia ng"), ("4", "x"), ("5", "")]
+    later = [("1", "ana souza"), ("4", None), ("6", "new silva"), ("3", "silvia ng")]
+    now = [("1", "ana souza"), ("2", "bo"), ("3", "silvia ng"), ("5", ""), ("6", "new silva")]
+    updated, fresh = Store(spark, f"{scratch}/updated"), Store(spark, f"{scratch}/fresh")
+    with updated.commit() as c:
+        build_names(c, names(first), 8)
+    with updated.commit() as c:
+        update_names(c, names(later))
+    with fresh.commit() as c:
+        build_names(c, names(now), 4)
+    for t in (NAMES, GRAMS, COUNTS):
+        a, b = (sorted(map(tuple, s.read(t).collect())) for s in (updated, fresh))
+        assert a == b, t
+    terms = spark.createDataFrame([(x,) for x in ("silv", "o", "ng", "ana s", "zz", "zzzz", "silvx", "new silva", "", "a", "nas")], "term string")
+    got = sorted(map(tuple, probe_names(terms, "term", updated.snapshot()).collect()))
+    want = sorted(map(tuple, substring_min(terms, "term", names(now), "id", "text").collect()))
+    assert got == want and ("silv", "3") in got
+
+
+def test_the_index_probe_scans_each_table_once(spark, scratch):
+    from touchline.operators.nameindex import build_names, probe_names
+    store = Store(spark, scratch)
+    with store.commit() as c:
+        build_names(c, spark.createDataFrame([("1", "ana silva")], "id string, text string"), 2)
+    plan = probe_names(spark.createDataFrame([("silva",)], "t string"), "t", store.snapshot())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" parquet") == 2 and "Cartesian" not in plan  # the counts and the grams; the names are not read

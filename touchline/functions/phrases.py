@@ -24,3 +24,7 @@ def any_of(words: Iterable[str], capture: bool = False) -> str:
 def phrase(*parts: str) -> str:
     """Case-insensitive pattern of parts that stand as whole words in one sentence."""
     return "(?i)" + BEFORE + GAP.join(parts) + BEHIND
+
+
+#: What may hang on the end of a name: a possessive, then white space and punctuation.
+NAME_EDGE = r"(?:['’]s)?[\s?.!,;:'’]*$"

@@ -219,11 +219,14 @@ class Commit(Snapshot):
         self._swap(name, rows, None)
         return True
 
-    def replace_keys(self, name: str, rows: DataFrame, keys: Sequence[str], buckets: int = BUCKETS) -> dict:
+    def replace_keys(self, name: str, rows: DataFrame, keys: Sequence[str], buckets: int = BUCKETS,
+                     only_delete: Column | None = None) -> dict:
         """Replace every stored row whose key values appear in ``rows``. A blank or null key
         replaces nothing (its rows are added); a batch without any other key replaces the whole table; an
         empty batch is skipped. Only cells with such keys are rewritten: they follow from the batch where the
-        keys hold the table's own, else the stored keys are looked up."""
+        keys hold the table's own, else the stored keys are looked up. Rows of the batch for which ``only_delete``
+        is true replace stored rows and are not written themselves."""
+        written = F.lit(True) if only_delete is None else ~F.coalesce(only_delete, F.lit(False))
         usable = F.lit(True)
         for k in keys:
             usable = usable & F.col(k).isNotNull() & (F.col(k).cast("string") != "")
@@ -237,12 +240,14 @@ class Commit(Snapshot):
             deleted = 0 if old is None else self._stored(name).count()
             if old is None:
                 self._table(name, with_bucket(batch, keys, buckets), [BUCKET], keys, buckets)
-            self._swap(name, self._bucketed(self.tables[name], batch), list(self.tables[name].cells))
+            self._swap(name, self._bucketed(self.tables[name], batch.filter(written)), list(self.tables[name].cells))
             return {"deleted": deleted, "written": True}
+        fresh = batch.filter(written)
         named = batch.filter(usable).select(*keys).distinct()
         own = bool(old.keys) and set(old.keys) <= set(keys)  # the batch's buckets hold all rows of its keys
         if own:
             batch = self._bucketed(old, batch)
+            fresh = batch.filter(written)
             touched = [f"{BUCKET}={r[0]}" for r in batch.select(BUCKET).distinct().collect()]  # at most the buckets
         elif not old.cells:
             touched = []
@@ -253,10 +258,10 @@ class Commit(Snapshot):
             obs = Observation(f"replace_{name}")
             kept = (self._stored(name, touched).join(named.withColumn("_hit", F.lit(True)), list(keys), "left")
                     .observe(obs, F.count_if(F.col("_hit").isNotNull()).alias("deleted")).filter(F.col("_hit").isNull()).drop("_hit"))
-            self._swap(name, kept.unionByName(batch, allowMissingColumns=True) if own else kept, touched)
+            self._swap(name, kept.unionByName(fresh, allowMissingColumns=True) if own else kept, touched)
             deleted = int(obs.get.get("deleted", 0))
         if not own:
-            self.append(name, batch)
+            self.append(name, fresh)
         return {"deleted": deleted, "written": True}
 
     def _stored_cells(self, name: str) -> DataFrame:
