@@ -4,7 +4,8 @@
 before it kept, written as Parquet and read again. All but the last return the columns of ``documents``.
 
 Defined results: extra columns pass through all stages but the last; a row with a null ``doc_id`` has no
-duplicates; of repeated rows of one id one stays after near-dedup; a text that is wholly cut stays as an
+duplicates; of rows equal in id and text one stays after near-dedup, different texts of one id are
+documents of their own; a text that is wholly cut stays as an
 empty text (packed as its end id); empty tables give empty results.
 """
 
@@ -15,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import table
+from touchline.llm.common import checkpointed, table
 from touchline.llm.decontamination import drop_leaks
 from touchline.llm.packing import pack
 from touchline.llm.quality_rules import judge
@@ -37,10 +38,19 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked fingerprints."""
-    kept = near_duplicates(docs, SHINGLE, RADIUS).where("doc_id = component_id").select(F.col("doc_id").alias("_tl_id")).distinct()
-    first = docs.join(kept, F.col("doc_id").cast("bigint") == F.col("_tl_id"), "left_semi").dropDuplicates(["doc_id"])
-    return first.union(docs.where("doc_id is null")).select(*_columns(docs))
+    """The document with the smallest id of each group of linked fingerprints. Of equal rows (id and text) one
+    stays; an id with several texts stands for several documents, each linked on its own behind all others."""
+    known = docs.where("doc_id is not null").withColumn("_tl_key", F.col("doc_id").cast("bigint"))
+    seen = F.xxhash64(F.coalesce("text", F.lit("")))
+    several = checkpointed(known.groupBy("_tl_key").agg(F.min(seen).alias("a"), F.max(seen).alias("b")).where("a <> b").select("_tl_key"))
+    if not several.isEmpty():
+        own = F.lit(1 << 62) + F.pmod(F.xxhash64("_tl_key", F.coalesce("text", F.lit(""))), F.lit(1 << 61))
+        known = known.join(several.withColumn("_tl_several", F.lit(True)), "_tl_key", "left").withColumn(
+            "_tl_key", F.when(F.col("_tl_several"), own).otherwise(F.col("_tl_key"))).drop("_tl_several")
+    linked = near_duplicates(known.select(F.col("_tl_key").alias("doc_id"), "text"), SHINGLE, RADIUS)
+    kept = linked.where("doc_id = component_id").select(F.col("doc_id").alias("_tl_key")).distinct()
+    first = known.join(kept, "_tl_key", "left_semi").dropDuplicates(["_tl_key"])
+    return first.select(*_columns(docs)).union(docs.where("doc_id is null").select(*_columns(docs)))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
