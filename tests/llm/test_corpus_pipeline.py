@@ -61,3 +61,11 @@ def test_edges(make_docs, spark, empty):
     if not empty:
         once = sorted((r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()), key=str)
         assert once == sorted([1, 3, 7, None], key=str) or once == sorted([1, 3, 4, 7, None], key=str)
+
+
+def test_different_texts_of_one_id_are_documents_of_their_own(make_docs, spark):
+    def text(tag, n=80):
+        return " ".join(f"{tag}{i}" for i in range(n))
+    rows = [(1, text("a")), (5, text("b")), (5, text("c")), (5, text("c")), (5, text("a")), (8, text("c")), (9, text("d")), (9, text("e"))]
+    got = corpus_pipeline.near_dedup(spark, make_docs(rows).repartition(3), "").collect()
+    assert sorted((r.doc_id, r.text[0]) for r in got) == [(1, "a"), (5, "b"), (8, "c"), (9, "d"), (9, "e")]
