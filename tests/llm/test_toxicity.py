@@ -64,3 +64,12 @@ def test_edges(make_docs, spark):
         assert {r.clauses for r in got if r.doc_id in (3, 5)} == {1}
     assert score_toxicity(docs.limit(0), spark.createDataFrame([], LABELS)).count() == 0
     assert evidence("", Lexicon({})) == [0.0] * 4 and END == 1
+
+
+def test_a_repeated_labelled_id_is_one_row_of_the_sample(spark):
+    from touchline.llm.labelled import sample_documents
+    docs = spark.range(3000).selectExpr("case when id < 2900 then 7 else id end as doc_id", "concat('text ', id) as text")
+    training = spark.createDataFrame([(7, 1), (7, 1), (2950, 0), (2951, 0), (2952, 0)], "doc_id bigint, y int")
+    got = sample_documents(docs, training, 2).collect()
+    assert sorted((r.y, r.doc_id == 7) for r in got) == [(0, False), (0, False), (1, True)]
+    assert [r.text for r in got if r.y == 1] == ["text 0"]

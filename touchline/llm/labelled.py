@@ -17,12 +17,15 @@ def training_labels(labels: DataFrame, label: str, mod: int, held: int) -> DataF
 
 
 def sample_documents(docs: DataFrame, training: DataFrame, per_class: int) -> DataFrame:
-    """``doc_id, y, text`` of at most ``per_class`` training rows of each label (smallest id hashes first).
+    """``doc_id, y, text`` of at most ``per_class`` training ids of each label (smallest id hashes first), a row
+    each: of several rows of one id the smallest text stands for it, reduced before the shuffle.
 
     The ids are bounded by the parameter, so they may be broadcast to the scan of the texts."""
+    training = training.distinct()
     parts = [training.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     ids = parts[0].union(parts[1])
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def sigmoid(x):
