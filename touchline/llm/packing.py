@@ -25,22 +25,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from touchline.llm.common import checkpointed, chunks, doc_rows, importable, table
-from touchline.llm.wordcache import WordCache, cache
+from touchline.llm.wordcache import GENERATION, WordCache, cache
 
 CAPACITY = 4096
 GRID = 8
 END_ID = 2
+#: Words a worker remembers where packing has the executors to itself (about 200 bytes each, twice).
+ALONE = 700_000
 PIECES = ("doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
           "task int, class int, number bigint")
 
 
-def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, grid: int = GRID) -> DataFrame:
+def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, grid: int = GRID,
+               generation: int = GENERATION) -> DataFrame:
     """Pieces of at most ``capacity`` ids, numbered per (task, length class)."""
     tail = np.array([end_id], "<u4").tobytes()
     names = [c.split()[0] for c in PIECES.split(", ")]
 
     def run(batches):
-        words, seen, task = cache(path, "ids"), {}, TaskContext.get().partitionId()
+        words, seen, task = cache(path, "ids", generation), {}, TaskContext.get().partitionId()
         for b in batches:
             out = []
             for part in chunks(doc_rows([b])):
@@ -155,10 +158,11 @@ def slot_table(classes: np.ndarray, patterns: list[tuple[np.ndarray, int]]) -> d
     return dict(zip(("class", "rank", "each", "sequence", "slot"), cols))
 
 
-def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, grid: int = GRID) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, grid: int = GRID,
+         generation: int = GENERATION) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``, a row per piece."""
     spark = docs.sparkSession
-    pieces = checkpointed(cut_pieces(docs, path, capacity, end_id, grid))
+    pieces = checkpointed(cut_pieces(docs, path, capacity, end_id, grid, generation))
     per_task = checkpointed(pieces.groupBy("task", "class").agg(F.count(F.lit(1)).alias("n")))
     histogram = per_task.groupBy("class").agg(F.sum("n").alias("n")).orderBy("class").collect()  # <= capacity / grid rows
     classes = np.array([r["class"] for r in histogram], np.int64)
@@ -188,4 +192,4 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
-    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), generation=ALONE)

@@ -3,7 +3,7 @@
 The normaliser and pre-tokeniser of the word vocabulary never join characters across ASCII
 white space, so the ids of a text are the ids of its words one after the other. A word is
 encoded by the library once and then looked up. The cache holds at most two generations of
-``GENERATION`` words: words not seen for a whole generation are forgotten, so memory stays
+``generation`` words: words not seen for a whole generation are forgotten, so memory stays
 bounded however many distinct words a corpus has.
 """
 
@@ -25,11 +25,11 @@ _ENDS = frozenset(b".,!")
 class WordCache:
     """``value(ids)`` of every word, where ``value`` is 'ids' (little-endian uint32 bytes) or 'count'."""
 
-    def __init__(self, path: str, value: str):
+    def __init__(self, path: str, value: str, generation: int = GENERATION):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path)
-        self.as_ids = value == "ids"
+        self.as_ids, self.generation = value == "ids", generation
         self.mark = self.tok.token_to_id(_MARK)
         self.young: dict = {}
         self.old: dict = {}
@@ -82,7 +82,7 @@ class WordCache:
             distinct.update(words)
         young = self.young
         missing = distinct.difference(young)
-        if len(young) + len(missing) > GENERATION:
+        if len(young) + len(missing) > self.generation:
             self.old, self.young = young, {}
             young = self.young
             missing = distinct
@@ -108,6 +108,6 @@ class WordCache:
         return text.split() if b"<|" in text else text.lower().split()
 
 
-def cache(path: str, value: str) -> WordCache:
+def cache(path: str, value: str, generation: int = GENERATION) -> WordCache:
     """One cache per Python worker, kept over the tasks of one operator."""
-    return held((path, value), lambda: WordCache(path, value))
+    return held((path, value, generation), lambda: WordCache(path, value, generation))
