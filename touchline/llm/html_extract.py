@@ -1,19 +1,25 @@
 """Operator 8, HTML extraction: a minimum cut separates a page's content blocks from its boilerplate.
 
 A tolerant tag reader splits a page into text blocks, each with the open elements around it. A linear
-classifier over tag, ancestor, class-name, link and length evidence gives a block a cost for either
-label: positive evidence becomes its capacity from the source (content), negative its capacity to the
-sink (boilerplate). Neighbouring blocks and blocks of one parent element are joined by smoothness
-edges. The maximum flow's source side is the content, in page order.
+classifier over length, link share, sentence ends, share of the page's text in the block's container,
+element and names gives a block log odds: above zero they are its capacity from the source (content),
+below its capacity to the sink (boilerplate). Blocks near each other in the document tree are joined by
+smoothness edges, weaker with each element between them and across sections. Costs and edges are of one
+scale: a short line between paragraphs follows them, a paragraph of a menu follows the menu. The maximum
+flow's source side is the content, in page order.
+
+Names (class, id, role) are read as compounds: the last word that says something decides; a name that
+only mentions a boilerplate word counts less the more of the page's text its element holds.
 
 Defined results: null or empty html gives an empty text; unclosed, crossed and cut-off tags are read
 as far as they go; repeated rows give repeated rows; an empty table gives no row; only ``page_id``,
-``url`` and ``html`` are read. Memory and edges are linear in the page.
+``url`` and ``html`` are read. Memory, edges and reading time are linear in the page.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections import deque
 
@@ -43,67 +49,131 @@ _IMPLIED = {"li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"])),
             "tr": (frozenset(["tr"]), frozenset(["table"])), "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
             "dd": (frozenset(["dt", "dd"]), frozenset(["dl"]))}
 
-#: Evidence for (above zero) or against content. Of elements around a block the strongest counts.
-ELEMENT = {"nav": -9.0, "footer": -9.0, "header": -7.0, "aside": -9.0, "menu": -9.0, "form": -5.0, "button": -9.0, "dialog": -9.0,
-           "fieldset": -5.0, "legend": -5.0, "option": -9.0, "head": -20.0}
-BAD_HINT, GOOD_HINT, ARTICLE = -8.0, 3.0, 3.0
-OWN = {"p": 1.0, "pre": 1.0, "blockquote": 1.0, "h1": 1.0, "h2": 0.8, "h3": 0.8, "h4": 0.6, "h5": 0.5, "h6": 0.5, "li": 0.2,
-       "td": 0.2, "dd": 0.4, "figcaption": 0.4}
-BIAS, LINKS, PER_WORD, MOST_WORDS, STOP = -0.5, -3.0, 0.08, 2.0, 0.4
-#: Smoothness: neighbours under one parent, neighbours across parents, next block of the same parent.
-NEAR, ACROSS, SIBLING = 1.0, 0.2, 0.5
-
-BAD_WORDS = frozenset("""ad ads adv advert adverts advertisement advertising advertorial alert banner bar breadcrumb breadcrumbs
-comment comments consent cookie cookies copyright disclaimer discussion disqus follow foot footer form gdpr header hidden login
-masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination popup popular
-privacy promo promoted promotion recommend recommended related replies reply respond search share sharing sidebar signup
-skip social sponsor sponsored subscribe subscription taboola tags teaser toolbar topbar trending warning widget
-banner contentinfo complementary""".split())
-GOOD_WORDS = frozenset("article articlebody body content entry main post story text".split())
-
-
-def _hints(attributes: str) -> tuple[float, float]:
-    """(evidence against, evidence for) from class, id, role and hiding attributes."""
-    bad = good = 0.0
+#: Log odds for (above zero) or against content. Of elements around a block the strongest counts.
+ELEMENT = {"nav": -6.0, "footer": -6.0, "header": -5.0, "aside": -6.0, "menu": -6.0, "form": -4.0, "button": -6.0, "dialog": -6.0,
+           "fieldset": -4.0, "legend": -4.0, "option": -6.0, "head": -20.0}
+#: A name of comments is firmer than others: it is never taken for that of a wrapper of the article.
+NAMED, COMMENTS, HIDDEN, GOOD_NAME, ARTICLE, ANSWER = -5.0, -5.5, -9.0, 1.5, 2.0, -5.0
+OWN = {"p": 0.5, "pre": 0.5, "blockquote": 0.5, "h1": 1.0, "h2": 0.7, "h3": 0.6, "h4": 0.5, "h5": 0.4, "h6": 0.4, "li": 0.0,
+       "td": 0.0, "dd": 0.2, "figcaption": 0.2}
+BIAS, LINKS, STOP, RIGHTS = -0.5, -4.0, 0.5, -1.5
+#: Length: log2 of words over the first, times the second, within the others.
+USUAL, PER_DOUBLING, SHORTEST, LONGEST = 8, 0.9, -1.5, 2.5
+#: A container without unlinked words, and what one with this share of the page's adds to that.
+POOR, RICH, RICH_SHARE = -1.0, 2.5, 0.25
+#: Smoothness of two blocks side by side, less by half for each further element between them; the next block of
+#: the same container; across sections.
+NEAR, SIBLING, ACROSS = 2.5, 0.8, 0.25
+#: Elements whose blocks count to the container around them.
+LISTS = frozenset("dir dl figure menu ol table tbody thead tr ul".split())
+SECTIONS = frozenset("article aside body dialog footer form header main menu nav section".split())
+
+COMMENT_WORDS = frozenset("""comment comments commenting disqus discussion replies reply respond kommentar kommentare leserkommentare
+commentaire commentaires comentario comentarios""".split())
+BAD_WORDS = COMMENT_WORDS | frozenset("""ad ads adv advert adverts advertisement advertising advertorial alert anuncio anuncios anzeige anzeigen
+banner bar breadcrumb breadcrumbs complementary consent contentinfo cookie cookies copyright disclaimer foot footer form gdpr header hidden
+hinweis login masthead menu modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination
+popular popup privacy promo promoted promotion publicidad publicite recommend recommended related search share sharing sidebar signup skip
+social sponsor sponsored subscribe subscription taboola tags teaser toolbar topbar trending warning werbung widget""".split())
+GOOD_WORDS = frozenset("article articlebody artikel beitrag entry post story".split())
+#: Words that say nothing beside another word.
+PLAIN_WORDS = frozenset("""area block body bottom box col column container content first global inner item items last left list main outer page
+right row section site text top wrap wrapper zone""".split())
+
+
+def name_evidence(name: str) -> tuple[float, bool]:
+    """(evidence, whether it is the name's meaning and not only a part of it) of one class, id or role."""
+    words = [w.lower() for w in _HINT_WORD.findall(name)]
+    told = [w for w in words if w not in PLAIN_WORDS]
+    if not told:
+        return (GOOD_NAME if words else 0.0), True
+    bad = sum(w in BAD_WORDS for w in told)
+    if told[-1] == "header" and GOOD_WORDS.intersection(told):
+        return 0.0, True
+    if told[-1] in BAD_WORDS:
+        return (COMMENTS if COMMENT_WORDS.intersection(told) else NAMED), True
+    if told[-1] in GOOD_WORDS:
+        return GOOD_NAME, True
+    return NAMED * bad / len(told), False
+
+
+def _names(attributes: str) -> tuple[float, float, float]:
+    """(firm evidence against, evidence against from parts of names, evidence for) from class, id, role and hiding."""
+    firm = partly = good = 0.0
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            bad = BAD_HINT
+            firm = HIDDEN
         elif name in ("class", "id", "role"):
-            words = {w.lower() for w in _HINT_WORD.findall(value)}
-            if words & BAD_WORDS:
-                bad = BAD_HINT
-            if words & GOOD_WORDS:
-                good = GOOD_HINT
-    return bad, good if not bad else 0.0
+            for one in value.split():
+                told, whole = name_evidence(one)
+                good = max(good, told)
+                if whole and told < 0:
+                    firm = min(firm, told)
+                else:
+                    partly = min(partly, told)
+    return firm, partly, 0.0 if firm else good
 
 
 class Block:
-    __slots__ = ("text", "linked", "tag", "parent", "against", "in_favour")
+    """A text block: its words and linked characters, where it hangs, and what the elements around it say.
+
+    ``steps`` are the elements closed and opened since the block before; ``share`` is its container's part of
+    the page's unlinked words."""
+    __slots__ = ("text", "words", "linked", "tag", "container", "section", "steps", "against", "partly", "holder", "in_favour", "share")
+
+    def __init__(self, text, linked, tag, container, section, steps, against, partly, holder, in_favour):
+        self.text, self.words, self.linked, self.tag, self.container = text, text.count(" ") + 1, linked, tag, container
+        self.section, self.steps, self.against, self.partly, self.holder, self.in_favour = section, steps, against, partly, holder, in_favour
+        self.share = 0.0
+
+    def plain_words(self) -> float:
+        return self.words * (1.0 - min(1.0, self.linked / len(self.text)))
+
+
+class Open:
+    """An open block element and the evidence inherited through it; ``holder`` is the element of the partly bad name."""
+    __slots__ = ("tag", "number", "container", "section", "against", "partly", "holder", "in_favour", "article", "before")
 
-    def __init__(self, text, linked, tag, parent, against, in_favour):
-        self.text, self.linked, self.tag, self.parent, self.against, self.in_favour = text, linked, tag, parent, against, in_favour
+    def __init__(self, tag, number, container, section, against, partly, holder, in_favour, article, before):
+        self.tag, self.number, self.container, self.section, self.against = tag, number, container, section, against
+        self.partly, self.holder, self.in_favour, self.article, self.before = partly, holder, in_favour, article, before
 
 
 def read_blocks(page: str) -> list[Block]:
     """Text blocks in page order with what the elements around them say."""
     blocks: list[Block] = []
-    # an open block element: tag, number, evidence against and for, inherited
-    stack: list[tuple] = [("", 0, 0.0, 0.0)]
-    numbers, held, links, linked = 0, [], 0, 0
+    stack = [Open("", 0, 0, 0, 0.0, 0.0, 0, 0.0, -1, 0.0)]
+    places: dict[str, list[int]] = {}  # where elements of a tag are on the stack
+    held: list[str] = []
+    numbers, links, linked, lowest = 0, 0, 0, 0
+    plain, inside = 0.0, {}  # unlinked words so far; those of each closed element with a partly bad name
 
     def flush():
-        nonlocal held, linked
+        nonlocal held, linked, lowest, plain
         text = " ".join(entities.unescape("".join(held)).split()) if held else ""
         if text:
-            tag, number, against, in_favour = stack[-1]
-            parent = stack[-2][1] if len(stack) > 1 and tag in OWN else number
-            blocks.append(Block(text, linked, tag, parent, against, in_favour))
+            top, depth = stack[-1], len(stack) - 1
+            steps = (flush.depth - lowest) + (depth - lowest)
+            blocks.append(Block(text, linked, top.tag, top.container, top.section, steps, top.against, top.partly, top.holder, top.in_favour))
+            plain += blocks[-1].plain_words()
+            flush.depth = lowest = depth
         held, linked = [], 0
 
+    flush.depth = 0
+
     def close(to):
+        nonlocal lowest
         flush()
-        del stack[to:]
+        while len(stack) > to:
+            gone = stack.pop()
+            places[gone.tag].pop()
+            if gone.holder == gone.number:
+                inside[gone.number] = plain - gone.before
+        lowest = min(lowest, len(stack) - 1)
+
+    def last(tags):
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     at = 0
     for m in _TAG.finditer(page):
@@ -125,66 +195,79 @@ def read_blocks(page: str) -> list[Block]:
         if tag not in BLOCK:
             continue
         if ending:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
+            if places.get(tag):
+                close(places[tag][-1])
             else:
                 flush()
             continue
         flush()
         links = 0
-        if stack[-1][0] == "p" or (tag[0] == "h" and stack[-1][0] in ("h1", "h2", "h3", "h4", "h5", "h6")):
+        if stack[-1].tag == "p" or (tag[0] == "h" and stack[-1].tag in ("h1", "h2", "h3", "h4", "h5", "h6")):
             close(len(stack) - 1)
         if tag in _IMPLIED:
             same, border = _IMPLIED[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in border:
-                    break
-                if stack[i][0] in same:
-                    close(i)
-                    break
-        if tag in ("body", "article", "main") and any(s[0] == "head" for s in stack):
-            close(next(i for i, s in enumerate(stack) if s[0] == "head"))
+            if last(same) > last(border):
+                close(last(same))
+        if tag in ("body", "article", "main") and places.get("head"):
+            close(places["head"][0])
         if tag in VOID:
             continue
         numbers += 1
-        _, _, against, in_favour = stack[-1]
-        bad, good = (0.0, 0.0) if tag in ("html", "body") or not attributes else _hints(attributes)
+        top = stack[-1]
+        against, partly, holder, in_favour, article = top.against, top.partly, top.holder, top.in_favour, top.article
+        firm, part, good = (0.0, 0.0, 0.0) if tag in ("html", "body") or not attributes else _names(attributes)
         own = ELEMENT.get(tag, 0.0)
-        if tag == "header" and in_favour >= ARTICLE:
-            own = -1.0  # the heading of an article
-        if tag in ("article", "main"):
+        if tag == "header" and article >= 0:
+            own = 0.0  # the heading of an article
+        if tag == "article" and 0 <= article < len(blocks):
+            own, in_favour = ANSWER, 0.0  # an article after another's text and inside it answers it
+        elif tag in ("article", "main"):
+            if against == NAMED:
+                against *= 0.25  # the name of a wrapper says little about the article in it
             in_favour = max(in_favour, ARTICLE)
-            if not bad and against > ELEMENT["nav"]:
-                against *= 0.25  # a name on a wrapper says little about the article inside
-        stack.append((tag, numbers, min(against, bad, own), max(in_favour, good)))
+            if tag == "article":
+                article = len(blocks)
+        if part < partly:
+            partly, holder = part, numbers
+        if min(firm, own) < 0:
+            in_favour = 0.0  # boilerplate set into an article
+        stack.append(Open(tag, numbers, top.container if tag in OWN or tag in LISTS else numbers, numbers if tag in SECTIONS or firm < 0 else top.section,
+                          min(against, firm, own), partly, holder, max(in_favour, good), article, plain))
+        places.setdefault(tag, []).append(len(stack) - 1)
     if at < len(page):
         held.append(page[at:])
         if links:
             linked += len(page) - at
-    flush()
+    close(1)
+    containers: dict[int, float] = {}
+    for b in blocks:
+        containers[b.container] = containers.get(b.container, 0.0) + b.plain_words()
+    for b in blocks:
+        b.share = containers[b.container] / plain if plain else 0.0
+        if b.holder:
+            b.partly *= 1.0 - inside.get(b.holder, 0.0) / plain if plain else 1.0
     return blocks
 
 
 def evidence(b: Block) -> float:
-    """Linear classifier: above zero content is likelier."""
-    n = len(b.text)
-    words = b.text.count(" ") + 1
-    score = BIAS + b.against + b.in_favour + OWN.get(b.tag, 0.0) + LINKS * min(1.0, b.linked / n) + min(MOST_WORDS, PER_WORD * words)
-    return score + (STOP if b.text[-1] in ".!?…。" else 0.0)
+    """Linear classifier: log odds of content."""
+    length = min(LONGEST, max(SHORTEST, PER_DOUBLING * math.log2(b.words / USUAL)))
+    score = BIAS + min(b.against, b.partly) + b.in_favour + OWN.get(b.tag, 0.0) + LINKS * min(1.0, b.linked / len(b.text)) + length
+    rich = POOR + RICH * min(1.0, b.share / RICH_SHARE)
+    score += min(0.0, rich) if b.against <= NAMED else rich  # much boilerplate is no article
+    return score + (STOP if b.text[-1] in ".!?…。" else 0.0) + (RIGHTS if b.text[0] == "©" else 0.0)
 
 
 def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
-    """Edges (i, j, capacity) between neighbours and between successive blocks of one parent."""
+    """Edges (i, j, capacity) between neighbours, by the elements between them, and between successive blocks of one container."""
     edges, last = [], {}
     for i, b in enumerate(blocks):
         if i:
-            edges.append((i - 1, i, NEAR if blocks[i - 1].parent == b.parent else ACROSS))
-        j = last.get(b.parent)
+            edges.append((i - 1, i, NEAR * 0.5 ** min(20, max(0, b.steps - 2)) * (1.0 if blocks[i - 1].section == b.section else ACROSS)))
+        j = last.get(b.container)
         if j is not None and j < i - 1:
             edges.append((j, i, SIBLING))
-        last[b.parent] = i
+        last[b.container] = i
     return edges
 
 
