@@ -1,11 +1,12 @@
 import itertools
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from touchline.llm.common import crc_mod
 from touchline.llm.toxicity import (END, GRAMMAR, INSULT, NEGATED, QUOTED, REPORTED, TARGETED, Lexicon, clauses, evidence,
-                                    op6_toxicity, score_toxicity, _TOKEN)
+                                    learn, op6_toxicity, score_toxicity, _TOKEN)
 
 LABELS = "doc_id bigint, quality int, toxic int"
 
@@ -73,3 +74,30 @@ def test_a_repeated_labelled_id_is_one_row_of_the_sample(spark):
     got = sample_documents(docs, training, 2).collect()
     assert sorted((r.y, r.doc_id == 7) for r in got) == [(0, False), (0, False), (1, True)]
     assert [r.text for r in got if r.y == 1] == ["text 0"]
+
+
+def brute_weights(rows):
+    """Log odds less 1.5 deviations of every word and beginning, from lists of all texts."""
+    toxic = [features_of(t) for _, y, t in rows if y == 1]
+    other = [features_of(t) for _, y, t in rows if y == 0]
+    out = {}
+    for f in set().union(*toxic):
+        a, b = sum(f in t for t in toxic), sum(f in t for t in other)
+        weight = math.log((a + 0.25) / (len(toxic) + 0.5) * (len(other) + 0.5) / (b + 0.25)) - 1.5 / math.sqrt(a + 0.25)
+        if a >= 3 and weight >= 2.0:
+            out[f] = min(6.0, weight)
+    return out
+
+
+def features_of(text):
+    return {w[:k] + "*" for w in text.split() for k in range(3, 9) if len(w) > k} | set(text.split())
+
+
+def test_weights_equal_brute_force_and_rare_insults_count_in_large_samples(spark):
+    # 5 of 2000 toxic texts hold the rare insult: 0.25 % of them, and none of the others
+    rows = [(i % 2, 1, f"grobian says word{i % 17} here" if i % 4 else f"word{i % 13} alone") for i in range(1995)]
+    rows += [(i % 2, 1, "schurke stands there") for i in range(5)] + [(i % 2, 0, f"word{i % 17} says here alone") for i in range(2000)]
+    got, _ = learn(spark.createDataFrame(rows, "half int, y int, text string").repartition(5))
+    want = {f: w for f, w in brute_weights(rows).items()}
+    assert got.keys() == want.keys() and all(got[f] == pytest.approx(want[f], abs=1e-9) for f in want)
+    assert "schurke" in got and "grobian" in got and "says" not in got

@@ -33,11 +33,11 @@ from touchline.llm.labelled import fit_logistic, sample_documents, sigmoid, trai
 MOD, HELD, CUT = 3, 1, 0.7
 #: Training documents of each label, at most.
 PER_CLASS = 8000
-#: A word or beginning is a candidate in at least this share (and number) of the toxic sample; so there are few.
-LEAST_SHARE, LEAST_DOCS = 0.004, 3
+#: A word or beginning counts from this many toxic training texts on, whatever the size of the sample.
+LEAST_DOCS = 3
 BEGINNINGS = (3, 4, 5, 6, 7, 8)
-#: Log odds above which a candidate is an insult, and the most that one word counts.
-LEAST_WEIGHT, MOST_WEIGHT = 1.5, 6.0
+#: Log odds above which a feature is an insult (four sightings and none elsewhere reach it, three don't), and the most that one word counts.
+LEAST_WEIGHT, MOST_WEIGHT = 2.0, 6.0
 CACHE_WORDS = 400_000
 
 NONE, END, INSULT, THREAT, TARGET, NEGATION, REPORT, QUOTE = range(8)
@@ -150,43 +150,43 @@ def evidence(text: str, lexicon: Lexicon) -> list[float]:
     return [math.log1p(total), max(scores) / MOST_WEIGHT, math.log1p(len(scores)), min(1.0, total / len(tokens))]
 
 
-def _count(rows: DataFrame, keep: frozenset | None) -> DataFrame:
-    """Documents per (feature, half, label) with the feature, added up per batch and then in Spark."""
+def _count(rows: DataFrame) -> DataFrame:
+    """Per feature, the documents with it of each label and half: ``f, a0, a1`` (toxic) and ``b0, b1`` (other)."""
     def run(batches):
         for b in batches:
             found: Counter = Counter()
             for half, y, text in zip(*(b.column(i).to_pylist() for i in range(3))):
-                own = {f for w in set(_TOKEN.findall((text or "").lower())) for f in features(w)}
-                found.update((f, half, y) for f in (own if keep is None else own & keep))
+                found.update((f, half, y) for f in {f for w in set(_TOKEN.findall((text or "").lower())) for f in features(w)})
             cols = list(zip(*((*k, n) for k, n in found.items()))) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()),
                                               pa.array(cols[3], pa.int64())], names=["f", "half", "y", "n"])
 
-    return rows.select("half", "y", "text").mapInArrow(run, "f string, half int, y int, n bigint").groupBy("f", "half", "y").agg(F.sum("n").alias("n"))
+    each = [F.sum(F.when((F.col("y") == y) & (F.col("half") == half), F.col("n")).otherwise(0)).alias(f"{name}{half}")
+            for name, y in (("a", 1), ("b", 0)) for half in (0, 1)]
+    return rows.select("half", "y", "text").mapInArrow(run, "f string, half int, y int, n bigint").groupBy("f").agg(*each)
 
 
-def learn_weights(counts: dict, sizes: dict, halves: tuple[int, ...]) -> dict[str, float]:
-    """Log odds of each feature over the given halves, where it speaks clearly for toxicity."""
+def _clear(halves: tuple[int, ...], sizes: dict):
+    """(weight, whether it counts) of a feature over the given halves: log odds less what few sightings leave open."""
     toxic, other = (sum(sizes.get((h, y), 0) for h in halves) for y in (1, 0))
-    out = {}
-    for f in {k[0] for k in counts}:
-        a, b = (sum(counts.get((f, h, y), 0) for h in halves) for y in (1, 0))
-        weight = math.log((a + 0.25) / (toxic + 0.5)) - math.log((b + 0.25) / (other + 0.5))
-        sure = weight - 1.5 / math.sqrt(a + 0.25)  # a few sightings prove little
-        if a >= LEAST_DOCS - (len(halves) < 2) and sure >= LEAST_WEIGHT:
-            out[f] = min(MOST_WEIGHT, sure)
-    return out
+    a, b = (sum((F.col(f"{name}{h}") for h in halves), F.lit(0)) for name in "ab")
+    sure = F.log((a + 0.25) / (toxic + 0.5)) - F.log((b + 0.25) / (other + 0.5)) - 1.5 / F.sqrt(a + 0.25)
+    return F.least(sure, F.lit(MOST_WEIGHT)), (a >= LEAST_DOCS - (len(halves) < 2)) & (sure >= LEAST_WEIGHT)
+
+
+def learn_weights(counts: DataFrame, sizes: dict) -> list[dict[str, float]]:
+    """Weights of the features that speak clearly for toxicity: by half 0, by half 1, by both."""
+    found = [_clear(h, sizes) for h in ((0,), (1,), (0, 1))]
+    clear = counts.select("f", *(F.when(ok, w).alias(f"w{i}") for i, (w, ok) in enumerate(found))).where("coalesce(w0, w1, w2) is not null").collect()
+    return [{r.f: r[i + 1] for r in clear if r[i + 1] is not None} for i in range(3)]
 
 
 def learn(sample: DataFrame) -> tuple[dict[str, float], np.ndarray]:
     """(lexicon weights, curve) from a bounded sample ``half, y, text``."""
     spark = sample.sparkSession
     sizes = {(r.half, r.y): r["count"] for r in sample.groupBy("half", "y").count().collect()}
-    toxic = sum(n for (_, y), n in sizes.items() if y == 1)
-    most = _count(sample.where("y = 1"), None).groupBy("f").agg(F.sum("n").alias("n"))
-    candidates = frozenset(r.f for r in most.where(F.col("n") >= max(LEAST_DOCS, math.ceil(LEAST_SHARE * toxic))).collect())
-    counts = {(r.f, r.half, r.y): r.n for r in _count(sample, candidates).collect()}
-    lexicons = spark.sparkContext.broadcast([learn_weights(counts, sizes, (1,)), learn_weights(counts, sizes, (0,))])
+    by_first, by_second, by_both = learn_weights(_count(sample), sizes)
+    lexicons = spark.sparkContext.broadcast([by_second, by_first])
 
     def run(batches):
         made = [Lexicon(w) for w in lexicons.value]
@@ -197,7 +197,7 @@ def learn(sample: DataFrame) -> tuple[dict[str, float], np.ndarray]:
                                              names=["y", "a", "b", "c", "d"])
 
     seen = sample.select("half", "y", "text").mapInArrow(run, "y int, a double, b double, c double, d double").toPandas().to_numpy(float)
-    return learn_weights(counts, sizes, (0, 1)), fit_logistic(seen[:, 1:], seen[:, 0], ridge=0.05)
+    return by_both, fit_logistic(seen[:, 1:], seen[:, 0], ridge=0.05)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, mod: int = MOD, held: int = HELD, cut: float = CUT, per_class: int = PER_CLASS) -> DataFrame:
@@ -206,7 +206,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, mod: int = MOD, held: int
     sample = checkpointed(sample_documents(docs, training_labels(labels, "toxic", mod, held), per_class).select(
         F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int").alias("half"), "y", "text"))
     weights, curve = learn(sample)
-    model = spark.sparkContext.broadcast((weights, curve))  # bounded by the candidates' least share
+    model = spark.sparkContext.broadcast((weights, curve))  # features of several toxic texts of the bounded sample
 
     def run(batches):
         lexicon, b_ = Lexicon(model.value[0]), model.value[1]
