@@ -81,6 +81,12 @@ def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first)
 
 
+def distinct_numbers(a: np.ndarray) -> np.ndarray:
+    """Distinct numbers, ascending, by sorting (several times as fast as numpy's hashing for these)."""
+    a = np.sort(a)
+    return a[np.concatenate([[True], a[1:] != a[:-1]])] if len(a) else a
+
+
 def _pack(keys: np.ndarray, counts: np.ndarray) -> bytes:
     """Ascending keys (as differences) and counts, compressed."""
     delta = np.diff(keys, prepend=np.uint64(0))
@@ -283,7 +289,7 @@ def sample_splitters(docs: DataFrame, total: int, buckets: int, order: int = ORD
     """At most ``buckets - 1`` backward contexts that deal the distinct strings of a bounded sample evenly."""
     def strings(batches):
         for part in chunks((None, t.lower()) for t in (t for b in batches for t in text_bytes(b.column(0)))):
-            r = np.unique(backward(strings_of([t for _, t in part], order)[0]))
+            r = distinct_numbers(backward(strings_of([t for _, t in part], order)[0]))
             keep = r[(r * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40) & np.uint64(SAMPLE_EVERY - 1) == 0]
             yield pa.RecordBatch.from_arrays([pa.array(keep.view(np.int64), pa.int64())], names=["string"])
 
@@ -399,7 +405,7 @@ def _answer_strings(rows: pa.Table, learned: pa.Table, order: int, splitters: np
     k, n = _unpack(learned.column("payload")[0].as_py()) if learned.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     trie = bucket_trie(-1 - rows.column("bucket")[0].as_py(), k, n, order, splitters, reach)
     asked = [_unpack_keys(p) for p in rows.column("words").to_pylist()]
-    every = np.unique(np.concatenate(asked))
+    every = distinct_numbers(np.concatenate(asked))
     values, code = np.unique(trie.log10(every), return_inverse=True)
     return pa.table([rows.column("bucket"), rows.column("home"),
                      pa.array([_pack_logs(values, code[np.searchsorted(every, a)]) for a in asked], pa.binary())], names=["bucket", "home", "counts"])
@@ -440,17 +446,22 @@ def _word_tables(rows: pa.Table, buckets: int, mod: int, held: int) -> list[tupl
         else:
             count.update(words)
             count[_END_WORD] += 1
-    dealt: dict[int, list] = {}
-    for w in sorted(others.union(count)):
-        dealt.setdefault(zlib.crc32(w) % buckets, []).append(w)
-    return [(b, ws, np.array([count[w] for w in ws], "<i8")) for b, ws in sorted(dealt.items())]
+    return [(b, ws, np.array([count[w] for w in ws], "<i8")) for b, ws in _deal_words(others.union(count), buckets)]
+
+
+def _deal_words(words: set, buckets: int) -> list[tuple[int, list[bytes]]]:
+    """(bucket, its words in order)."""
+    dealt: list[list] = [[] for _ in range(buckets)]
+    for w in sorted(words):
+        dealt[zlib.crc32(w) % buckets].append(w)
+    return [(b, ws) for b, ws in enumerate(dealt) if ws]
 
 
 def _ask(rows: pa.Table, buckets: int, order: int, splitters: np.ndarray, mod: int, held: int) -> pa.Table:
     """Words with their training counts, and distinct strings, of a home group, a row for each bucket."""
     release()
     home = rows.column(_HOME)[0].as_py()
-    k = np.unique(np.concatenate([np.unique(backward(strings_of([t.lower() for _, t in part], order)[0]))
+    k = distinct_numbers(np.concatenate([distinct_numbers(backward(strings_of([t.lower() for _, t in part], order)[0]))
                                   for part in chunks(((None, t) for t in text_bytes(rows.column("text"))), _SCORE_BYTES)]))
     strings = [(-1 - b, home, _pack_keys(own), None) for b, own in enumerate(np.split(k, np.searchsorted(k, splitters))) if len(own)]
     got = strings + [(b, home, zstandard.compress(b" ".join(ws), 1), zstandard.compress(n.tobytes(), 1)) for b, ws, n in _word_tables(rows, buckets, mod, held)]
@@ -483,7 +494,7 @@ def _string_scores(texts: list[bytes], order: int, back: dict) -> np.ndarray:
         r, sizes = strings_of([t for _, t in part], order)
         distinct, of = np.unique(backward(r), return_inverse=True)
         parts.append((distinct, of.astype(np.int32), sizes))
-    every = np.unique(np.concatenate([p[0] for p in parts]))
+    every = distinct_numbers(np.concatenate([p[0] for p in parts]))
     log = np.concatenate([_unpack_logs(back[b]) for b in sorted((b for b in back if b < 0), reverse=True)])
     return np.concatenate([np.add.reduceat(log[np.searchsorted(every, d)][of], np.cumsum(sizes) - sizes) for d, of, sizes in parts])
 
@@ -501,13 +512,13 @@ def _score_home(rows: pa.Table, answers: pa.Table, buckets: int, mod: int, held:
     back = dict(zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist()))
     ids, texts = rows.column("doc_id").to_pylist(), [t.lower() for t in text_bytes(rows.column("text"))]
     scores = _string_scores(texts, order, back)
-    for b, ws, _ in _word_tables(rows, buckets, mod, held):
+    for b, ws in _deal_words({_END_WORD}.union(*(t.split() for t in texts)), buckets):
         counts.update(zip(ws, np.frombuffer(zstandard.decompress(back[b]), "<i8").tolist()))
     tokens, known, logs = [], [], []
     for t in texts:
         words = t.split()
         words.append(_END_WORD)
-        c = np.fromiter(map(counts.__getitem__, words), np.float64, len(words))
+        c = np.array([counts[w] for w in words], np.float64)
         tokens.append(len(words))
         known.append(int((c > 0).sum()))
         logs.append(float(np.log10(c + 0.1).sum()))
