@@ -122,3 +122,22 @@ def test_hot_anchors_equal_brute_force(make_docs, monkeypatch):
     monkeypatch.setattr(sd, "sample_splitters", lambda *a: np.repeat(lead[n > 5], 2))
     assert (n > 5).sum() > 1
     assert engine(make_docs(rows)) == brute(rows)
+
+
+def test_only_frequent_leads_repeat_however_many_buckets(make_docs, monkeypatch):
+    rnd = random.Random(11)
+    rows = [(i, "".join(rnd.choice("abcdefghij klm") for _ in range(400))) for i in range(150)]
+    rows += [(200 + i, rows[i][1][:60 + i] + "z" * 70) for i in range(40)]
+    docs = make_docs(rows)
+    total = sum(len(t) for _, t in rows)
+    monkeypatch.setattr(sd, "SAMPLE_BYTES", 1000)
+    few = sd.sample_splitters(docs, total, 3)  # the sample grows with the buckets: all texts are asked here
+    many = sd.sample_splitters(docs, total, 5000)
+    assert len(few) == 2 < len(many) < 5000
+    lead, n = np.unique(many, return_counts=True)
+    buf = "".join(t for _, t in rows).encode()
+    p, _, _, _ = sd.anchor_runs(buf, np.array([0]), np.array([len(buf)]))
+    seen = dict(zip(*(a.tolist() for a in np.unique(sd.Words(buf).at(p, ">"), return_counts=True))))
+    assert all(seen[x] >= sd.LEADS_PER_BUCKET for x in lead[n > 1].tolist())
+    monkeypatch.setattr(sd, "HOME_BYTES", 2000)
+    assert engine(docs) == brute(rows)

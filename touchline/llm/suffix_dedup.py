@@ -45,6 +45,8 @@ ANCHOR = 16
 HOME_BYTES, SEGMENT = 6 << 20, 1 << 20
 #: Sampled text bytes for the splitters, and one in so many of their anchors.
 SAMPLE_BYTES, SAMPLE_EVERY = 8 << 20, 16
+#: The sample grows with the buckets: text bytes for each (some 30 leading words), and the leading words a splitter stands for at least.
+SAMPLE_PER_BUCKET, LEADS_PER_BUCKET = 8 << 10, 8
 _REACH = WINDOW - ANCHOR + 1
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _LOW, _SHIFT = np.uint64(0xFFFFFFFF), np.uint64(32)
@@ -371,7 +373,9 @@ def _cut(rows: pa.Table, spans: pa.Table, schema: pa.Schema) -> pa.Table:
 
 
 def sample_splitters(docs: DataFrame, total: int, buckets: int) -> np.ndarray:
-    """``buckets - 1`` leading words that deal the anchors of a bounded sample of texts evenly; one that fills a bucket alone comes twice or more."""
+    """At most ``buckets - 1`` leading words that deal the anchors of a sample of texts evenly; one that fills a bucket alone comes twice or more.
+
+    A splitter stands for ``LEADS_PER_BUCKET`` sampled leading words at least, so that only a frequent one is repeated."""
     def leads(batches):
         for b in batches:
             home = Home(pa.table({"doc_id": [0] * b.num_rows, "text": b.column(0)}))
@@ -379,12 +383,14 @@ def sample_splitters(docs: DataFrame, total: int, buckets: int) -> np.ndarray:
             keep = p[y % np.uint64(SAMPLE_EVERY) == 0]
             yield pa.RecordBatch.from_arrays([pa.array(Words(home.buf).at(keep, ">").view(np.int64), pa.int64())], names=["lead"])
 
-    part = docs.select("text").sample(min(1.0, SAMPLE_BYTES / max(1, total)), seed=7)
+    size = max(SAMPLE_BYTES, buckets * SAMPLE_PER_BUCKET)
+    part = docs.select("text").sample(min(1.0, size / max(1, total)), seed=7)
     got = part.mapInArrow(leads, "lead bigint").toPandas()["lead"].to_numpy(np.int64).view(np.uint64)
     got = np.sort(got)
     if not len(got):
         return np.zeros(0, np.uint64)
-    return got[np.arange(1, buckets) * len(got) // buckets]
+    ranges = min(buckets, max(1, len(got) // LEADS_PER_BUCKET))
+    return got[np.arange(1, ranges) * len(got) // ranges]
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
