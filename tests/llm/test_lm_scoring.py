@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from touchline.llm.lm_scoring import (END, Trie, adaptive_log10, add_up, count_strings, op1_lm_scoring, score_documents, strings_of, train)
+from touchline.llm.lm_scoring import (END, Trie, adaptive_log10, add_up, op1_lm_scoring, score_documents, strings_of)
 
 
 def low(t):
@@ -117,25 +117,12 @@ def test_symbols_share_all_probability():
         assert (10 ** trie.log10(every)).sum() == pytest.approx(1.0)
 
 
-def test_bound_prunes_alike_at_all_orders(make_docs):
-    rnd = random.Random(2)
-    docs = make_docs([(i, "".join(rnd.choice("abcdefgh ") for _ in range(200))) for i in range(60)])
-    small = train(docs, order=3, most=500)
-    assert 0 < sum(map(len, small.strings[1:])) <= 500
-    assert all(np.isin(small.strings[o] & np.uint64((1 << 8 * o) - 1), small.strings[o - 1]).all() for o in range(1, 4))
-    # order 1 is listed once a bucket: the bound counts at least what is kept
-    assert sum(r.n for r in count_strings(docs, 3).select(F.explode("sizes").alias("n")).collect()) >= sum(map(len, train(docs, 3).strings[1:]))
-
-
 def test_every_string_counts_at_any_size(make_docs, monkeypatch):
     import touchline.llm.lm_scoring as lm
     rnd = random.Random(3)
     rows = [(i, "".join(rnd.choice("abcde é") for _ in range(120))) for i in range(120)]
     monkeypatch.setattr(lm, "HOME_BYTES", 700)  # many buckets: contexts of every order reach over their ends
     monkeypatch.setattr(lm, "SAMPLE_EVERY", 1)
-    monkeypatch.setattr(lm, "MOST_STRINGS", 100)
-    # a cap as a parameter is lowered too
-    monkeypatch.setattr(lm.score_documents, "__defaults__", tuple(100 if x == 3 << 20 else x for x in lm.score_documents.__defaults__))
     assert len(lm.sample_splitters(make_docs(rows), 1, 20, 5)) > 15
     compare(score_documents(make_docs(rows), order=5).collect(), brute(rows, 5))
 

@@ -10,7 +10,7 @@ up over the buckets first and broadcast. The trie of a bucket is a sorted table
 context counts in how many longer ones a symbol was seen (update exclusion). A text's code length adds up,
 byte by byte, the symbol's share in the longest context that knows it and the escapes on the way there, with
 the symbols of the longer contexts excluded from the shorter ones; an unknown byte costs an equal share of the
-unseen ones. ``train`` gathers a bounded trie on the driver instead; no query uses it.
+unseen ones.
 
 Adaptive mode (``adaptive_log10``) codes one text with a trie that grows as it reads.
 
@@ -38,7 +38,6 @@ from touchline.llm.common import checkpointed, chunks, crc_mod, doc_rows, home_o
 from touchline.llm.suffix_dedup import words_at
 
 ORDER = 6
-MOST_STRINGS = 3 << 20
 MOD, HELD = 10, 0
 #: Text bytes of one home group.
 HOME_BYTES = 12 << 20
@@ -99,11 +98,6 @@ def _unpack(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(delta, dtype=np.uint64), counts.astype(np.int64)
 
 
-def context_buckets(strings: np.ndarray, buckets: int) -> np.ndarray:
-    pair = (strings >> np.uint64(8)) & np.uint64(0xFFFF)
-    return ((pair * np.uint64(0x9E3779B1)) >> np.uint64(7)) % np.uint64(buckets)
-
-
 def merged_strings(batches, order: int, mod: int, held: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct strings of a task's training texts, ascending, and their counts."""
     release()
@@ -119,37 +113,6 @@ def merged_strings(batches, order: int, mod: int, held: int) -> tuple[np.ndarray
     return add_up(np.concatenate(keys), np.concatenate(counts))
 
 
-def count_strings(docs: DataFrame, order: int = ORDER, buckets: int = 16, mod: int = MOD, held: int = HELD) -> DataFrame:
-    """``ord, sizes, payload``: for each bucket and order the strings with their counts (packed) and how
-    many of them were seen 1, 2-3, 4-7, ... times in all."""
-    def count(batches):
-        k, n = merged_strings(batches, order, mod, held)
-        if len(k):
-            b = context_buckets(k, buckets)
-            for i in range(buckets):
-                own = b == i
-                if own.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([_pack(k[own], n[own])], pa.binary())], names=["bucket", "payload"])
-
-    def merge(rows: pa.Table) -> pa.Table:
-        parts = [_unpack(p) for p in rows.column("payload").to_pylist()]
-        k, n = add_up(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-        out, seen = [], n
-        for o in range(order, 0, -1):
-            # k: strings of this order, n: what they count as, seen: occurrences (for the bound)
-            bins = np.bincount(np.log2(seen).astype(int), minlength=64)[:64]
-            out.append((o, bins.tolist(), _pack(k, n), _pack(k, seen)))
-            # a shorter context counts each distinct longer one once; order 1 is added up over buckets later
-            short = k & _MASK[o]
-            k, n = add_up(short, np.ones(len(short), np.int64))
-            seen = add_up(short, seen)[1]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.list_(pa.int64()), pa.binary(), pa.binary()))],
-                        names=["ord", "sizes", "payload", "seen"])
-
-    sent = importable(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(count, "bucket int, payload binary")
-    return sent.groupBy("bucket").applyInArrow(merge, "ord int, sizes array<bigint>, payload binary, seen binary")
-
-
 class Trie:
     """Sorted tables of strings and contexts, an entry per order."""
 
@@ -229,34 +192,6 @@ def backward(g: np.ndarray) -> np.ndarray:
     return (g >> _BYTE).byteswap() | (g & _SYMBOL)
 
 
-def train(docs: DataFrame, order: int = ORDER, most: int = MOST_STRINGS, mod: int = MOD, held: int = HELD) -> Trie:
-    """Trie of all training texts; at most ``most`` strings come to the driver."""
-    spark = docs.sparkSession
-    found = checkpointed(count_strings(docs, order, max(16, int(spark.conf.get("spark.sql.shuffle.partitions"))), mod, held))
-    sizes = np.zeros(64, np.int64)
-    for r in found.select("ord", F.posexplode("sizes").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).collect():
-        sizes[r.bin] = r.n
-    above = sizes[::-1].cumsum()[::-1]  # strings seen at least 2 ** bin times
-    least = 1 << int(np.argmax(above <= most))
-
-    def prune(batches):
-        for b in batches:
-            kept = []
-            for payload, seen in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                k, n = _unpack(payload)
-                keep = _unpack(seen)[1] >= least
-                kept.append(_pack(k[keep], n[keep]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary())], names=["ord", "payload"])
-
-    parts: dict[int, list] = {o: [(np.zeros(0, np.uint64), np.zeros(0, np.int64))] for o in range(order + 1)}
-    for r in found.select("ord", "payload", "seen").mapInArrow(prune, "ord int, payload binary").toLocalIterator():
-        parts[r.ord].append(_unpack(r.payload))
-    tables = [add_up(np.concatenate([p[0] for p in parts[o]]), np.concatenate([p[1] for p in parts[o]])) for o in range(order + 1)]
-    short = tables[1][0] & _MASK[1] if order else tables[0][0]
-    tables[0] = add_up(short, np.ones(len(short), np.int64))
-    return Trie(tables)
-
-
 def adaptive_log10(text: bytes, order: int = ORDER) -> float:
     """log10 probability of a text with its end under a trie that learns each byte after coding it."""
     trie: dict[bytes, Counter] = {}
