@@ -300,3 +300,34 @@ def test_a_second_run_goes_on_after_the_failed_step(spark, scratch, monkeypatch)
     assert sorted(r.player_id for r in read_table(spark, f"{bronze}/bronze_players").collect()) == ["1", "2"]
     assert sorted((r.run, r.step) for r in read_table(spark, f"{bronze}/ingest_steps").collect()) == [("monday", "fixtures"), ("monday", "squads")]
     assert ingest(spark, feeds, bronze, 7, 2024, run="tuesday")["fixtures"].startswith("error")
+
+
+def test_landed_records_are_taken_apart_once(spark, scratch):
+    from touchline.sources import feeds as FD
+    lines = ['{"response": {"matches": [{"id": 1, "home": {"id": 2}}, 7, null, {}]}}', '{"response": {"matches": []}}', '{"response": {"matches": 3}}', "[1", "null", "[]"]
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(f"{scratch}/landed")
+    rows = FD.match_records(spark, f"{scratch}/landed")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.response.matches, ArrayType") == 1 and "MapType" not in plan
+    got = sorted(((r.id, r.raw_json, r.reason) for r in rows.collect()), key=str)
+    at = "no list at $.response.matches"
+    assert got == sorted([("1", '{"home":{"id":2},"id":1}', None), (None, "{}", None), (None, "7", "not an object"), (None, "null", "not an object"),
+                          (None, None, at), (None, None, at), (None, None, "not JSON")], key=str)
+
+
+def test_only_what_is_set_aside_keeps_its_text_in_the_checkpoint(spark, scratch, monkeypatch):
+    from touchline.plans.pipelines import ingest
+    from touchline.sinks.tables import read_table
+    lines = ['{"response": {"matches": [{"id": 1}, {"id": 2}, 7]}}', "{"]
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(f"{scratch}/landed")
+    kept, kind = [], type(spark.range(1))
+    real = kind.checkpoint
+
+    def checkpoint(self, *args, **more):
+        kept.append(real(self, *args, **more))
+        return kept[-1]
+    monkeypatch.setattr(kind, "checkpoint", checkpoint)
+    assert ingest(spark, {"matches": f"{scratch}/landed"}, f"{scratch}/b", 1, 2024)["fixtures"] == "ok"
+    rows = [r for df in kept if "reason" in df.columns for r in df.collect()]
+    assert sorted((r.reason is None, r.text is None, r.file is None) for r in rows) == [(False, False, False)] * 2 + [(True, True, True)] * 2
+    assert sorted(r.text for r in read_table(spark, f"{scratch}/b/quarantine").collect()) == sorted([lines[0], "{"])

@@ -59,8 +59,10 @@ def ingest(spark: SparkSession, landing: Mapping[str, str], bronze_path: str, le
             status[name] = f"error: {exc}"
 
     def counted(feed: str, rows: DataFrame) -> DataFrame:
-        """The rows, parsed once; how many could be read and how many not go to ``counts``."""
-        seen = Observation()
+        """The rows, parsed once; how many could be read and how many not go to ``counts``. Only what is set aside
+        keeps its text and file: a record's whole envelope would be stored with each of its elements."""
+        seen, bad = Observation(), F.col("reason").isNotNull()
+        rows = rows.withColumns({c: F.when(bad, F.col(c)) for c in ("text", "file")})
         rows = rows.observe(seen, F.count(F.lit(1)).alias("records"), F.count_if(F.col("reason").isNull()).alias("kept"),
                             F.count_if(F.col("reason").isNotNull()).alias("set_aside")).checkpoint(eager=True)
         if counts is not None:

@@ -87,16 +87,22 @@ def read_records(spark: SparkSession, path: str | Sequence[str], whole_document:
     return landed(spark, path, whole_document).select("v").where("v is not null")
 
 
+def is_object(name: str) -> Column:
+    """Is a variant column a JSON object (false for null); its fields are not built for the answer."""
+    return F.try_variant_get(name, "$", "struct<>").isNotNull()
+
+
 def elements(records: DataFrame, path: str, name: str = "m", keep: Sequence[str] = ()) -> DataFrame:
     """Each landed record's list at ``path``, an element a row as variant ``name``, and why a record or an
     element cannot be used as ``reason`` (null: it can). A record without that list gives one row with a
     reason; an empty list gives none."""
-    found = F.try_variant_get("v", path, "array<variant>")
-    why = F.when(F.col("v").isNull(), F.lit("not JSON")).when(found.isNull(), F.lit(f"no list at {path}"))
-    rows = records.select(*keep, "text", "file", why.alias("_why"), F.explode(
-        F.when(why.isNull(), found).otherwise(F.array(F.lit(None).cast("variant")))).alias(name))
+    # the list is taken out of the record once, for the reason and for its elements
+    listed = records.select(*keep, "text", "file", "v", F.try_variant_get("v", path, "array<variant>").alias("_list"))
+    why = F.when(F.col("v").isNull(), F.lit("not JSON")).when(F.col("_list").isNull(), F.lit(f"no list at {path}"))
+    rows = listed.select(*keep, "text", "file", why.alias("_why"), "_list").select(
+        *keep, "text", "file", "_why", F.explode(F.coalesce("_list", F.array(F.lit(None).cast("variant")))).alias(name))
     return rows.select(*keep, "text", "file", name, F.coalesce("_why", F.when(
-        F.try_variant_get(name, "$", "map<string,variant>").isNull(), F.lit("not an object"))).alias("reason"))
+        ~is_object(name), F.lit("not an object"))).alias("reason"))
 
 
 def set_aside(rows: DataFrame) -> DataFrame:
@@ -146,7 +152,7 @@ def member_records(spark: SparkSession, path: str | Sequence[str], whole_documen
     rows = groups.select(*team, "text", "file", F.col("reason").alias("_why"), F.explode(F.when(F.col("reason").isNull(), F.coalesce(
         found, F.array().cast("array<variant>"))).otherwise(F.array(F.lit(None).cast("variant")))).alias("m"))
     rows = rows.select(*team, "text", "file", "m", F.coalesce("_why", F.when(
-        F.try_variant_get("m", "$", "map<string,variant>").isNull(), F.lit("not an object"))).alias("reason"))
+        ~is_object("m"), F.lit("not an object"))).alias("reason"))
     return typed(rows, MEMBER, "m", (*team, "text", "file", "reason"))
 
 
@@ -155,7 +161,7 @@ def performer_records(spark: SparkSession, path: str | Sequence[str], whole_docu
     cannot be read as :func:`elements` gives it."""
     listed = F.try_variant_get("v", "$.response.players", "array<variant>")
     rows = landed(spark, path, whole_document).select("text", "file", F.explode(F.coalesce(listed, F.array("v"))).alias("m"), F.col("v").isNull().alias("_bad"))
-    why = F.when(F.col("_bad"), F.lit("not JSON")).when(F.try_variant_get("m", "$", "map<string,variant>").isNull(), F.lit("not an object"))
+    why = F.when(F.col("_bad"), F.lit("not JSON")).when(~is_object("m"), F.lit("not an object"))
     return typed(rows.withColumn("reason", why), PERFORMER, "m", ("text", "file", "reason")).drop("raw_json")
 
 
