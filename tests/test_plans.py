@@ -66,6 +66,31 @@ def test_latest_per_key_reduces_hot_key_before_shuffle(spark):
     assert len(rows) == 2001 and rows["hot"].timestamp() == 2997
 
 
+def test_stored_latest_sorts_behind_the_shuffle_and_reduces_hot_keys_before(spark):
+    from pyspark.sql import functions as F
+
+    from touchline.operators.snapshot import latest_per_key, latest_per_key_stored
+    rows = _skewed_fixtures(spark)
+    keys = [F.when(F.col("fixture_id") == "7", F.lit(None)).otherwise(F.col("fixture_id")), F.col("fixture_id")]
+    for key in keys:
+        df = rows.withColumn("fixture_id", key).withColumn("late", F.col("ingested_at") < F.lit("1970-01-01 00:20:00").cast("timestamp"))
+        order = ["late", F.col("ingested_at")]
+        got, want = (f(df, ["fixture_id"], order) for f in (latest_per_key_stored, latest_per_key))
+        assert got.columns == want.columns and got.count() == 2001
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    plan = _plan(latest_per_key_stored(rows, ["fixture_id"], ["ingested_at"]))
+    assert "Partial" in plan  # the heavy shares are cut before their shuffle
+    assert "Sort" not in plan.split("REPARTITION_BY_COL")[1].split("Window")[0]  # the others are sorted behind theirs
+
+
+def test_silver_fixtures_is_not_sorted_before_its_shuffle(spark):
+    from pyspark.sql import functions as F
+
+    from touchline.plans.medallion import silver_fixtures
+    plan = _plan(silver_fixtures(_skewed_fixtures(spark).withColumn("match_date", F.lit("2024-01-01"))))
+    assert "REPARTITION_BY_COL" in plan
+
+
 def test_standings_partial_hash_aggregate(spark):
     from touchline.operators.standings import two_sided_standings
     plan = _plan(two_sided_standings(_skewed_fixtures(spark)))

@@ -27,8 +27,33 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order_by: Sequence[str |
     Equal to ``row_number() over (partition by keys order by o1 desc, o2 desc, ...) = 1``; the
     order columns should break every tie.
     """
-    order = [F.col(o) if isinstance(o, str) else o for o in order_by]
-    return _first_per_key(df, keys, order)
+    return _first_per_key(df, keys, _columns(order_by))
+
+
+def _columns(order_by: Sequence[str | Column]) -> list[Column]:
+    return [F.col(o) if isinstance(o, str) else o for o in order_by]
+
+
+#: Shares that :func:`latest_per_key_stored` deals the keys to, and how many times its mean a share may hold.
+SHARES, HEAVY = 1024, 4
+
+
+def latest_per_key_stored(df: DataFrame, keys: Sequence[str], order_by: Sequence[str | Column]) -> DataFrame:
+    """:func:`latest_per_key` for a large table of wide rows that can be read more than once.
+
+    There the reduction before the shuffle sorts all rows of a map task, which spills the table to disk where a
+    task's rows don't fit its memory and drops little where a key's rows are far apart. Here the rows go to their
+    key's partition unsorted and are sorted there, a partition at a time. Keys that would fill one are kept out:
+    a first pass over the key columns counts the rows of each share of the keys' hashes, and the rows of
+    heavy shares (a row a share at most is gathered) are reduced before their shuffle.
+    """
+    share = F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(SHARES)).cast("int")
+    counts = df.groupBy(share.alias("_share")).agg(F.count(F.lit(1)).alias("_n"))
+    counted = counts.agg(F.collect_list(F.struct("_share", "_n")).alias("_c"), F.sum("_n").alias("_all"))
+    heavy = counted.select(F.transform(F.filter("_c", lambda c: c["_n"] * SHARES > F.col("_all") * HEAVY), lambda c: c["_share"])).scalar()
+    hot = F.array_contains(heavy, share)
+    spread = _first_per_key(df.filter(~hot).repartition(*[F.col(k) for k in keys]), keys, _columns(order_by))
+    return spread.unionByName(_first_per_key(df.filter(hot), keys, _columns(order_by)))
 
 
 def metric_of_tag(tag_col: str, metric_by_tag: Mapping[str, str]) -> Column:

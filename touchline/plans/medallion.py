@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from touchline.functions.match import is_completed, parse_match_date, winner
 from touchline.functions.positions import position_code
 from touchline.operators.rank import rank_by_metric
-from touchline.operators.snapshot import best_per_key, latest_per_key
+from touchline.operators.snapshot import best_per_key, latest_per_key, latest_per_key_stored
 from touchline.operators.standings import side_pairs, two_sided_standings
 from touchline.sinks.store import Store
 
@@ -24,7 +24,7 @@ METRIC_BY_STAT = {"goals": "goals", "assists": "assists", "rating": "rating"}
 def silver_fixtures(bronze: DataFrame, order: Sequence[str] = ("ingested_at",),
                     date_col: str = "match_date") -> DataFrame:
     """Latest snapshot per fixture, text date parsed to DATE, completion flag added."""
-    latest = latest_per_key(bronze, ["fixture_id"], order)
+    latest = latest_per_key_stored(bronze, ["fixture_id"], order)
     drop = [c for c in ("raw_json",) if c in latest.columns]
     return (latest.drop(*drop)
             .withColumn(date_col, parse_match_date(F.col(date_col)))
