@@ -141,3 +141,26 @@ def test_only_frequent_leads_repeat_however_many_buckets(make_docs, monkeypatch)
     assert all(seen[x] >= sd.LEADS_PER_BUCKET for x in lead[n > 1].tolist())
     monkeypatch.setattr(sd, "HOME_BYTES", 2000)
     assert engine(docs) == brute(rows)
+
+
+def test_answers_of_many_groups_take_the_time_of_few():
+    """A hash bucket holds as many anchors however many groups ask; its work must not grow with their number."""
+    import time
+    rng = np.random.default_rng(3)
+
+    def asked(groups):
+        each = [np.unique(rng.integers(0, 300_000, 200_000 // groups)).astype("<u4") for _ in range(groups)]
+        return each, sd._frame([(7, h, a.tobytes()) for h, a in enumerate(each)], sd._ASK)
+
+    took = {}
+    for groups in (20, 2000):
+        each, rows = asked(groups)
+        began = time.process_time()
+        got = sd._answer(rows)
+        took[groups] = time.process_time() - began
+        value, n = np.unique(np.concatenate(each), return_counts=True)
+        again = set(value[n > 1].tolist())
+        assert got.column("home").to_pylist() == list(range(groups)) and set(got.column("bucket").to_pylist()) == {7}
+        for a, bits in zip(each, got.column("payload").to_pylist()):
+            assert np.unpackbits(np.frombuffer(bits, np.uint8), count=len(a)).tolist() == [x in again for x in a.tolist()]
+    assert took[2000] < 5 * took[20] + 0.5
