@@ -164,3 +164,35 @@ def test_answers_of_many_groups_take_the_time_of_few():
         for a, bits in zip(each, got.column("payload").to_pylist()):
             assert np.unpackbits(np.frombuffer(bits, np.uint8), count=len(a)).tolist() == [x in again for x in a.tolist()]
     assert took[2000] < 5 * took[20] + 0.5
+
+
+def test_sending_to_many_buckets_works_once_over_a_group():
+    """With more buckets a group sends more rows, but must not go over all its suffixes for each of them."""
+    import time
+
+    import pyarrow as pa
+    import zstandard
+    rnd = random.Random(5)
+    words = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(2, 9))) for _ in range(3000)]
+    rows = [(i, " ".join(rnd.choice(words) for _ in range(4000))) for i in range(120)]
+    table = pa.table({"doc_id": [d for d, _ in rows], "text": [t for _, t in rows], sd._HOME: [3] * len(rows)})
+    home = sd.Home(table)
+    p, lo, hi, _, _ = home.anchors()
+    lead = np.unique(sd.Words(home.buf).at(p, ">"))
+    took, sent = {}, {}
+    for buckets in (20, 20_000):
+        asked = sd._ask(table, buckets)
+        answers = sd._frame([(r["bucket"], r["home"], np.packbits(np.ones(len(r["payload"]) // 4, bool)).tobytes()) for r in asked.to_pylist()], sd._ASK)
+        splitters = lead[np.arange(1, buckets) * len(lead) // buckets]
+        began = time.process_time()
+        out = sd._send(table, answers, buckets, splitters)
+        took[buckets] = time.process_time() - began
+        got = []
+        for payload in out.column("payload").to_pylist():
+            raw = zstandard.decompress(payload)
+            n = int(np.frombuffer(raw, "<u4", 1)[0])
+            got += zip(*(np.frombuffer(raw, t, n, 4 + n * o).tolist() for t, o in (("<i8", 0), ("<u4", 8), ("<u4", 12), ("u1", 16))))
+        sent[buckets] = sorted(got)
+    row = np.searchsorted(home.ends, lo, "right")
+    assert sent[20] == sent[20_000] == sorted(zip(row.tolist(), row.tolist(), (lo - home.starts[row]).tolist(), (hi - lo + 1).tolist()))
+    assert took[20_000] < 3 * took[20] + 2

@@ -237,9 +237,10 @@ def _send(rows: pa.Table, answers: pa.Table, buckets: int, splitters: np.ndarray
         (sent if first.setdefault(c, docs[i]) == docs[i] else decided).append(i)
     out = []
     at = home.starts[row]
+    start, wide = lo - at, hi - lo + 1
     if decided:
         d = np.array(decided)
-        out.append((int(number) % buckets, number, True, _pack_spans(*merge_spans(row[d], (lo - at)[d], (hi - at)[d] + WINDOW))))
+        out.append((int(number) % buckets, number, True, _pack_spans(*merge_spans(row[d], start[d], (hi - at)[d] + WINDOW))))
     if sent:
         s = np.array(sent)
         to = np.searchsorted(splitters, lead[s], "right")
@@ -247,10 +248,9 @@ def _send(rows: pa.Table, answers: pa.Table, buckets: int, splitters: np.ndarray
         to[apart] = [zlib.crc32(content[i]) % buckets for i in s[apart].tolist()]
         order = np.lexsort((s, lead[s], to))
         s, to = s[order], to[order]
-        for own in np.split(np.arange(len(s)), np.flatnonzero(np.diff(to)) + 1):
+        for own in np.split(np.arange(len(s)), np.flatnonzero(np.diff(to)) + 1):  # nothing here may go over the whole group: buckets grow with the input
             k = s[own]
-            head = [np.array([len(k)], "<u4"), docs_array(doc[k]), row[k].astype("<u4"), (lo - at)[k].astype("<u4"),
-                    (hi - lo + 1)[k].astype(np.uint8)]
+            head = [np.array([len(k)], "<u4"), docs_array(doc[k]), row[k].astype("<u4"), start[k].astype("<u4"), wide[k].astype(np.uint8)]
             raw = b"".join([h.tobytes() for h in head] + [content[i] for i in k.tolist()])
             out.append((int(to[own[0]]), number, False, zstandard.compress(raw, 3)))
     return _frame(out, _SEND)
@@ -309,9 +309,8 @@ def resolve_suffixes(home, doc, row, start, wide, raw: bytes):
     size = np.bincount(group, minlength=len(at))
     use = np.sort(order[size[group] > 1])
     # equal strings: the earliest document stands for all of them
-    number, of = {}, np.empty(len(use), np.int64)
-    for k, (a, n) in enumerate(zip(at[use].tolist(), length[use].tolist())):
-        of[k] = number.setdefault(raw[a:a + n], len(number))
+    number: dict[bytes, int] = {}
+    of = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(at[use].tolist(), (at + length)[use].tolist())], np.int64)
     least = np.full(len(number), np.iinfo(np.int64).max)
     np.minimum.at(least, of, doc[use])
     _, example = np.unique(of, return_index=True)
